@@ -11,12 +11,17 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, tokencount, util
+from . import decontam, linededup, mixing, simhash, tokencount, toxicity, util
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select("doc_id", "class_id", "class_size", "keep")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontam.decontaminate(docs, util.table(spark, sf_dir, "benchmark"))
@@ -45,6 +50,12 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, util.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", util.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -95,7 +106,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
