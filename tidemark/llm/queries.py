@@ -11,7 +11,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, simhash, tokencount, toxicity, util
+from . import decontam, htmltext, langid, linededup, mixing, pii, simhash, tokencount, topk, toxicity, util
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
@@ -50,6 +50,45 @@ FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = util.table(spark, sf_dir, "documents")
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    got = langid.identify(docs.select("doc_id", "text"), model)
+    return got.select("doc_id", util.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = util.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP4_SQL = r"""
+WITH v AS (SELECT vec_id, [floor(64 * x::double)::bigint for x in embedding] AS e FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, r.vec_id, list_inner_product(q.e::double[], r.e::double[])::bigint AS score
+ FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = util.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    got = htmltext.extract(pages, htmltext.train(pages))
+    return got.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+#: The key of the registered query; a deployment passes its own.
+PSEUDONYM_KEY = b"tidemark demonstration key"
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = pii.pseudonymise(docs, PSEUDONYM_KEY)
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("findings", lambda f: f.kind))), ",")
+    return got.select("doc_id", F.col("pseudonymised").alias("text"), "n_found", kinds.alias("kinds"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, util.table(spark, sf_dir, "labels"))
@@ -108,9 +147,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language_id": op3_language_id,
+    "op4_exact_top_k": op4_exact_top_k,
+    "op5_html_text": op5_html_text,
+    "op6_pseudonyms": op6_pseudonyms,
     "op7_toxicity": op7_toxicity,
     "op8_mix_sources": op8_mix_sources,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op2_decontaminate": OP2_SQL, "op8_mix_sources": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op2_decontaminate": OP2_SQL, "op4_exact_top_k": OP4_SQL, "op8_mix_sources": OP8_SQL, "op9_line_dedup": OP9_SQL}
