@@ -178,9 +178,12 @@ class LogStore:
             out.append(self.append_request(topic, partition, part))
         return out
 
-    def append_all(self, topic: str, data: Data, *, partition: str | Column, order_by: Sequence[str | Column] | None = None, metadata: Mapping[str, str] | None = None, chunk_rows: int | None = 1000) -> dict[str, tuple[int, int]]:
+    def append_all(self, topic: str, data: Data, *, partition: str | Column, order_by: Sequence[str | Column] | None = None, metadata: Mapping[str, str] | None = None, chunk_rows: int | None = 1000, columns: Sequence[str] | None = None, schema_text: str | None = None) -> dict[str, tuple[int, int]]:
         """Append rows to many partitions at once, by a column; one commit for all.
 
+        ``columns``: the columns to store (all by default); ``schema_text``: the
+        canonical schema to store them under, as another store has it.
+
         Rows are range-partitioned by (partition, order) and sorted there, so
         a partition of any size is written by many tasks; a count of each
         task's rows of each partition gives the tasks their first index.
@@ -189,17 +192,19 @@ class LogStore:
             raise ReadOnlyError("the store has too little room")
         df, meta = self.frame(data)
         meta |= metadata or {}
-        schemas.check(df.schema)
-        text = schemas.canonical(df.schema, meta)
+        cols = list(columns or df.columns)
+        stored = T.StructType([df.schema[c] for c in cols])
+        schemas.check(stored)
+        text = schema_text or schemas.canonical(stored, meta)
         mark = schemas.fingerprint(text)
         commit = uuid.uuid4().hex
         staging = join(self._topic(topic), "_staging", commit)
         name = (F.col(partition) if isinstance(partition, str) else partition).cast("string")
-        cols = df.columns
-        staged = df.select(F.coalesce(name, F.lit("")).alias("_partition"), *[focusing.ref(c) for c in cols], row_size(df.schema).alias("_bytes"))
-        if order_by:
-            keys = [F.col(k) if isinstance(k, str) else k for k in order_by]
-            staged = staged.repartitionByRange("_partition", *keys).sortWithinPartitions("_partition", *keys)
+        keys = [(focusing.ref(k) if isinstance(k, str) else k).alias(f"_k{i}") for i, k in enumerate(order_by or ())]
+        staged = df.select(F.coalesce(name, F.lit("")).alias("_partition"), *[focusing.ref(c) for c in cols], row_size(stored).alias("_bytes"), *keys)
+        if keys:
+            by = [f"_k{i}" for i in range(len(keys))]
+            staged = staged.repartitionByRange("_partition", *by).sortWithinPartitions("_partition", *by).drop(*by)
         # the place of a row: its task, and its position in the task's output
         staged = staged.withColumn("_place", F.monotonically_increasing_id())
         staged.write.parquet(staging)

@@ -1 +1 @@
-
+"""Structured Streaming over logs: tailing and replication."""
