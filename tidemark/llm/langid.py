@@ -95,7 +95,7 @@ class Text:
         self.length = size
         base = np.concatenate([[0], np.cumsum(size + 1)])
         z = np.zeros(total + 3, dtype=np.uint64)
-        pos = np.arange(int(size.sum())) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        pos = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         z[np.repeat(base[:-1], size) + pos + 3] = low[np.repeat(self.start, size) + pos] if total else 0
         self.base = base
         g2 = z[2:-1] << np.uint64(8) | z[3:]
@@ -253,6 +253,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             edge = np.ones(len(label) + 1, dtype=bool)
             edge[1:-1] = label[1:] != label[:-1]
             edge[t.offs[t.offs < len(label)]] = True
+            edge[-1] = True
             cuts = np.flatnonzero(edge)
             run = np.diff(cuts)
             at = np.searchsorted(cuts, t.offs)
