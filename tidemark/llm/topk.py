@@ -142,7 +142,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vec
         d = left.column("dim")[0].as_py()
 
         def matrix(t):
-            return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, d)
 
         q, x = matrix(left), matrix(right)
         qid, rid = left.column("id").to_numpy(), right.column("id").to_numpy()
@@ -153,7 +153,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", vec
         keys = ["dim", "block", "shard"]
         some = F.explode(F.sequence(F.lit(low), F.lit(high - 1)))
         left = q.withColumn("shard", some).groupBy(*keys)
-        right = r.where((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("block", every(blocks).cast("int")).groupBy(*keys)
+        right = r.where((F.col("shard") >= low) & (F.col("shard") < high)).withColumn("block", every(blocks)).groupBy(*keys)
         return left.cogroup(right).applyInArrow(both, "query long, query_id long, vec_id long, score long")
 
     near = cut(run(asked.withColumn("kth", F.lit(FLOOR)), rows, 0, 1))
