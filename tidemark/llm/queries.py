@@ -22,6 +22,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(docs).select("doc_id", "class_id", "class_size", "keep")
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i : i + 4], ' ')) AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_ FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+z AS (SELECT doc_id FROM d WHERE len(w) = 0),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE both_ >= 0.8 * (x.n + y.n - both_)
+ UNION ALL SELECT (SELECT min(doc_id) FROM z), doc_id FROM z),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS class_id FROM d LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS keep FROM c
+"""
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontam.decontaminate(docs, util.table(spark, sf_dir, "benchmark"))
@@ -156,4 +172,4 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-SQL = {"op2_decontaminate": OP2_SQL, "op4_exact_top_k": OP4_SQL, "op8_mix_sources": OP8_SQL, "op9_line_dedup": OP9_SQL}
+SQL = {"op1_simhash": OP1_SQL, "op2_decontaminate": OP2_SQL, "op4_exact_top_k": OP4_SQL, "op8_mix_sources": OP8_SQL, "op9_line_dedup": OP9_SQL}
