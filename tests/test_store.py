@@ -227,3 +227,37 @@ def test_metadata_is_part_of_the_schema(store):
     assert store.iterate("t").metadata == {"k": "v"}
     store.append("t", "p", t)
     assert store.iterate("t").status is Status.SCHEMA_CHANGE
+
+
+def test_settings_and_metrics(spark, tmp_path):
+    from tidemark.sources.settings import load, size
+
+    path = tmp_path / "c.toml"
+    path.write_text('max_total_bytes = "2 GiB"\n[roll]\nmax_rows = 7\nmax_seconds = 1.5\n')
+    c = load(str(path), {"TIDEMARK__RETAIN__MAX_SEGMENTS": "3", "TIDEMARK__ROLL__MAX_BYTES": "1MB", "HOME": "x"})
+    assert (c.max_total_bytes, c.roll.max_rows, c.roll.max_seconds, c.roll.max_bytes, c.retain.max_segments) == (2 << 30, 7, 1.5, 10**6, 3)
+    assert load(environ={}) == Config() and size("1.5kb") == 1500
+    for bad in ({"TIDEMARK__NOPE": "1"}, {"TIDEMARK__MAX_TOTAL_BYTES": "1 parsec"}):
+        with pytest.raises(ValueError):
+            load(environ=bad)
+    store = LogStore(spark, f"file://{tmp_path}/s")
+    store.append("t", "p", schema_a())
+    store.append("t", "p", schema_b())
+    row = store.metrics("t").first()
+    assert (row.rows, row.segments, row.schemas, row.record_end) == (10, 2, 2, 10) and store.health()
+
+
+def test_collator(store):
+    from tidemark.streaming.batches import Collator
+
+    with Collator(store, max_bytes=10_000, max_seconds=0) as c:
+        c.add("t", "p", records([(0, "a")]))
+        c.add("t", "q", records([(1, "b")]))
+        c.add("t", "p", records([(2, "c")]))
+        c.add("t", "p", schema_b())
+        assert not store.topics()
+        c.poll()
+        assert store.partitions("t") == {"p": (0, 7), "q": (0, 1)}
+        c.add("t", "q", records([(3, "d")]))
+    assert store.partitions("t")["q"] == (0, 2)
+    assert texts(store.records("t", "p", 0, limit=Limit(2))) == ["a", "c"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.latency import quantiles
 from tidemark.functions.sizing import byte_size, row_size
 from tidemark.functions.timing import millis
 from tidemark.operators import focus as fx
@@ -304,6 +305,42 @@ def q35(spark, d):
     return events(spark, d).groupBy(F.col("_partition").alias("partition")).agg(F.min("time").alias("time_start"), F.max("time").alias("time_end"))
 
 
+@query("q36_latency_quantiles", f"""WITH {LOG_SQL}, g AS (SELECT "partition", time - lag(time) OVER (PARTITION BY "partition" ORDER BY record_index) AS gap FROM log)
+ SELECT "partition", count(gap) AS n, quantile_disc(gap, 0.5) AS p50, quantile_disc(gap, 0.9) AS p90, quantile_disc(gap, 0.99) AS p99 FROM g GROUP BY 1""")
+def q36(spark, d):
+    """Quantiles of the time between a partition's rows: each row meets its predecessor by an equi-join on the index."""
+    log = events(spark, d).select("_partition", "_index", "time")
+    before = log.select("_partition", (F.col("_index") + 1).alias("_index"), F.col("time").alias("_before"))
+    gaps = log.join(before, ["_partition", "_index"])
+    return quantiles(gaps.withColumnRenamed("_partition", "partition"), F.col("time") - F.col("_before"), ["partition"], accuracy=1_000_000)
+
+
+@query("q37_store_metrics", f'WITH {LOG_SQL} SELECT "partition", count(*) AS n_rows, sum(36 + strlen("partition"))::bigint AS n_bytes, min(time) AS time_start, max(time) AS time_end FROM log GROUP BY 1')
+def q37(spark, d):
+    store = _store(spark, d, "metrics")
+    _ingest(spark, d, store, "events")
+    return store.metrics("events").select("partition", F.col("rows").alias("n_rows"), F.col("bytes").alias("n_bytes"), "time_start", "time_end")
+
+
+@query("q38_time_page_from_store", f'WITH {LOG_SQL}, s AS (SELECT *, 0 AS s FROM log) SELECT time, event_id, user_id FROM s WHERE time BETWEEN {LOW} AND {HIGH} ORDER BY s, "partition", record_index LIMIT 700')
+def q38(spark, d):
+    """A time page through the manifest: pruned segments, chunk statistics, the fold, then the rows."""
+    from tidemark.operators.cursor import Limit
+
+    store = _store(spark, d, "time")
+    _ingest(spark, d, store, "events")
+    return store.iterate("events", time_start=LOW, time_end=HIGH, limit=Limit(700)).df.select("time", "event_id", "user_id")
+
+
+@query("q39_reverse_page_from_store", f'WITH {LOG_SQL}, e AS (SELECT "partition", max(record_index) + 1 AS s FROM log GROUP BY 1), s AS (SELECT log.*, s FROM log JOIN e USING ("partition")) SELECT time, event_id, user_id FROM s ORDER BY s DESC, "partition" DESC, record_index DESC LIMIT 700')
+def q39(spark, d):
+    from tidemark.operators.cursor import Limit
+
+    store = _store(spark, d, "reverse")
+    _ingest(spark, d, store, "events")
+    return store.iterate("events", order="desc", limit=Limit(700)).df.select("time", "event_id", "user_id")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The first forward page of the topic, focused."""
     page = scan.page(events(spark, d), {}, 100)
