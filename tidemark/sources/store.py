@@ -19,10 +19,11 @@ from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tidemark.functions.sizing import row_size
 from tidemark.functions.timing import to_millis
@@ -140,10 +141,9 @@ class LogStore:
 
     # -- append ------------------------------------------------------------
 
-    def frame(self, data: Data) -> tuple[DataFrame, dict[str, str]]:
-        """Any accepted input as a DataFrame, with its schema metadata."""
-        if isinstance(data, DataFrame):
-            return data, {}
+    @staticmethod
+    def arrow(data: Data) -> pa.Table:
+        """Any accepted input but a DataFrame as an Arrow table."""
         if isinstance(data, pd.DataFrame):
             data = pa.Table.from_pandas(data, preserve_index=False).replace_schema_metadata(None)
         if isinstance(data, pa.RecordBatch):
@@ -156,6 +156,13 @@ class LogStore:
         for f in data.schema:
             if pa.types.is_null(f.type) or "null" in str(f.type).replace("not null", ""):
                 raise schemas.SchemaError("NullType", f.name)
+        return data
+
+    def frame(self, data: Data) -> tuple[DataFrame, dict[str, str]]:
+        """Any accepted input as a DataFrame, with its schema metadata."""
+        if isinstance(data, DataFrame):
+            return data, {}
+        data = self.arrow(data)
         meta = {k.decode(): v.decode() for k, v in (data.schema.metadata or {}).items()}
         return self.spark.createDataFrame(schemas.normalise(data)), meta
 
@@ -164,11 +171,73 @@ class LogStore:
 
         Durable when it returns.
         """
+        if not isinstance(data, DataFrame) and not order_by:
+            return self._append_table(topic, partition, self.arrow(data), metadata or {})
         spans = self.append_all(topic, data, partition=F.lit(partition), order_by=order_by, metadata=metadata, chunk_rows=None)
         if not spans:
             raise schemas.SchemaError("EmptyBody", "no rows")
         return spans[partition]
 
+    def _append_table(self, topic: str, partition: str, table: pa.Table, metadata: Mapping[str, str]) -> tuple[int, int]:
+        """Append a table that the driver holds: its indices are known, so that one write job does it all."""
+        if self.read_only:
+            raise ReadOnlyError("the store has too little room")
+        meta = {k.decode(): v.decode() for k, v in (table.schema.metadata or {}).items()} | dict(metadata)
+        table = schemas.normalise(table)
+        schema = T.StructType(from_arrow_schema(table.schema).fields)
+        schemas.check(schema)
+        if not table.num_rows:
+            raise schemas.SchemaError("EmptyBody", "no rows")
+        if table.column("time").null_count:
+            raise schemas.SchemaError("BadTime", "null times")
+        text = schemas.canonical(schema, meta)
+        mark = schemas.fingerprint(text)
+        state = self.manifest(topic).refresh()
+        start, segment, chunk = self._place(state, mark, partition)
+        n = table.num_rows
+        indexed = table.append_column("_index", pa.array(range(start, start + n), pa.int64()))
+        rows = self.spark.createDataFrame(indexed).select(
+            F.lit(partition).alias("_partition"), F.lit(segment).cast("long").alias("_segment"), "_index", F.lit(chunk).cast("long").alias("_chunk"), row_size(schema).alias("_bytes"), *[focusing.ref(c) for c in schema.names]
+        )
+        seen = Observation()
+        out = join(self._topic(topic), mark, uuid.uuid4().hex)
+        rows = rows.coalesce(1).observe(seen, F.sum("_bytes").alias("b"), F.min("time").alias("lo"), F.max("time").alias("hi"))
+        self._write(rows, out)
+        got = seen.get
+        chunks = {(partition, segment): [mf.Chunk(chunk, start, n, got["b"], got["lo"], got["hi"])]}
+        self._publish(topic, mark, text, chunks, self._written(out, [partition]), {partition: start}, state.version)
+        return start, start + n
+
+    @staticmethod
+    def _write(rows: DataFrame, out: str) -> None:
+        rows.withColumn("_p", F.substring(F.sha2("_partition", 256), 1, 16)).withColumn("_s", F.col("_segment")).write.partitionBy("_p", "_s").parquet(out)
+
+    def _place(self, state: mf.State, mark: str, p: str) -> tuple[int, int, int]:
+        """Where the next rows of a partition go: their index, segment and chunk."""
+        own = state.of(p)
+        last = own[-1] if own else None
+        start = state.ends.get(p, 0)
+        if last and not self._rolls(last, mark):
+            return start, last.segment, last.chunks[-1].chunk + 1
+        # numbers go on above whatever retention has dropped
+        return start, (last.segment + 1 if last else (state.version + 1) << 20 if start else 0), 0
+
+    def _publish(self, topic: str, mark: str, text: str, chunks: dict, written: dict, start: dict[str, int], version: int) -> None:
+        def make(new: mf.State) -> dict:
+            if new.version != version and any(new.ends.get(p, 0) != at for p, at in start.items()):
+                raise StoreError("another writer appended to the same partition")
+            segs = []
+            for key, own in chunks.items():
+                old = new.segments.get(key)
+                files = tuple(written.get(key, ()))
+                segs.append(mf.with_files(old, files, tuple(own)) if old else mf.Segment(key[0], key[1], mark, files, tuple(own), time.time()))
+            return {"schemas": {mark: text}, "segments": [asdict(s) for s in segs]}
+
+        self.manifest(topic).commit(make)
+        self.last_commit = time.time()
+        for p in start:
+            self._retain_partition(topic, p)
+
     def append_request(self, topic: str, partition: str, data: pa.Table) -> tuple[int, int]:
         """An append of limited size, as a remote client makes it."""
         if data.nbytes > self.config.max_append_bytes:
@@ -247,15 +316,9 @@ class LogStore:
         placed = placed.withColumn("_local", F.col("_base") + local)
 
         state = self.manifest(topic).refresh()
-        start = {p: state.ends.get(p, 0) for p in totals}
-        target: dict[str, int] = {}
-        for p in totals:
-            own = state.of(p)
-            last = own[-1] if own else None
-            target[p] = last.segment if last and not self._rolls(last, mark) else (last.segment + 1 if last else self._next_segment(state, p))
-        rule = self.spark.createDataFrame(
-            [(p, start[p], target[p], self._next_chunk(state, p, target[p])) for p in totals], "_partition string, _from long, _segment long, _chunk0 long"
-        )
+        places = {p: self._place(state, mark, p) for p in totals}
+        start = {p: at for p, (at, *_) in places.items()}
+        rule = self.spark.createDataFrame([(p, *places[p]) for p in totals], "_partition string, _from long, _segment long, _chunk0 long")
         chunk = F.col("_chunk0") + (F.expr(f"_local div {chunk_rows}") if chunk_rows else F.lit(0))
         # a bulk append fills whole segments: chunk by chunk, max_rows each
         per = max(1, self.config.roll.max_rows // chunk_rows) if chunk_rows else None
@@ -264,30 +327,14 @@ class LogStore:
             "_partition", segment.cast("long").alias("_segment"), (F.col("_from") + F.col("_local")).cast("long").alias("_index"), chunk.cast("long").alias("_chunk"), "_bytes", *[focusing.ref(c) for c in cols]
         )
         out = join(self._topic(topic), mark, commit)
-        rows = rows.withColumn("_p", F.substring(F.sha2("_partition", 256), 1, 16)).withColumn("_s", F.col("_segment"))
-        rows.sortWithinPartitions("_partition", "_segment", "_index").write.partitionBy("_p", "_s").parquet(out)
+        self._write(rows.sortWithinPartitions("_partition", "_segment", "_index"), out)
         written = self._written(out, totals)
         again = self.spark.read.schema("_partition string, _segment long, _index long, _chunk long, _bytes long, time long").option("recursiveFileLookup", "true").parquet(out)
         stats = again.groupBy("_partition", "_segment", "_chunk").agg(F.min("_index").alias("i"), F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b"), F.min("time").alias("lo"), F.max("time").alias("hi")).collect()
         chunks: dict[tuple[str, int], list[mf.Chunk]] = {}
         for r in sorted(stats, key=lambda r: r["i"]):
             chunks.setdefault((r["_partition"], r["_segment"]), []).append(mf.Chunk(r["_chunk"], r["i"], r["n"], r["b"], r["lo"], r["hi"]))
-        version = state.version
-
-        def make(new: mf.State) -> dict:
-            if new.version != version and any(new.ends.get(p, 0) != start[p] for p in totals):
-                raise StoreError("another writer appended to the same partition")
-            segs = []
-            for key, own in chunks.items():
-                old = new.segments.get(key)
-                files = tuple(written.get(key, ()))
-                segs.append(mf.with_files(old, files, tuple(own)) if old else mf.Segment(key[0], key[1], mark, files, tuple(own), time.time()))
-            return {"schemas": {mark: text}, "segments": [asdict(s) for s in segs]}
-
-        self.manifest(topic).commit(make)
-        self.last_commit = time.time()
-        for p in totals:
-            self._retain_partition(topic, p)
+        self._publish(topic, mark, text, chunks, written, start, state.version)
         return {p: (start[p], start[p] + n) for p, n in totals.items()}
 
     def _written(self, out: str, partitions: Iterable[str]) -> dict[tuple[str, int], list[str]]:
@@ -304,15 +351,6 @@ class LogStore:
         r = self.config.roll
         return s.fingerprint != mark or s.rows > r.max_rows or s.size > r.max_bytes or (r.max_seconds is not None and time.time() - s.created > r.max_seconds)
 
-    @staticmethod
-    def _next_segment(state: mf.State, p: str) -> int:
-        return 0 if not state.ends.get(p) else state.version + 1 << 20
-
-    @staticmethod
-    def _next_chunk(state: mf.State, p: str, segment: int) -> int:
-        s = state.segments.get((p, segment))
-        return s.chunks[-1].chunk + 1 if s else 0
-
     # -- read --------------------------------------------------------------
 
     def _read(self, topic: str, segments: Iterable[mf.Segment], state: mf.State) -> DataFrame | None:
@@ -544,8 +582,7 @@ class LogStore:
                 bounds = bounds + (F.col("_index") >= c.index_start).cast("long")
             rows = self._read(topic, [s], state).withColumn("_chunk", bounds)
             out = join(self._topic(topic), s.fingerprint, uuid.uuid4().hex)
-            rows = rows.withColumn("_p", F.substring(F.sha2("_partition", 256), 1, 16)).withColumn("_s", F.col("_segment"))
-            rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index").sortWithinPartitions("_index").write.partitionBy("_p", "_s").parquet(out)
+            self._write(rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index").sortWithinPartitions("_index"), out)
             files = tuple(self._written(out, [s.partition])[s.partition, s.segment])
 
             def make(new_state: mf.State, s=s, files=files, new=new) -> dict:
