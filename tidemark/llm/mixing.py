@@ -7,35 +7,40 @@ weight; a prefix of them is capped).
 
 Method: the mix is a sequence of slots of ``block`` words. Slot i takes the
 point (i * g mod 2^31) / 2^31, g / 2^31 being close to the golden ratio's
-inverse, and maps it through the cumulative targets to a source; the r-th slot
-of a source takes block r mod n of it. A source's documents, shuffled by md5
-of the id, lie end to end and are cut every ``block`` words. A document's
-``taken`` is the sum over its blocks of its words in the block times the
-block's number of slots. The Weyl sequence keeps each source's slot count
-within a few slots of its share however the sources are ordered.
-
-Scale: slots come from ``range`` and are counted by source with a map-side
-combine. They are never shuffled one by one: ranks of one source are
-consecutive, so the number of slots tells how often each of its blocks is
-taken. The running word counts within a source are sums over (source, bucket)
-first, buckets being ranges of the shuffle key of about ``bucket_docs``
-documents, so that a hot source is many tasks; the bucket table is what the
-second, small window runs over.
+inverse, and maps it through the cumulative targets to a source. The slots of
+a source are ranked; the r-th takes block r mod n of the source's n blocks. A
+source's documents, shuffled by md5 of the id, lie end to end and are cut
+every ``block`` words. Slots and documents meet by a join on (source, block);
+a document's ``taken`` is the sum over its blocks of its words in the block
+times the slots that take the block. The sequence keeps each source's number
+of slots within a few of its share however the sources are ordered.
+
+Scale: everything up to the last join works on slim rows (source number, key,
+size), written once. Ranks and running word counts of a source are sums over
+ranges first and windows inside a range second, so that a hot source is many
+tasks. The documents themselves are shuffled once, to meet their ``taken``.
 
 Defined results: null text has size 0 and takes 0 words; null sources form one
 source, last in order; no words at all: targets 0, nothing taken; a source
-without words has target 0; documents with one id and source keep one order
-by text (equal rows share one position).
+without words has target 0; documents with one id lie in the order of a hash
+of their text, and equal rows one after the other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import index_rows
+
+from .util import cut
+
 GOLDEN = 1327217885  # odd, about 2^31 / golden ratio
 PERIOD = 1 << 31
+CELLS = 1 << 10
+#: Rows of the source and bucket tables up to which they are broadcast; beyond, they are joined by hash.
+BROADCAST_ROWS = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -44,14 +49,15 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """(source, source_size, n_docs) with weight, target and the integer form of the caps.
+    """(source, source_size, n_docs) with its number k, weight, target and the total.
 
     One row a source; the windows run over source rows only.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sources.withColumn("weight", w.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
-    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.col("k"), F.lit(len(weights))) + 1).cast("int"))
+    s = sources.withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    s = s.withColumn("weight", w.cast("long")).withColumn("cap", F.col("source_size") * max_epochs)
+    by_ratio = W.orderBy(F.col("cap") / F.col("weight"), "k").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy()
     s = (
         s.withColumn("total", F.sum("source_size").over(whole))
@@ -62,69 +68,74 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs
     )
     s = s.withColumn("left", F.col("total") - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(whole)).withColumn("shared", F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0)).over(whole))
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("weight") * F.col("left")).cast("double") / F.col("shared").cast("double"))
-    return s.withColumn("target", target).select("source", "source_size", "n_docs", "weight", "total", "target")
+    return s.withColumn("target", target).select("source", "k", "source_size", "n_docs", "weight", "total", "target")
+
+
+def shares(sources: DataFrame) -> DataFrame:
+    """(k, lo, hi): half-open shares of [0, 2^31) in proportion to the targets."""
+    by = W.orderBy("k")
+    hi = F.when(F.col("total") > 0, F.round(F.sum("target").over(by.rowsBetween(W.unboundedPreceding, 0)) / F.col("total") * PERIOD)).otherwise(0).cast("long")
+    return sources.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0))).select("k", "lo", "hi")
 
 
-def schedule(spark, sources: DataFrame, slots: int) -> DataFrame:
-    """(source, slots): how many of the first ``slots`` points fall to each source.
+def schedule(spark: SparkSession, shared: DataFrame, slots: int) -> DataFrame:
+    """(slot, k, rank): the source of each of the first ``slots`` slots, and the slot's rank in its source.
 
-    ``sources`` has source, lo and hi: half-open shares of [0, 2^31).
+    A point finds its source through a grid of cells (an equi-join), then by
+    the exact bounds.
     """
-    point = F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD))
-    # a point finds its source through a fixed grid of cells: an equi-join, then the exact bounds
-    cells = 1 << 10
-    wide = PERIOD // cells
-    grid = sources.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))))
-    points = spark.range(slots).select(point.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")) if slots > PERIOD else spark.range(slots).select(point.alias("p"), F.lit(1).cast("long").alias("n"))
-    hit = points.withColumn("cell", F.expr(f"p div {wide}")).join(grid, "cell").where("p >= lo and p < hi")
-    return hit.groupBy("source").agg(F.sum("n").alias("slots"))
+    wide = PERIOD // CELLS
+    grid = shared.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)).alias("p"))
+    placed = points.withColumn("cell", F.expr(f"p div {wide}")).join(grid, "cell").where("p >= lo and p < hi").select("slot", "k")
+    return index_rows(placed, F.col("k"), F.col("slot")).select("slot", "k", F.col("_index").alias("rank"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 4_000) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target and taken.
 
     ``block``: words a slot; by default a thousandth of the average source,
     between 16 and 1024. Input columns with output names are replaced.
     """
-    from .util import cut
-
     spark = docs.sparkSession
-    out = {"size", "source_size", "target", "taken"}
-    names = [c for c in docs.columns if c.lower() not in out]
+    names = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
     row = F.struct(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key"), F.xxhash64(F.col(text)).alias("tie"))
-    sized = docs.select(*names, F.col(source).alias("_source"), size_of(F.col(text)).alias("size"), row.alias("_row"))
-    slim = sized.select("_source", "_row", "size")
-    sources = cut(targets(slim.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_epochs))
-    total, count = sources.agg(F.coalesce(F.max("total"), F.lit(0)), F.count(F.lit(1))).first()
+    slim = cut(docs.select(F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"), size_of(F.col(text)).alias("size")))
+    per_source = slim.groupBy(F.col("_source.s").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    sources = cut(targets(per_source, weights, max_epochs))
+    total, count, n_docs = sources.agg(F.coalesce(F.max("total"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
     b = block or max(16, min(1024, total // max(1, 1000 * count)))
-    by_source = W.orderBy(F.col("source").asc_nulls_last())
-    bound = lambda x: F.when(F.col("total") > 0, F.round(x / F.col("total") * PERIOD)).otherwise(0).cast("long")
-    cum = F.sum("target").over(by_source.rowsBetween(W.unboundedPreceding, 0))
-    shares = sources.withColumn("_cum", cum).withColumn("hi", bound(F.col("_cum"))).withColumn("lo", F.coalesce(F.lag("hi").over(by_source), F.lit(0)))
-    counted = schedule(spark, shares.select("source", "lo", "hi"), -(-total // b))
-    plan = sources.join(counted.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select(
-        F.struct(F.col("source").alias("_source")).alias("_key"),
-        "source_size", "target", "n_docs",
-        F.least(F.coalesce("slots", F.lit(0)), max_epochs * F.expr(f"(source_size + {b - 1}) div {b}")).alias("slots"),
-        F.expr(f"(source_size + {b - 1}) div {b}").alias("blocks"),
-    )
-    plan = cut(plan)
-    keyed = sized.withColumn("_key", F.struct(F.col("_source")))
-    n_sources = count
-    small = plan if n_sources > 100_000 else F.broadcast(plan)
-    keyed = keyed.join(small, "_key")
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+    # slots: how many take each block
+    lengths = sources.select("k", F.expr(f"(source_size + {b - 1}) div {b}").alias("blocks"))
+    slots = schedule(spark, shares(sources), -(-total // b)).join(small(lengths, count), "k").where(F.col("rank") < max_epochs * F.col("blocks"))
+    times = slots.groupBy("k", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+
+    # documents: their place in the shuffled source
+    numbered = slim.join(small(sources.select(F.struct(F.col("source").alias("s")).alias("_source"), "k", "n_docs"), count), "_source")
     buckets = F.greatest(F.lit(1), F.expr(f"(n_docs + {bucket_docs - 1}) div {bucket_docs}"))
     unit = F.conv(F.substring("_row.key", 1, 8), 16, 10).cast("long")
-    keyed = keyed.withColumn("_bucket", F.shiftright(unit * buckets, 32))
-    sums = keyed.groupBy("_key", "_bucket").agg(F.sum("size").alias("_n"))
-    before = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("_key", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = W.partitionBy("_key", "_bucket").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
-    placed = keyed.select("_key", "_bucket", "_row", "size", *names, "source_size", "target", "slots", "blocks")
-    placed = placed.withColumn("_at", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    sums_ready = F.broadcast(sums) if n_sources <= 1000 else sums
-    placed = placed.join(sums_ready, ["_key", "_bucket"]).withColumn("_at", F.col("_at") + F.col("_base"))
-    # block i is taken slots div blocks times, the first slots mod blocks of them once more
-    again = F.expr("slots % greatest(blocks, 1)") * b
-    taken = F.expr("slots div greatest(blocks, 1)") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), again - F.col("_at")))
-    return placed.select(*names, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    numbered = numbered.select("k", F.shiftright(unit * buckets, 32).alias("bucket"), "_row", "size")
+    sums = numbered.groupBy("k", "bucket").agg(F.sum("size").alias("_n"))
+    before = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("k", "bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = W.partitionBy("k", "bucket").orderBy("_row")
+    placed = numbered.withColumn("_at", F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = placed.withColumn("copy", F.row_number().over(W.partitionBy("k", "bucket", "_row").orderBy("_at")))
+    placed = placed.join(small(bases, count + n_docs // bucket_docs), ["k", "bucket"]).withColumn("at", F.col("_at") + F.col("_base"))
+
+    # slots and documents meet on (source, block)
+    parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))))
+    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)
+    met = parts.withColumn("words", words).join(times, ["k", "block"], "left")
+    taken = cut(met.groupBy("k", "_row", "copy").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
+
+    sized = docs.select(*names, F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"), size_of(F.col(text)).alias("size"))
+    sized = sized.join(small(sources.select(F.struct(F.col("source").alias("s")).alias("_source"), "k", "source_size", "target"), count), "_source")
+    # rows repeated as a whole are numbered; mostly there are none, and no window is needed
+    repeated = taken.where("copy > 1").limit(1).count() > 0
+    sized = sized.withColumn("copy", F.row_number().over(W.partitionBy("k", "_row").orderBy(F.lit(0))) if repeated else F.lit(1))
+    return sized.join(taken, ["k", "_row", "copy"], "left").select(*names, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
