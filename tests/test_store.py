@@ -261,3 +261,19 @@ def test_collator(store):
         c.add("t", "q", records([(3, "d")]))
     assert store.partitions("t")["q"] == (0, 2)
     assert texts(store.records("t", "p", 0, limit=Limit(2))) == ["a", "c"]
+
+
+def test_snapshots_shorten_the_log(store):
+    from tidemark.sources import manifest as mf
+    from tidemark.streaming.tail import read_state
+
+    m = store.manifest("t")
+    for i in range(mf.CHECKPOINT + 3):
+        s = mf.Segment("p", i, "f", (f"file{i}",), (mf.Chunk(0, i * 10, 10, 5, i, i + 1),), 1.0)
+        m.commit(lambda _, s=s: {"segments": [mf.dump(s)], "schemas": {"f": "x"}})
+    names = m.files.names(m.log)
+    assert [n for n in names if n.endswith(".snapshot")] == [f"{mf.CHECKPOINT - 1:09d}.snapshot"]
+    for n in names[:5]:
+        m.files.delete(f"{m.log}/{n}")
+    fresh = mf.Manifest(store.spark, store._topic("t")).refresh()
+    assert fresh.segments == m.refresh().segments == read_state(store.root, "t").segments and fresh.span("p") == (0, 350)

@@ -14,7 +14,7 @@ import hashlib
 import time
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from dataclasses import asdict, dataclass, field, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
@@ -231,7 +231,7 @@ class LogStore:
                 old = new.segments.get(key)
                 files = tuple(written.get(key, ()))
                 segs.append(mf.with_files(old, files, tuple(own)) if old else mf.Segment(key[0], key[1], mark, files, tuple(own), time.time()))
-            return {"schemas": {mark: text}, "segments": [asdict(s) for s in segs]}
+            return {"schemas": {mark: text}, "segments": [mf.dump(s) for s in segs]}
 
         self.manifest(topic).commit(make)
         self.last_commit = time.time()
@@ -588,7 +588,7 @@ class LogStore:
             def make(new_state: mf.State, s=s, files=files, new=new) -> dict:
                 if new_state.segments.get((s.partition, s.segment)) != s:
                     raise StoreError("the segment changed while it was compacted")
-                return {"segments": [asdict(replace(s, files=files, chunks=tuple(new), version=s.version + 1))]}
+                return {"segments": [mf.dump(replace(s, files=files, chunks=tuple(new), version=s.version + 1))]}
 
             self.manifest(topic).commit(make)
             for f in s.files:
