@@ -106,8 +106,8 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if m[2]:  # an end tag: back to its element, if it is open
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if any(t in BLOCK_TAGS for t, _ in stack[k:]) and tag not in BLOCK_TAGS:
-                        stack.pop(k) if all(t not in ("article", "section", "div", "td", "li") for t, _ in stack[k:]) else None
+                    if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[k:]):
+                        del stack[k]  # an inline element around blocks: only it ends
                     else:
                         del stack[k:]
                     break
