@@ -101,7 +101,7 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     base = prose(9, 300).split()
     rows = [(i, " ".join(base[:i] + ["edit"] + base[i + 1 :])) for i in range(250)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = simhash.classes(df, leaf=8, hot=32).collect()
+    got = simhash.classes(df, leaf=8, hot=32, piece=100).collect()
     assert {r.class_id for r in got} == {0} and sum(r.keep for r in got) == 1
 
 

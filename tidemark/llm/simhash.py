@@ -16,7 +16,8 @@ the prefix adapts to the density: where a subtree of a shorter prefix (up to
 ``CLIMB`` bits less) holds no more than ``leaf`` texts, the search climbs to
 it; everywhere else it climbs to ``depth`` bits, the longest prefix that keeps
 the target recall. Subtrees of more than ``hot`` texts are split at longer
-prefixes, which bounds a task. Candidates pass a bound on the Hamming distance
+prefixes; what even those leave together is read in pieces of ``piece`` texts
+in key order, which overlap, so that a task's memory has a bound. Candidates pass a bound on the Hamming distance
 and on the sizes of the sets; the rest are verified on their whole shingle
 sets.
 
@@ -51,6 +52,8 @@ KEY_BITS = 62
 CLIMB = 3
 SHINGLE = 5
 BROADCAST_TEXTS = 2_000_000
+#: In a dense subtree a text looks for its nearest neighbour among so many before it in key order.
+WINDOW = 256
 
 
 def _sequence_hash(h: np.ndarray, offs: np.ndarray, salt: int) -> np.ndarray:
@@ -186,27 +189,49 @@ def subtrees(key: np.ndarray, depth: int, leaf: int, climb: int) -> list[tuple[i
     return out
 
 
-def _pairs(n, s0, s1, size, label, bound, similarity, nearest):
-    """Candidate pairs of one subtree as positions: the nearest before each, or all across labels."""
+def _pairs(s0, s1, size, label, bound, similarity, nearest, window):
+    """Candidate pairs of one subtree as positions: the nearest before each, or all across labels.
+
+    ``window``: where set, only so many rows before each count for the
+    nearest. Rows of the most frequent label needn't be compared with each
+    other, so that a subtree of one class costs nothing in the second round.
+    """
+    n = len(s0)
     left, right = [], []
-    for a in range(0, n, 512):
-        b = min(n, a + 512)
-        ham = np.bitwise_count(s0[a:b, None] ^ s0[None, :b]) + np.bitwise_count(s1[a:b, None] ^ s1[None, :b])
-        small = np.minimum(size[a:b, None], size[None, :b])
-        ok = (ham <= bound) & (small >= similarity * np.maximum(size[a:b, None], size[None, :b])) & (np.arange(b)[None, :] < np.arange(a, b)[:, None]) & (label[a:b, None] != label[None, :b])
-        if nearest:
+
+    def match(i, j):
+        """Which of rows i (a column) and j (a row) can be near-duplicates, and their distances."""
+        ham = np.bitwise_count(s0[i][:, None] ^ s0[j][None, :]) + np.bitwise_count(s1[i][:, None] ^ s1[j][None, :])
+        x, y = size[i][:, None], size[j][None, :]
+        return (ham <= bound) & (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (label[i][:, None] != label[j][None, :]), ham
+
+    if nearest:
+        for a in range(0, n, 512):
+            i = np.arange(a, min(n, a + 512))
+            j = np.arange(max(0, a - window) if window else 0, i[-1])
+            if not len(j):
+                continue
+            ok, ham = match(i, j)
+            ok &= j[None, :] < i[:, None]
             best = np.argmin(np.where(ok, ham, 255), axis=1)
-            hit = np.flatnonzero(ok[np.arange(b - a), best])
-            left.append(hit + a)
-            right.append(best[hit])
-        else:
-            i, j = np.nonzero(ok)
-            left.append(i + a)
-            right.append(j)
+            hit = np.flatnonzero(ok[np.arange(len(i)), best])
+            left.append(i[hit])
+            right.append(j[best[hit]])
+    else:
+        names, count = np.unique(label, return_counts=True)
+        rest = np.flatnonzero(label != names[count.argmax()])
+        every = np.arange(n)
+        for a in range(0, len(rest), 256):
+            i = rest[a : a + 256]
+            x, y = np.nonzero(match(i, every)[0])
+            left.append(i[x])
+            right.append(every[y])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf: int, hot: int, nearest: bool) -> DataFrame:
+def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf: int, hot: int, piece: int, nearest: bool) -> DataFrame:
     """Distinct (a, b), a < b, that share a subtree and pass the bounds."""
     base = depth - CLIMB
     counts = rows.groupBy("trie", F.shiftright("key", KEY_BITS - depth).alias("_top")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
@@ -217,7 +242,7 @@ def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf:
         rows = rows.withColumn("_deep", F.lit(None).cast("int"))
     cutoff = F.expr(f"shiftright(key, {KEY_BITS} - coalesce(_deep, {base}))")
     rows = rows.select("trie", F.coalesce("_deep", F.lit(0)).alias("deep"), cutoff.alias("bucket"), "key", "node", "s0", "s1", "n_shingles", "label")
-    rows = rows.repartition("trie", "deep", "bucket").sortWithinPartitions("trie", "deep", "bucket", "key", "node")
+    rows = rows.repartition("trie", "deep", "bucket").sortWithinPartitions("trie", "deep", "bucket", "key", "s0", "s1", "node")
 
     def run(batches):
         names = ["trie", "deep", "bucket", "key", "node", "s0", "s1", "n_shingles", "label"]
@@ -234,7 +259,7 @@ def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf:
                 d = int(deep[x])
                 for p, q in subtrees(key[x:y], d or depth, leaf, 0 if d else CLIMB):
                     p, q = p + x, q + x
-                    i, j = _pairs(q - p, s0[p:q], s1[p:q], size[p:q], label[p:q], bound, similarity, nearest)
+                    i, j = _pairs(s0[p:q], s1[p:q], size[p:q], label[p:q], bound, similarity, nearest, WINDOW if d else 0)
                     if len(i):
                         a_out.append(node[p + i])
                         b_out.append(node[p + j])
@@ -258,6 +283,11 @@ def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf:
             if out is not None:
                 yield out
             held = [x[end:] for x in c]
+            if len(held[0]) > piece and held[1][0]:  # a dense bucket without end: piece by piece
+                out = search(held)
+                if out is not None:
+                    yield out
+                held = [x[-WINDOW:] for x in held]
         if held is not None:
             out = search(held)
             if out is not None:
@@ -288,18 +318,18 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, simil
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def classes(docs: DataFrame, *, text: str = "text", similarity: float = 0.8, recall: float = 0.99, leaf: int = 128, hot: int = 8192) -> DataFrame:
+def classes(docs: DataFrame, *, text: str = "text", similarity: float = 0.8, recall: float = 0.99, leaf: int = 128, hot: int = 8192, piece: int = 32_768) -> DataFrame:
     """doc_id, text_key, class_id (smallest id of the class), class_size and keep, one row a document."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
     drawn = cut(sketch(docs, "text"))
     texts = cut(drawn.where("n_shingles > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_key", "n_shingles", "s0", "s1")]))
     depth, tries, bound = shape(texts.count(), similarity, recall, leaf)
     own = texts.withColumn("label", F.col("node"))
-    first = cut(candidates(forest(own, tries), depth, bound, similarity, leaf, hot, nearest=True))
+    first = cut(candidates(forest(own, tries), depth, bound, similarity, leaf, hot, piece, nearest=True))
     links = cut(verify(first, docs, texts, "text", similarity))
     labels = components(links)
     known = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    second = cut(candidates(forest(cut(known), tries), depth, bound, similarity, leaf, hot, nearest=False).join(first, ["a", "b"], "left_anti"))
+    second = cut(candidates(forest(cut(known), tries), depth, bound, similarity, leaf, hot, piece, nearest=False).join(first, ["a", "b"], "left_anti"))
     more = cut(verify(second, docs, texts, "text", similarity))
     if more.count():
         labels = components(links.unionAll(more))
