@@ -105,6 +105,26 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and sum(r.keep for r in got) == 1
 
 
+def test_no_link_between_classes_of_a_dense_subtree_is_lost(spark):
+    rng = np.random.default_rng(3)
+    n, depth, bound = 1200, 4, 33
+    sig = rng.integers(0, 1 << 63, (n, 2), dtype=np.int64)
+    for k in range(0, 400, 2):  # near pairs, the bits that differ spread over all
+        flip = np.zeros(128, np.uint8)
+        flip[rng.permutation(128)[:16]] = 1
+        sig[k + 1] = sig[k] ^ np.packbits(flip).view(np.int64)
+    rows = [(k, int(a), int(b), 50, k % 2 * (k >= 400)) if k >= 400 else (k, int(a), int(b), 50, k + 2) for k, (a, b) in enumerate(sig)]
+    texts = spark.createDataFrame(rows, "node long, s0 long, s1 long, n_shingles long, label long")
+    tried = simhash.forest(texts, 3)
+    top = collections.defaultdict(list)
+    for r in tried.collect():
+        top[r.trie, r.key >> (simhash.KEY_BITS - depth)].append(r)
+    want = {(min(x.node, y.node), max(x.node, y.node)) for g in top.values() for i, x in enumerate(g) for y in g[:i] if x.label != y.label and ((x.s0 ^ y.s0) & (1 << 64) - 1).bit_count() + ((x.s1 ^ y.s1) & (1 << 64) - 1).bit_count() <= bound}
+    assert len(want) > 150 and min(map(len, top.values())) > 40
+    for piece in (20, 1000):
+        assert {(r.a, r.b) for r in simhash.candidates(tried, depth, bound, 0.8, 8, 16, piece, nearest=False).collect()} == want
+
+
 def test_forest_parameters_reach_the_recall():
     depth, tries, bound = simhash.shape(200_000, 0.8, 0.99, 128)
     rng = np.random.default_rng(0)

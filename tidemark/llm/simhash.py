@@ -15,11 +15,8 @@ binomial spread of the bits that differ. Inside a trie
 the prefix adapts to the density: where a subtree of a shorter prefix (up to
 ``CLIMB`` bits less) holds no more than ``leaf`` texts, the search climbs to
 it; everywhere else it climbs to ``depth`` bits, the longest prefix that keeps
-the target recall. Subtrees of more than ``hot`` texts are split at longer
-prefixes; what even those leave together is read in pieces of ``piece`` texts
-in key order, which overlap, so that a task's memory has a bound. Candidates pass a bound on the Hamming distance
-and on the sizes of the sets; the rest are verified on their whole shingle
-sets.
+the target recall. Candidates pass a bound on the Hamming distance and on the
+sizes of the sets; the rest are verified on their whole shingle sets.
 
 Candidates inside a dense subtree aren't all emitted. In round one each text
 is paired with the nearest text before it in each subtree and verified; in
@@ -27,6 +24,13 @@ round two the pairs between texts that round one left in different classes
 are. So no candidate link between two classes goes untested, while a group of
 n near-copies costs about n pairs.
 
+A subtree of ``depth`` bits with more than ``hot`` texts: round one, which only
+saves pairs, splits it at longer prefixes and looks at few texts before each.
+Round two takes it whole. It is cut into pieces of about ``piece`` texts, each
+a group of its own; the texts outside the subtree's most frequent class are
+also sent to all its other pieces and compared there batch by batch, so that
+all pairs between classes are met and a task holds one piece.
+
 Defined results: null and wordless texts are copies of each other and form one
 class; repeated ids or rows count as copies if their texts are equal; the kept
 document of a class has the smallest id (null last). Texts are identified by
@@ -189,6 +193,28 @@ def subtrees(key: np.ndarray, depth: int, leaf: int, climb: int) -> list[tuple[i
     return out
 
 
+def _matcher(s0, s1, size, label, bound, similarity):
+    def match(i, j):
+        """Which of rows i (a column) and j (a row) can be near-duplicates, and their distances."""
+        ham = np.bitwise_count(s0[i][:, None] ^ s0[j][None, :]) + np.bitwise_count(s1[i][:, None] ^ s1[j][None, :])
+        x, y = size[i][:, None], size[j][None, :]
+        return (ham <= bound) & (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (label[i][:, None] != label[j][None, :]), ham
+
+    return match
+
+
+def _across(s0, s1, size, label, bound, similarity, own):
+    """Candidate pairs, as positions, of the rows from ``own`` on with those before it."""
+    match, mine = _matcher(s0, s1, size, label, bound, similarity), np.arange(own)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(own, len(s0), 256):
+        i = np.arange(a, min(len(s0), a + 256))
+        x, y = np.nonzero(match(i, mine)[0])
+        left.append(i[x])
+        right.append(y)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _pairs(s0, s1, size, label, bound, similarity, nearest, window):
     """Candidate pairs of one subtree as positions: the nearest before each, or all across labels.
 
@@ -198,13 +224,7 @@ def _pairs(s0, s1, size, label, bound, similarity, nearest, window):
     """
     n = len(s0)
     left, right = [], []
-
-    def match(i, j):
-        """Which of rows i (a column) and j (a row) can be near-duplicates, and their distances."""
-        ham = np.bitwise_count(s0[i][:, None] ^ s0[j][None, :]) + np.bitwise_count(s1[i][:, None] ^ s1[j][None, :])
-        x, y = size[i][:, None], size[j][None, :]
-        return (ham <= bound) & (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (label[i][:, None] != label[j][None, :]), ham
-
+    match = _matcher(s0, s1, size, label, bound, similarity)
     if nearest:
         for a in range(0, n, 512):
             i = np.arange(a, min(n, a + 512))
@@ -231,32 +251,53 @@ def _pairs(s0, s1, size, label, bound, similarity, nearest, window):
     return np.concatenate(left), np.concatenate(right)
 
 
+def _dense(rows: DataFrame, depth: int, hot: int, piece: int, nearest: bool) -> DataFrame:
+    """``rows`` with their bucket: _deep (its bits where dense, else null), _piece, and _guest for a text sent to another piece."""
+    rows = rows.withColumn("_top", F.shiftright("key", KEY_BITS - depth))
+    counts = cut(rows.groupBy("trie", "_top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
+    if not counts.count():
+        return rows.select("*", F.lit(None).cast("int").alias("_deep"), F.lit(0).alias("_piece"), F.lit(False).alias("_guest"))
+    if nearest:
+        deep = F.least(F.lit(KEY_BITS), depth + 2 + F.ceil(F.log2(F.col("_n") / hot))).cast("int")
+        return rows.join(counts.select("trie", "_top", deep.alias("_deep")), ["trie", "_top"], "left").select("*", F.lit(0).alias("_piece"), F.lit(False).alias("_guest"))
+    of = rows.join(counts.where(F.col("_n") > piece), ["trie", "_top"]).groupBy("trie", "_top", "label").agg(F.count(F.lit(1)).alias("_n"))
+    main = cut(of.groupBy("trie", "_top").agg(F.max_by("label", F.struct("_n", "label")).alias("_main")))
+    pieces = F.ceil(F.col("_n") / piece).cast("int")
+    rows = rows.join(counts.join(main, ["trie", "_top"], "left").select("trie", "_top", F.lit(depth).alias("_deep"), pieces.alias("_pieces"), "_main"), ["trie", "_top"], "left")
+    rows = rows.withColumn("_own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"), F.lit(0)))
+    every = F.when(F.col("label") != F.col("_main"), F.sequence(F.lit(0), F.col("_pieces") - 1)).otherwise(F.array("_own"))
+    return rows.withColumn("_piece", F.explode(F.when(F.col("_main").isNull(), F.array("_own")).otherwise(every))).withColumn("_guest", F.col("_piece") != F.col("_own"))
+
+
 def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf: int, hot: int, piece: int, nearest: bool) -> DataFrame:
     """Distinct (a, b), a < b, that share a subtree and pass the bounds."""
     base = depth - CLIMB
-    counts = rows.groupBy("trie", F.shiftright("key", KEY_BITS - depth).alias("_top")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-    dense = cut(counts.select("trie", "_top", F.least(F.lit(KEY_BITS), depth + 2 + F.ceil(F.log2(F.col("_n") / hot))).cast("int").alias("_deep")))
-    if dense.count():
-        rows = rows.withColumn("_top", F.shiftright("key", KEY_BITS - depth)).join(dense, ["trie", "_top"], "left").drop("_top")
-    else:
-        rows = rows.withColumn("_deep", F.lit(None).cast("int"))
     cutoff = F.expr(f"shiftright(key, {KEY_BITS} - coalesce(_deep, {base}))")
-    rows = rows.select("trie", F.coalesce("_deep", F.lit(0)).alias("deep"), cutoff.alias("bucket"), "key", "node", "s0", "s1", "n_shingles", "label")
-    rows = rows.repartition("trie", "deep", "bucket").sortWithinPartitions("trie", "deep", "bucket", "key", "s0", "s1", "node")
+    rows = _dense(rows, depth, hot, piece, nearest)
+    rows = rows.select("trie", F.coalesce("_deep", F.lit(0)).alias("deep"), cutoff.alias("bucket"), F.col("_piece").alias("piece"), F.col("_guest").alias("guest"), "key", "node", "s0", "s1", "n_shingles", "label")
+    rows = rows.repartition("trie", "deep", "bucket", "piece").sortWithinPartitions("trie", "deep", "bucket", "piece", "guest", "key", "s0", "s1", "node")
 
     def run(batches):
-        names = ["trie", "deep", "bucket", "key", "node", "s0", "s1", "n_shingles", "label"]
+        names = ["trie", "deep", "bucket", "piece", "guest", "key", "node", "s0", "s1", "n_shingles", "label"]
         held = None
 
-        def search(c):
-            trie, deep, bucket, key, node, s0, s1, size, label = c
+        def search(c, guests_only=False):
+            trie, deep, bucket, part, guest, key, node, s0, s1, size, label = c
             a_out, b_out = [], []
-            change = (trie[1:] != trie[:-1]) | (deep[1:] != deep[:-1]) | (bucket[1:] != bucket[:-1])
+            change = (trie[1:] != trie[:-1]) | (deep[1:] != deep[:-1]) | (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
             edges = np.flatnonzero(np.concatenate([[True], change, [True]])) if len(key) else np.zeros(1, int)
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if y - x < 2:
                     continue
                 d = int(deep[x])
+                own = x + int(np.count_nonzero(~guest[x:y]))
+                if own < y:
+                    i, j = _across(s0[x:y], s1[x:y], size[x:y], label[x:y], bound, similarity, own - x)
+                    a_out.append(node[x + i])
+                    b_out.append(node[x + j])
+                    y = own
+                if guests_only:
+                    continue
                 for p, q in subtrees(key[x:y], d or depth, leaf, 0 if d else CLIMB):
                     p, q = p + x, q + x
                     i, j = _pairs(s0[p:q], s1[p:q], size[p:q], label[p:q], bound, similarity, nearest, WINDOW if d else 0)
@@ -270,20 +311,26 @@ def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            c = [batch.column(k).to_numpy() for k in range(len(names))]
-            c[5], c[6] = c[5].view(np.uint64), c[6].view(np.uint64)
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            c[7], c[8] = c[7].view(np.uint64), c[8].view(np.uint64)
             if held is not None:
                 c = [np.concatenate(x) for x in zip(held, c)]
             if not len(c[0]):
                 continue
             # the last bucket may go on in the next batch
-            last = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1])
+            last = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1]) & (c[3] == c[3][-1])
             end = int(np.argmax(last))
             out = search([x[:end] for x in c])
             if out is not None:
                 yield out
             held = [x[end:] for x in c]
-            if len(held[0]) > piece and held[1][0]:  # a dense bucket without end: piece by piece
+            if held[4][-1]:  # guests come after a piece's own rows and aren't kept
+                out = search(held, guests_only=True)
+                if out is not None:
+                    yield out
+                own = ~held[4]
+                held = [x[own] for x in held]
+            elif nearest and len(held[0]) > piece and held[1][0]:  # a dense bucket without end: piece by piece
                 out = search(held)
                 if out is not None:
                     yield out
