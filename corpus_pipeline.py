@@ -20,8 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that their source repeats on too many pages; n_chars follows the text."""
-    got = linededup.drop_boilerplate(docs)
+    """Documents less the lines that their source repeats on too many pages; n_chars follows the text.
+
+    Copies of a page count once: they are for the next stage, which keeps one.
+    """
+    got = linededup.drop_boilerplate(docs, copies_once=True)
     columns = [F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns]
     return got.select(*columns)
 

@@ -502,6 +502,20 @@ def test_line_dedup_is_native_and_takes_awkward_rows(odd, none):
     assert linededup.drop_boilerplate(none).count() == 0
 
 
+def test_copies_of_a_page_are_not_boilerplate_in_the_pipeline(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    copy = "\n".join(prose(700 + j, 8) for j in range(3))
+    rows = [(k, copy + " \n" * (k % 2), "en", "x", len(copy)) for k in range(40)]
+    rows += [(k, "site menu\n" + prose(k, 30), "en", "x", 0) for k in range(40, 120)] + [(120 + k, copy, "en", "y", 0) for k in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = cp.drop_boilerplate_lines(spark, docs, sf_dir).collect()
+    assert len(got) == 123
+    for r in got:
+        text = rows[r.doc_id][1]
+        assert r.text == (text[len("site menu\n"):] if text.startswith("site menu") else text)
+
+
 # -- tokens -------------------------------------------------------------------
 
 

@@ -14,8 +14,9 @@ counted to be under ``broadcast_lines``, else a hash join on (host, salt) with
 ``salts`` copies of the host rows, so that a hot host spreads over many tasks.
 
 Defined results: null text stays null with 0 lines; null hosts form one host;
-an empty text has one blank line; repeated pages each count as a page; a line
-repeated inside a page counts once for it.
+an empty text has one blank line; repeated pages each count as a page, or with
+``copies_once`` pages of a host with the same lines (trimmed, less blank ones)
+count as one page; a line repeated inside a page counts once for it.
 """
 
 from __future__ import annotations
@@ -29,9 +30,12 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def boilerplate_lines(pages: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.02, min_pages: int = 3) -> DataFrame:
+def boilerplate_lines(pages: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.02, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """(host, line hash, pages, host_pages) of the lines over the ratio."""
     slim = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    if copies_once:
+        kept = F.filter(line_keys(F.col("_text")), lambda x: x.isNotNull())
+        slim = slim.groupBy("_host", F.xxhash64(kept).alias("_page")).agg(F.first("_text").alias("_text"))
     totals = slim.groupBy("_host").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = (
         slim.where(F.col("_text").isNotNull())
@@ -44,13 +48,13 @@ def boilerplate_lines(pages: DataFrame, *, text: str = "text", host: str = "sour
     return lines.join(totals, lines["_host"].eqNullSafe(totals["_host"])).where(F.col("pages") > ratio * F.col("host_pages")).select(lines["_host"], "_line", "pages", "host_pages")
 
 
-def drop_boilerplate(pages: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.02, min_pages: int = 3, broadcast_lines: int = 1_000_000, salts: int = 64) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.02, min_pages: int = 3, broadcast_lines: int = 1_000_000, salts: int = 64, copies_once: bool = False) -> DataFrame:
     """``pages`` with ``text`` less its boilerplate lines, and n_lines and n_dropped.
 
     Input columns named n_lines or n_dropped are replaced.
     """
     names = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")]
-    dropped = boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_pages=min_pages)
+    dropped = boilerplate_lines(pages, text=text, host=host, ratio=ratio, min_pages=min_pages, copies_once=copies_once)
     # materialised: its size decides the join
     from .util import cut
 
