@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the words that the mix takes of each."""
-    return mixing.mix_sources(docs)
+    return mixing.mix_sources(docs, exact=True)
 
 
 STAGES = [

@@ -470,6 +470,20 @@ def test_mix_of_awkward_rows(odd, none):
     assert {r.taken for r in mixing.mix_sources(odd.where("text is null")).collect()} == {0}
 
 
+def test_small_sources_meet_their_targets_in_the_pipeline(spark, sf_dir):
+    import corpus_pipeline as cp
+
+    many = " ".join(["w"] * 20_000)
+    rows = [(k, many, "en", "large", 0) for k in range(60)] + [(60 + k, prose(k, n), "en", f"s{k}", 0) for k, n in enumerate([7, 100, 300, 600, 1100])] + [(70, None, "en", "s0", 0), (71, prose(9, 4), "en", "s0", 0)]
+    got = cp.mix(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(taken[s] == round(t) for s, t in target.items()) and len(target) == 6
+
+
 # -- lines --------------------------------------------------------------------
 
 

@@ -91,7 +91,7 @@ def schedule(spark: SparkSession, shared: DataFrame, slots: int) -> DataFrame:
     return index_rows(placed, F.col("k"), F.col("slot")).select("slot", "k", F.col("_index").alias("rank"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 4_000) -> DataFrame:
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 4_000, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target and taken.
 
     ``block``: words a slot; by default a thousandth of the average source,
@@ -109,11 +109,6 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def small(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
-    # slots: how many take each block
-    lengths = sources.select("k", F.expr(f"(source_size + {b - 1}) div {b}").alias("blocks"))
-    slots = schedule(spark, shares(sources), -(-total // b)).join(small(lengths, count), "k").where(F.col("rank") < max_epochs * F.col("blocks"))
-    times = slots.groupBy("k", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
-
     # documents: their place in the shuffled source
     numbered = slim.join(small(sources.select(F.struct(F.col("source").alias("s")).alias("_source"), "k", "n_docs"), count), "_source")
     buckets = F.greatest(F.lit(1), F.expr(f"(n_docs + {bucket_docs - 1}) div {bucket_docs}"))
@@ -127,11 +122,20 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     placed = placed.withColumn("copy", F.row_number().over(W.partitionBy("k", "bucket", "_row").orderBy("_at")))
     placed = placed.join(small(bases, count + n_docs // bucket_docs), ["k", "bucket"]).withColumn("at", F.col("_at") + F.col("_base"))
 
-    # slots and documents meet on (source, block)
-    parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))))
-    words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)
-    met = parts.withColumn("words", words).join(times, ["k", "block"], "left")
-    taken = cut(met.groupBy("k", "_row", "copy").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
+    if exact:
+        wants = small(sources.select("k", "source_size", F.round("target").cast("long").alias("_want")), count)
+        over = F.least(F.col("size"), F.greatest(F.lit(0), F.expr("_want % source_size") - F.col("at")))
+        taken = cut(placed.where("size > 0").join(wants, "k").select("k", "_row", "copy", (F.expr("_want div source_size") * F.col("size") + over).cast("long").alias("taken")))
+    else:
+        # slots: how many take each block
+        lengths = sources.select("k", F.expr(f"(source_size + {b - 1}) div {b}").alias("blocks"))
+        slots = schedule(spark, shares(sources), -(-total // b)).join(small(lengths, count), "k").where(F.col("rank") < max_epochs * F.col("blocks"))
+        times = slots.groupBy("k", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
+        # slots and documents meet on (source, block)
+        parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))))
+        words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)
+        met = parts.withColumn("words", words).join(times, ["k", "block"], "left")
+        taken = cut(met.groupBy("k", "_row", "copy").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
 
     sized = docs.select(*names, F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"), size_of(F.col(text)).alias("size"))
     sized = sized.join(small(sources.select(F.struct(F.col("source").alias("s")).alias("_source"), "k", "source_size", "target"), count), "_source")
