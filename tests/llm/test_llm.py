@@ -343,6 +343,19 @@ def test_pseudonyms_keep_their_format():
         assert n.apply(f"see {text} there")[0] == new
 
 
+def test_numbers_that_others_follow_are_found():
+    n = pii.Pseudonyms(b"k")
+    card, iban, phone = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "+4915 1234 5678 901"
+    for text, kind, value in (
+        (f"pay {card} 123 now", "card", card), ("pay 4111111111111111 12/27 now", "card", "4111111111111111"), ("pay 4111-1111-1111-1111 1 2 3", "card", "4111-1111-1111-1111"),
+        (f"see {iban} 12 now", "iban", iban), ("see DE89370400440532013000 1234 now", "iban", "DE89370400440532013000"), (f"see {iban} EUR now", "iban", iban), (f"see {phone} 123 now", "phone", phone),
+    ):
+        new, found = n.apply(text)
+        assert found == [(kind, 4, 4 + len(value))] and value not in new and new[4 + len(value) :] == text[4 + len(value) :], text
+        assert new[4 : 4 + len(value)] == n.apply(value)[0]
+    assert n.apply("pay 4111 1111 1111 1112 123 now") == ("pay 4111 1111 1111 1112 123 now", [])
+
+
 def test_pseudonyms_of_awkward_rows(spark, odd, none):
     got = pii.pseudonymise(odd, b"k")
     rows = got.select("text", "pseudonymised", "n_found").collect()

@@ -23,7 +23,8 @@ domain. Documents without a digit (and without ``@``) aren't scanned.
 
 Defined results: null text stays null, with no findings; overlapping matches
 are resolved from the left, the longer pattern first in the order above;
-numbers that fail their check stay as they are; input columns named like
+a card, IBAN or telephone number that fails its check is tried without its last
+groups; numbers that fail then stay as they are; input columns named like
 output columns are replaced.
 """
 
@@ -59,6 +60,16 @@ PATTERN = re.compile(
 )
 
 
+def _ends(s: str, least: int, most: int) -> list[int]:
+    """Where the groups of ``s`` end, but for the last, that leave so many letters and digits; the longest first."""
+    ends = [m.end() for m in re.finditer(r"[A-Za-z0-9]+", s)][:-1]
+    return [e for e in reversed(ends) if least <= sum(map(str.isalnum, s[:e])) <= most]
+
+
+#: Where a match that fails its check may end instead.
+SHORTER = {"card": lambda s: _ends(s, 13, 19), "iban": lambda s: _ends(s, 15, 34), "phone": lambda s: _ends(s, 7, 15) if s[0] == "+" else []}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -218,14 +229,20 @@ class Pseudonyms:
         out, found, last, at = [], [], 0, 0
         while m := PATTERN.search(text, at):
             kind = m.lastgroup if m.lastgroup != "sep" else "day"
-            new = getattr(self, kind)(m[0])
+            new, end = getattr(self, kind)(m[0]), m.end()
+            if new is None and kind in SHORTER:  # a number that others follow: end it at an earlier group
+                for end in SHORTER[kind](m[0]):
+                    new = getattr(self, kind)(m[0][:end])
+                    if new is not None:
+                        end += m.start()
+                        break
             if new is None:  # not valid as this: try what else begins later in it
                 skip = re.compile(r"\d+|\w").match(text, m.start())
                 at = max(m.start() + 1, skip.end() if skip else 0)
                 continue
             out += [text[last : m.start()], new]
-            found.append(("date" if kind in ("iso", "day") else kind, m.start(), m.end()))
-            last = at = m.end()
+            found.append(("date" if kind in ("iso", "day") else kind, m.start(), end))
+            last = at = end
         out.append(text[last:])
         return "".join(out), found
 
