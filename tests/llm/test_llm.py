@@ -210,6 +210,12 @@ def test_viterbi_is_exact():
             assert scores[np.arange(a, b), path].sum() - 4.0 * np.count_nonzero(np.diff(path)) == pytest.approx(langid.brute_path(scores[a:b], 4.0))
 
 
+def test_viterbi_takes_many_labels():
+    scores = np.zeros((100, 200))
+    scores[:50, 150] = scores[50:, 199] = 3.0
+    assert langid.viterbi(scores, np.array([0, 100]), 4.0).tolist() == [150] * 50 + [199] * 50
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs)

@@ -149,7 +149,7 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
         entry[b] = v[docs]
         v[docs] = (v[docs][:, :, None] + d[b]).max(axis=1)
     # forward once more with back pointers, and what each end label leads back to
-    back = np.empty((BLOCK, nb, k), dtype=np.int8)
+    back = np.empty((BLOCK, nb, k), dtype=np.min_scalar_type(-k))
     x = entry
     for t in range(BLOCK):
         top = x.argmax(axis=1)
