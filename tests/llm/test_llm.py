@@ -105,32 +105,134 @@ def test_a_hot_group_of_near_copies_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and sum(r.keep for r in got) == 1
 
 
-def test_no_link_between_classes_of_a_dense_subtree_is_lost(spark):
+def near_signatures(n=1200, near=400):
+    """Random signatures, of which the first ``near`` are pairs that differ in 16 bits spread over all."""
     rng = np.random.default_rng(3)
-    n, depth, bound = 1200, 4, 33
     sig = rng.integers(0, 1 << 63, (n, 2), dtype=np.int64)
-    for k in range(0, 400, 2):  # near pairs, the bits that differ spread over all
+    for k in range(0, near, 2):
         flip = np.zeros(128, np.uint8)
         flip[rng.permutation(128)[:16]] = 1
         sig[k + 1] = sig[k] ^ np.packbits(flip).view(np.int64)
-    rows = [(k, int(a), int(b), 50, k % 2 * (k >= 400)) if k >= 400 else (k, int(a), int(b), 50, k + 2) for k, (a, b) in enumerate(sig)]
+    return sig
+
+
+def distance(x, y):
+    return sum(((int(a) ^ int(b)) & (1 << 64) - 1).bit_count() for a, b in zip(x, y))
+
+
+def shared_subtrees(sig, form):
+    """Pairs within the bound that share ``depth`` bits of some trie of some group of theirs."""
+    u = sig.view(np.uint64)
+    bit = lambda row, b: (int(u[row, b >> 6]) >> (b & 63)) & 1
+    out = set()
+    for prefix, tries in form.orders():
+        for t in tries:
+            top = collections.defaultdict(list)
+            for row in range(len(sig)):
+                top[tuple(bit(row, b) for b in [*prefix.tolist(), *t[: form.depth].tolist()])].append(row)
+            for g in top.values():
+                out |= {(x, y) for k, y in enumerate(g) for x in g[:k] if distance(sig[x], sig[y]) <= form.bound}
+    return out
+
+
+@pytest.mark.parametrize("dense, hot, piece", [(8192, 1 << 21, 1 << 20), (8192, 200, 60), (16, 1 << 21, 1 << 20), (16, 200, 60)])
+def test_no_link_between_classes_of_a_dense_subtree_is_lost(spark, dense, hot, piece):
+    sig = near_signatures()
+    form = simhash.Shape(prefix=1, groups=2, depth=3, tries=2, leaf=8, bound=33, small_bound=33, similarity=0.8)
+    reach = shared_subtrees(sig, form)
+    rows = [(k, int(a), int(b), 50, k % 2 if k >= 400 else k + 2) for k, (a, b) in enumerate(sig)]
+    label = {r[0]: r[4] for r in rows}
     texts = spark.createDataFrame(rows, "node long, s0 long, s1 long, n_shingles long, label long")
-    tried = simhash.forest(texts, 3)
-    top = collections.defaultdict(list)
-    for r in tried.collect():
-        top[r.trie, r.key >> (simhash.KEY_BITS - depth)].append(r)
-    want = {(min(x.node, y.node), max(x.node, y.node)) for g in top.values() for i, x in enumerate(g) for y in g[:i] if x.label != y.label and ((x.s0 ^ y.s0) & (1 << 64) - 1).bit_count() + ((x.s1 ^ y.s1) & (1 << 64) - 1).bit_count() <= bound}
-    assert len(want) > 150 and min(map(len, top.values())) > 40
-    for piece in (20, 1000):
-        assert {(r.a, r.b) for r in simhash.candidates(tried, depth, bound, 0.8, 8, 16, piece, nearest=False).collect()} == want
-
-
-def test_forest_parameters_reach_the_recall():
-    depth, tries, bound = simhash.shape(200_000, 0.8, 0.99, 128)
+    sizes = dict(dense=dense, hot=hot, piece=piece)
+    # round two: all pairs of different labels that share a subtree; climbing may add others within the bound
+    want = {(x, y) for x, y in reach if label[x] != label[y]}
+    got = {(r.a, r.b) for r in simhash.candidates(texts, form, first=False, **sizes).collect()}
+    assert len(want) > 150 and want <= got
+    assert all(a < b and label[a] != label[b] and distance(sig[a], sig[b]) <= 33 for a, b in got)
+    # round one: each pair is there, or both of its texts go to round two
+    found = [tuple(r) for r in simhash.candidates(texts, form, first=True, **sizes).collect()]
+    later = {a for a, b in found if b is None}
+    assert all(p in set(found) or later >= set(p) for p in reach)
+    assert all(distance(sig[a], sig[b]) <= 33 for a, b in found if b is not None)
+
+
+@pytest.mark.parametrize("leaf, capacity, options", [(8, 400, {}), (8, 400, dict(dense=16, hot=150, piece=100))])
+def test_recall_of_pairs_just_above_the_similarity(spark, leaf, capacity, options):
+    """Links found of those between 0.80 and 0.85, many of them in dense subtrees: at least nine in ten."""
+    rng = random.Random(11)
+    base, rows = prose(77, 4000).split(), []
+    for k in range(300):
+        # half of the pairs lie among texts that share most of their words
+        w = base[:90] if k % 2 else [rng.choice(base) for _ in range(rng.choice([12, 40, 90]))]
+        w = [x if rng.random() > 0.04 else f"{x}{rng.randrange(1000)}" for x in w]
+        other = w[:]
+        for at in rng.sample(range(len(w)), max(1, round(len(w) * 0.021))):
+            other[at] = "edit"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (t.split() for _, t in rows)]
+    links = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in range(len(rows)) for i in range(j) if sets[i] & sets[j]}
+    near = {p for p, s in links.items() if 0.8 <= s < 0.85}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    form = simhash.shape(len(rows), 0.8, 0.99, leaf, capacity)
+    assert form.prefix >= 1 and form.depth >= 1
+    got = {r.doc_id: r.class_id for r in simhash.classes(df, leaf=leaf, capacity=capacity, **options).collect()}
+    assert len(near) > 60 and sum(got[a] == got[b] for a, b in near) >= 0.9 * len(near)
+    # and no class but by links
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), s in links.items():
+        if s >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(k) == find(c) for k, c in got.items())
+
+
+@pytest.mark.parametrize("texts", [3_000, 200_000, 12_000_000])
+def test_forest_parameters_reach_the_recall(texts):
+    form = simhash.shape(texts, 0.8, 0.99, 256, 1 << 20)
+    assert form.bound < 40 and texts / 2**form.prefix <= 1 << 20
     rng = np.random.default_rng(0)
     differ = np.arccos(1.6 / 1.8) / np.pi
-    miss = np.mean([np.all([(rng.permutation(128)[:depth] >= h).sum() < depth for _ in range(tries)]) for h in rng.binomial(128, differ, 400)])
-    assert miss < 0.03 and bound < 40
+
+    def found(h):
+        bad = set(rng.permutation(128)[:h].tolist())
+        return any(not bad & set(prefix.tolist()) and any(not bad & set(t[: form.depth].tolist()) for t in tries) for prefix, tries in orders)
+
+    orders = form.orders()
+    assert np.mean([not found(h) for h in rng.binomial(128, differ, 600)]) < 0.025
+
+
+def test_near_duplicates_with_text_ids_and_many_short_texts(spark):
+    df = spark.createDataFrame([("b", "one two"), ("a", "One two!"), (None, "one two"), ("c", "three")], "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.class_size, r.keep) for r in simhash.classes(df).collect()}
+    assert got == {("a", "a", 3, True), ("b", "a", 3, False), (None, "a", 3, False), ("c", "c", 1, True)}
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == ["a", "c"]
+    # a chunk of more texts than its documents' 16 bits can number
+    chunks = [len(w.offs) - 1 for _, _, w in textvec.word_chunks(pa.array(["a b"] * 70_000))]
+    assert sum(chunks) == 70_000 and max(chunks) <= 1 << 16
+
+
+def test_one_very_long_text_needs_bounded_memory():
+    import tracemalloc
+
+    text = (prose(4, 20_000) + " ") * 40  # some 5 MB; numpy tells tracemalloc what it holds
+    size = len(text)
+    column = pa.array([text])
+    tracemalloc.start()
+    for _, _, w in textvec.word_chunks(column):
+        whole = simhash._sequence_hash(w.hash, w.offs, 1)
+        sh, offs = simhash.shingle_sets(w, whole)
+        simhash.signatures(sh, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * size + (80 << 20)
+    # hashes don't depend on where the slices lie
+    short = textvec.Words(np.frombuffer(text[:3000].encode(), np.uint8), np.array([0, 3000]))
+    assert (short.hash[:-1] == w.hash[: len(short.hash) - 1]).all()
 
 
 def test_components(spark):

@@ -6,40 +6,49 @@ shingle). Classes are the connected components of that relation; exact copies
 (equal word sequences) are collapsed to one text before any pairing, so a
 group of copies, however large, costs one aggregate.
 
-Method: each distinct text has a 128-bit SimHash. A forest of ``tries`` over
-randomly permuted bits holds all texts. At similarity ``similarity`` a bit
-agrees with probability p = 1 - acos(2s / (1 + s)) / pi, so ``tries`` prefixes
-of ``depth`` bits find a pair with about 1 - (1 - p^depth)^tries; depth follows
-the number of texts and the tries are as many as reach ``recall`` over the
-binomial spread of the bits that differ. Inside a trie
-the prefix adapts to the density: where a subtree of a shorter prefix (up to
-``CLIMB`` bits less) holds no more than ``leaf`` texts, the search climbs to
-it; everywhere else it climbs to ``depth`` bits, the longest prefix that keeps
-the target recall. Candidates pass a bound on the Hamming distance and on the
-sizes of the sets; the rest are verified on their whole shingle sets.
-
-Candidates inside a dense subtree aren't all emitted. In round one each text
-is paired with the nearest text before it in each subtree and verified; in
-round two the pairs between texts that round one left in different classes
-are. So no candidate link between two classes goes untested, while a group of
-n near-copies costs about n pairs.
-
-A subtree of ``depth`` bits with more than ``hot`` texts: round one, which only
-saves pairs, splits it at longer prefixes and looks at few texts before each.
-Round two takes it whole. It is cut into pieces of about ``piece`` texts, each
-a group of its own; the texts outside the subtree's most frequent class are
-also sent to all its other pieces and compared there batch by batch, so that
-all pairs between classes are met and a task holds one piece.
+Method: each distinct text has a 128-bit SimHash. An LSH forest of tries over
+randomly permuted bits holds all texts. So that a text isn't shuffled once a
+trie, the tries come in groups that share their first ``prefix`` bits: a text
+is sent once a group, to the task of its prefix, and the group's tries over
+permutations of the other bits are built there in memory. Inside a trie the
+prefix adapts to the density: where a subtree of a shorter prefix (up to CLIMB
+bits less) holds no more than ``leaf`` texts, the search climbs to it;
+elsewhere it climbs to ``depth`` bits, the longest prefix that keeps the
+target recall. ``shape`` takes the cheapest numbers of groups and tries whose
+recall for a pair exactly at the similarity is ``recall``. Candidates pass a
+bound on the Hamming distance and on the sizes of the sets; the rest are
+verified on their whole shingle sets.
+
+Dense subtrees don't emit all their pairs. In round one a text that has more
+than FEW candidates before it in a subtree is paired with the nearest only,
+and the texts of the pairs left out are marked. Round two sends the marked
+texts through the same forest with the classes that round one left them in,
+and takes all candidate pairs between different classes, in batches of bounded
+size. Fewer texts only shorten the prefixes, so each pair left out is met
+again, and no candidate link between two classes goes untested, while a group
+of n near-copies costs about n pairs.
+
+A group of more than ``hot`` texts (a third of all texts may be near-copies of
+one): round one, which only saves pairs, goes over it in order of the
+signatures, a bounded piece after the other, and marks every text. Round two
+takes it whole: its texts are cut into pieces by a hash, and those outside
+the group's commonest class go to all pieces, so that all pairs between
+classes are met and a task holds one piece. Subtrees of more than ``dense``
+texts look in round one at WINDOW texts before each and mark all.
 
 Defined results: null and wordless texts are copies of each other and form one
 class; repeated ids or rows count as copies if their texts are equal; the kept
-document of a class has the smallest id (null last). Texts are identified by
-64-bit hashes of their words in the link graph.
+document of a class has the smallest id (null last). Ids may be of any type
+with an order. Texts are identified by 64-bit hashes of their words in the
+link graph. A text of any length is one row of one task, which holds about
+fifteen bytes a byte of it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,38 +58,60 @@ from pyspark.sql import types as T
 
 from . import textvec
 from .components import components
-from .util import cut
+from .util import cut, discard
 
 BITS = 128
-KEY_BITS = 62
+KEY_BITS = 32
 CLIMB = 3
 SHINGLE = 5
 BROADCAST_TEXTS = 2_000_000
+BROADCAST_GROUPS = 100_000
+#: Bits by which texts are shared out among tasks, where there are enough.
+PREFIX = 4
+#: What sending a text to one more group costs, in tries.
+ROW_COST = 40
 #: In a dense subtree a text looks for its nearest neighbour among so many before it in key order.
 WINDOW = 256
+#: Candidates before a text in a subtree up to which round one emits them all.
+FEW = 2
+BATCH_PAIRS = 1 << 18
+#: Sets of so few shingles are bounded by their exact bit difference; beyond, ties are rare enough.
+SMALL_SHINGLES = 5
 
 
 def _sequence_hash(h: np.ndarray, offs: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit hash of the word sequence of each document."""
     mul = (0xD1342543DE82EF95 ^ (salt << 3)) | 1
-    n = len(h)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(h * textvec._powers(n, mul), out=acc[1:])
-    back = textvec._powers(n + 1, pow(mul, -1, 1 << 64))
-    size = np.diff(offs).astype(np.uint64)
-    return textvec.mix((acc[offs[1:]] - acc[offs[:-1]]) * back[offs[:-1]] + size)
+    out = np.zeros(len(offs) - 1, dtype=np.uint64)
+    step = 1 << 20
+    for p in range(0, len(h), step):  # a longer run is one document's, or nearly so
+        x = h[p : p + step]
+        acc = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(x * textvec._powers(len(x), mul), out=acc[1:])
+        first = max(0, int(np.searchsorted(offs, p, side="right")) - 1)
+        last = int(np.searchsorted(offs, p + len(x), side="left"))
+        a, b = np.clip(offs[first:last], p, None) - p, np.clip(offs[first + 1 : last + 1], None, p + len(x)) - p
+        part = (acc[b] - acc[a]) * textvec._powers(len(x) + 1, pow(mul, -1, 1 << 64))[a]
+        if last > first and offs[first] < p:
+            part[:1] *= np.uint64(pow(mul, int(p - offs[first]), 1 << 64))
+        out[first:last] += part
+    return textvec.mix(out + np.diff(offs).astype(np.uint64))
 
 
 def shingle_sets(words: textvec.Words, whole: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct 48-bit shingle hashes, by document: (hashes, len + 1 offsets)."""
-    docs = len(words.offs) - 1
+    docs = len(words.offs) - 1  # at most textvec.CHUNK_DOCS, which leaves their numbers 16 bits
     size = np.diff(words.offs)
     g = textvec.grams(words.hash, k)
-    ok = textvec.gram_valid(words.offs, k, len(g))
-    doc = np.repeat(np.arange(docs, dtype=np.uint64), np.maximum(size - k + 1, 0))
+    if docs > 1:
+        g = g[textvec.gram_valid(words.offs, k, len(g))]
+    g >>= np.uint64(16)
+    if docs > 1:
+        g |= np.repeat(np.arange(docs, dtype=np.uint64) << np.uint64(48), np.maximum(size - k + 1, 0))
     few = np.flatnonzero((size > 0) & (size < k)).astype(np.uint64)
-    keys = np.concatenate([(doc << np.uint64(48)) | (g[ok] >> np.uint64(16)), (few << np.uint64(48)) | (whole[few.astype(np.int64)] >> np.uint64(16))])
-    keys = np.unique(keys)
+    keys = np.concatenate([g, (few << np.uint64(48)) | (whole[few.astype(np.int64)] >> np.uint64(16))]) if len(few) else g
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     offs = np.searchsorted(keys, np.arange(docs + 1, dtype=np.uint64) << np.uint64(48))
     return keys & np.uint64((1 << 48) - 1), offs
 
@@ -113,11 +144,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-SIG = "text_key long, node long, node2 long, n_shingles long, s0 long, s1 long"
+SIG = "text_key long, node long, n_shingles long, s0 long, s1 long"
 
 
 def sketch(docs: DataFrame, text: str) -> DataFrame:
-    """One row a document: its id, the hashes of its words and its SimHash."""
+    """One row a document: its id, the hash of its words and its SimHash."""
     slim = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
     def run(batches):
@@ -127,52 +158,117 @@ def sketch(docs: DataFrame, text: str) -> DataFrame:
                 whole = _sequence_hash(words.hash, words.offs, 1)
                 sh, offs = shingle_sets(words, whole)
                 sig = signatures(sh, offs)
-                parts.append((whole, _sequence_hash(words.hash, words.offs, 2), np.diff(offs), sig[:, 0], sig[:, 1]))
+                parts.append((whole, np.diff(offs), sig[:, 0], sig[:, 1]))
             if parts:
                 cols = [np.concatenate(x) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), _signed(cols[0]), _signed(cols[1]), pa.array(cols[2].astype(np.int64)), _signed(cols[3]), _signed(cols[4])],
-                    names=["doc_id", "text_key", "node", "node2", "n_shingles", "s0", "s1"],
+                    [b.column(0), b.column(1), _signed(cols[0]), pa.array(cols[1].astype(np.int64)), _signed(cols[2]), _signed(cols[3])],
+                    names=["doc_id", "text_key", "node", "n_shingles", "s0", "s1"],
                 )
 
     return slim.mapInArrow(run, T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(SIG).fields]))
 
 
-def shape(texts: int, similarity: float, recall: float, leaf: int) -> tuple[int, int, int]:
-    """Depth, tries and the Hamming bound for this many texts.
-
-    The tries are as many as find a pair at the similarity with probability
-    ``recall``, over the binomial spread of its Hamming distance.
+@dataclass(frozen=True)
+class Shape:
+    """A forest: ``groups`` shuffled prefixes of ``prefix`` bits, each with ``tries`` tries of up to ``depth`` more bits."""
+
+    prefix: int
+    groups: int
+    depth: int
+    tries: int
+    leaf: int
+    bound: int
+    small_bound: int
+    similarity: float
+    seed: int = 20
+
+    def orders(self) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """Of each group the bits of its prefix, and of each of its tries the bits of its keys."""
+        out = []
+        for g in range(self.groups):
+            rng = np.random.default_rng((self.seed, g))
+            bits = rng.permutation(BITS)
+            out.append((bits[: self.prefix], [rng.permutation(bits[self.prefix :])[:KEY_BITS] for _ in range(self.tries)]))
+        return out
+
+
+@functools.lru_cache
+def bit_differences(similarity: float, most: int = 24) -> tuple[float, float]:
+    """The largest chance that a bit of two sets at the similarity differs: over all sets, and over those of more than SMALL_SHINGLES.
+
+    For large sets it is acos(2s / (1 + s)) / pi; small sets differ more often
+    as ties count as 0, and are counted out exactly.
+    """
+    large = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = lambda n, k: math.comb(n, k) / 2**n
+    every = rest = large
+    for shared in range(1, most):
+        other = int(shared / similarity - shared + 1e-9)
+        for a in range(other // 2 + 1):
+            b = other - a
+            p = 0.0
+            for k in range(shared + 1):
+                x = sum(chance(a, e) for e in range(a + 1) if 2 * (k + e) > shared + a)
+                y = sum(chance(b, e) for e in range(b + 1) if 2 * (k + e) > shared + b)
+                p += chance(shared, k) * (x * (1 - y) + y * (1 - x))
+            every = max(every, p)
+            if shared + b > SMALL_SHINGLES:
+                rest = max(rest, p)
+    return every, rest
+
+
+def _bound(differ: float) -> int:
+    return math.ceil(BITS * differ + 3.3 * math.sqrt(BITS * differ * (1 - differ)))
+
+
+def shape(texts: int, similarity: float, recall: float, leaf: int, capacity: int) -> Shape:
+    """The forest for this many texts: the cheapest whose recall at the similarity is ``recall``.
+
+    A prefix is as long as brings the texts of a group down to ``capacity``,
+    and of PREFIX bits at least where there are texts enough to share out. A
+    pair is found if some group has both texts and one of its tries too; the
+    chance is taken over the binomial spread of the bits that differ.
     """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    depth = min(40, max(CLIMB + 1, int(math.log2(texts / leaf)) if texts > leaf else 0))
-    spread = [(math.comb(BITS, h) * differ**h * (1 - differ) ** (BITS - h), (1 - h / BITS) ** depth) for h in range(BITS)]
-    tries = 1
-    while sum(w * (1 - p) ** tries for w, p in spread) > 1 - recall:
-        tries += 1
-    bound = math.ceil(BITS * differ + 3.3 * math.sqrt(BITS * differ * (1 - differ)))
-    return depth, tries, bound
+    worst, differ = bit_differences(similarity)
+    prefix = max(0, min(PREFIX, int(math.log2(texts / leaf)) if texts > leaf else 0), math.ceil(math.log2(texts / capacity)) if texts > capacity else 0)
+    share = texts / 2**prefix
+    depth = min(KEY_BITS, int(math.log2(share / leaf)) if share > leaf else 0)
+    agree = lambda h, n, k: math.comb(n - h, k) / math.comb(n, k) if n - h >= k else 0.0
+    spread = [(math.comb(BITS, h) * worst**h * (1 - worst) ** (BITS - h), agree(h, BITS, prefix), agree(h, BITS - prefix, depth)) for h in range(BITS // 2)]
+    best = None
+    for tries in range(1, 65 if depth else 2):
+        found = [(w, p * (1 - (1 - q) ** tries)) for w, p, q in spread]
+        groups = 1
+        while groups < 4096 and sum(w * (1 - f) ** groups for w, f in found) > 1 - recall:
+            groups += 1
+        cost = groups * (ROW_COST + tries)
+        if best is None or cost < best[0]:
+            best = cost, groups, tries
+    return Shape(prefix, best[1], depth, best[2], leaf, _bound(differ), _bound(worst), similarity)
+
+
+def _prefix(bits: np.ndarray):
+    """The prefix of a text's signature as a column expression."""
+    out = F.lit(0).cast("long")
+    for t, b in enumerate(bits.tolist()):
+        bit = F.shiftrightunsigned(F.col(f"s{b >> 6}"), b & 63).bitwiseAND(F.lit(1).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(bit, t))
+    return out
 
 
-def forest(texts: DataFrame, tries: int, seed: int = 20) -> DataFrame:
-    """Every text in every trie: trie, key (its permuted bits) and what pairing needs."""
-    rng = np.random.default_rng(seed)
-    order = [rng.permutation(BITS)[:KEY_BITS] for _ in range(tries)]
+def forest(texts: DataFrame, form: Shape) -> DataFrame:
+    """Every text in every group: ``group`` (its number and prefix) and what pairing needs."""
+    groups = [F.lit(g << form.prefix).cast("long") + _prefix(bits) for g, (bits, _) in enumerate(form.orders())]
+    return texts.select(F.explode(F.array(*groups)).alias("group"), "node", "s0", "s1", F.col("n_shingles").cast("int").alias("n_shingles"), "label")
 
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                part = b.slice(at, 20_000)
-                sig = np.stack([part.column(1).to_numpy(), part.column(2).to_numpy()], axis=1).view(np.uint8)
-                bits = np.unpackbits(np.ascontiguousarray(sig), axis=1)
-                pad = np.zeros((len(bits), 64), dtype=np.uint8)
-                for t, o in enumerate(order):
-                    pad[:, 64 - KEY_BITS :] = bits[:, o]
-                    key = np.packbits(pad, axis=1).view(">u8").astype(np.int64).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), *part.columns], names=["trie", "key", *part.schema.names])
 
-    slim = texts.select("node", "s0", "s1", "n_shingles", "label")
-    return slim.mapInArrow(run, T.StructType([T.StructField("trie", T.IntegerType()), T.StructField("key", T.LongType()), *slim.schema.fields]))
+def _key(s: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> np.ndarray:
+    """The chosen bits of each signature as a number, the first bit on top."""
+    out = np.zeros(len(s[0]), dtype=np.uint32)
+    for b in bits.tolist():
+        out = (out << np.uint32(1)) | ((s[b >> 6] >> np.uint64(b & 63)) & np.uint64(1)).astype(np.uint32)
+    return out
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -180,12 +276,12 @@ def _runs(x: np.ndarray) -> np.ndarray:
 
 
 def subtrees(key: np.ndarray, depth: int, leaf: int, climb: int) -> list[tuple[int, int]]:
-    """Ranges of a sorted run of keys to compare in: short prefixes where sparse, else ``depth`` bits."""
+    """Ranges of sorted keys to compare in: short prefixes where sparse, else ``depth`` bits."""
     out, todo = [], [(0, len(key))]
     for d in range(depth - climb, depth + 1):
         rest = []
         for a, b in todo:
-            edges = _runs(key[a:b] >> (KEY_BITS - d)) + a
+            edges = _runs(key[a:b] >> np.uint32(KEY_BITS - d)) + a if d else np.array([a, b])
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if y - x > 1:
                     (out if d == depth or y - x <= leaf else rest).append((x, y))
@@ -193,167 +289,177 @@ def subtrees(key: np.ndarray, depth: int, leaf: int, climb: int) -> list[tuple[i
     return out
 
 
-def _matcher(s0, s1, size, label, bound, similarity):
-    def match(i, j):
-        """Which of rows i (a column) and j (a row) can be near-duplicates, and their distances."""
-        ham = np.bitwise_count(s0[i][:, None] ^ s0[j][None, :]) + np.bitwise_count(s1[i][:, None] ^ s1[j][None, :])
-        x, y = size[i][:, None], size[j][None, :]
-        return (ham <= bound) & (np.minimum(x, y) >= similarity * np.maximum(x, y)) & (label[i][:, None] != label[j][None, :]), ham
-
-    return match
-
-
-def _across(s0, s1, size, label, bound, similarity, own):
-    """Candidate pairs, as positions, of the rows from ``own`` on with those before it."""
-    match, mine = _matcher(s0, s1, size, label, bound, similarity), np.arange(own)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(own, len(s0), 256):
-        i = np.arange(a, min(len(s0), a + 256))
-        x, y = np.nonzero(match(i, mine)[0])
-        left.append(i[x])
-        right.append(y)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _pairs(s0, s1, size, label, bound, similarity, nearest, window):
-    """Candidate pairs of one subtree as positions: the nearest before each, or all across labels.
-
-    ``window``: where set, only so many rows before each count for the
-    nearest. Rows of the most frequent label needn't be compared with each
-    other, so that a subtree of one class costs nothing in the second round.
-    """
-    n = len(s0)
-    left, right = [], []
-    match = _matcher(s0, s1, size, label, bound, similarity)
-    if nearest:
+class Group:
+    """The texts of one group (or a piece of it), held by one task."""
+
+    def __init__(self, form: Shape, node, s0, s1, size, label):
+        self.form, self.node, self.size, self.label = form, node, size.astype(np.int64), label
+        self.s = s0.view(np.uint64), s1.view(np.uint64)
+        self.limit = np.where(size <= SMALL_SHINGLES, form.small_bound, form.bound).astype(np.uint8)
+
+    def match(self, i: np.ndarray, j: np.ndarray, before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions (x, y) in i and j of the pairs that can be near-duplicates of different labels, and all distances.
+
+        ``before``: i and j end with the same rows; only pairs with j earlier count.
+        """
+        ham = np.bitwise_count(self.s[0][i][:, None] ^ self.s[0][j][None, :]) + np.bitwise_count(self.s[1][i][:, None] ^ self.s[1][j][None, :])
+        x, y = np.nonzero(ham <= self.form.small_bound)
+        if before:
+            ok = y < x + (len(j) - len(i))
+            x, y = x[ok], y[ok]
+        p, q = i[x], j[y]
+        ok = (ham[x, y] <= np.maximum(self.limit[p], self.limit[q])) & (np.minimum(self.size[p], self.size[q]) >= self.form.similarity * np.maximum(self.size[p], self.size[q]))
+        if self.label is not None:
+            ok &= self.label[p] != self.label[q]
+        return x[ok], y[ok], ham
+
+    def nearest(self, rows: np.ndarray, later: np.ndarray, dense: int):
+        """Round one in a subtree: pairs of each row with those before it, all if few, else the nearest.
+
+        The rows of the pairs left out are noted in ``later``. Beyond ``dense``
+        rows only WINDOW rows before each are looked at, and all are noted.
+        """
+        n = len(rows)
+        if n > dense:
+            later[rows] = True
         for a in range(0, n, 512):
-            i = np.arange(a, min(n, a + 512))
-            j = np.arange(max(0, a - window) if window else 0, i[-1])
-            if not len(j):
+            i = rows[a : a + 512]
+            j = rows[max(0, a - WINDOW) if n > dense else 0 : a + len(i)]
+            x, y, ham = self.match(i, j, True)
+            if not len(x):
                 continue
-            ok, ham = match(i, j)
-            ok &= j[None, :] < i[:, None]
-            best = np.argmin(np.where(ok, ham, 255), axis=1)
-            hit = np.flatnonzero(ok[np.arange(len(i)), best])
-            left.append(i[hit])
-            right.append(j[best[hit]])
-    else:
-        names, count = np.unique(label, return_counts=True)
-        rest = np.flatnonzero(label != names[count.argmax()])
-        every = np.arange(n)
-        for a in range(0, len(rest), 256):
-            i = rest[a : a + 256]
-            x, y = np.nonzero(match(i, every)[0])
-            left.append(i[x])
-            right.append(every[y])
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _dense(rows: DataFrame, depth: int, hot: int, piece: int, nearest: bool) -> DataFrame:
-    """``rows`` with their bucket: _deep (its bits where dense, else null), _piece, and _guest for a text sent to another piece."""
-    rows = rows.withColumn("_top", F.shiftright("key", KEY_BITS - depth))
-    counts = cut(rows.groupBy("trie", "_top").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
-    if not counts.count():
-        return rows.select("*", F.lit(None).cast("int").alias("_deep"), F.lit(0).alias("_piece"), F.lit(False).alias("_guest"))
-    if nearest:
-        deep = F.least(F.lit(KEY_BITS), depth + 2 + F.ceil(F.log2(F.col("_n") / hot))).cast("int")
-        return rows.join(counts.select("trie", "_top", deep.alias("_deep")), ["trie", "_top"], "left").select("*", F.lit(0).alias("_piece"), F.lit(False).alias("_guest"))
-    of = rows.join(counts.where(F.col("_n") > piece), ["trie", "_top"]).groupBy("trie", "_top", "label").agg(F.count(F.lit(1)).alias("_n"))
-    main = cut(of.groupBy("trie", "_top").agg(F.max_by("label", F.struct("_n", "label")).alias("_main")))
-    pieces = F.ceil(F.col("_n") / piece).cast("int")
-    rows = rows.join(counts.join(main, ["trie", "_top"], "left").select("trie", "_top", F.lit(depth).alias("_deep"), pieces.alias("_pieces"), "_main"), ["trie", "_top"], "left")
-    rows = rows.withColumn("_own", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"), F.lit(0)))
-    every = F.when(F.col("label") != F.col("_main"), F.sequence(F.lit(0), F.col("_pieces") - 1)).otherwise(F.array("_own"))
-    return rows.withColumn("_piece", F.explode(F.when(F.col("_main").isNull(), F.array("_own")).otherwise(every))).withColumn("_guest", F.col("_piece") != F.col("_own"))
-
-
-def candidates(rows: DataFrame, depth: int, bound: int, similarity: float, leaf: int, hot: int, piece: int, nearest: bool) -> DataFrame:
-    """Distinct (a, b), a < b, that share a subtree and pass the bounds."""
-    base = depth - CLIMB
-    cutoff = F.expr(f"shiftright(key, {KEY_BITS} - coalesce(_deep, {base}))")
-    rows = _dense(rows, depth, hot, piece, nearest)
-    rows = rows.select("trie", F.coalesce("_deep", F.lit(0)).alias("deep"), cutoff.alias("bucket"), F.col("_piece").alias("piece"), F.col("_guest").alias("guest"), "key", "node", "s0", "s1", "n_shingles", "label")
-    rows = rows.repartition("trie", "deep", "bucket", "piece").sortWithinPartitions("trie", "deep", "bucket", "piece", "guest", "key", "s0", "s1", "node")
+            many = np.bincount(x, minlength=len(i)) > FEW
+            if many.any():
+                left = many[x]
+                later[i[x[left]]] = later[j[y[left]]] = True
+                least = np.full(ham.shape, 255, np.uint8)
+                least[x[left], y[left]] = ham[x[left], y[left]]
+                at = np.flatnonzero(many)
+                yield i[at], j[least[at].argmin(axis=1)]
+                x, y = x[~left], y[~left]
+            yield i[x], j[y]
+
+    def across(self, rows: np.ndarray):
+        """Round two in a subtree: all pairs of different labels. Rows of the commonest label needn't meet each other."""
+        names, count = np.unique(self.label[rows], return_counts=True)
+        if len(names) < 2:
+            return
+        rest = rows[self.label[rows] != names[count.argmax()]]
+        step = max(1, (1 << 21) // len(rows))
+        for a in range(0, len(rest), step):
+            i = rest[a : a + step]
+            x, y, _ = self.match(i, rows, False)
+            yield i[x], rows[y]
+
+    def pairs(self, tries: list[np.ndarray], dense: int, first: bool):
+        """Batches (a, b) of distinct candidates, a < b, each at most about BATCH_PAIRS; round one ends with (node, None), the texts to be seen again."""
+        later = np.zeros(len(self.node), dtype=bool)
+        held, n = [], 0
+
+        def flush():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            a, b = self.node[a], self.node[b]
+            pair = np.unique(np.rec.fromarrays([np.minimum(a, b), np.maximum(a, b)], names="a,b"))
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair.a)), pa.array(np.ascontiguousarray(pair.b))], names=["a", "b"])
+
+        for bits in tries:
+            key = _key(self.s, bits)
+            order = np.argsort(key, kind="stable")
+            for p, q in subtrees(key[order], self.form.depth, self.form.leaf, min(CLIMB, self.form.depth)):
+                for i, j in self.nearest(order[p:q], later, dense) if first else self.across(order[p:q]):
+                    if len(i):
+                        held.append((i, j))
+                        n += len(i)
+                        if n > BATCH_PAIRS:
+                            yield flush()
+                            held, n = [], 0
+        if held:
+            yield flush()
+        if later.any():
+            yield pa.RecordBatch.from_arrays([pa.array(self.node[later]), pa.nulls(int(later.sum()), pa.int64())], names=["a", "b"])
+
+
+def _pieces(rows: DataFrame, hot: int, piece: int, first: bool) -> DataFrame:
+    """``rows`` with ``piece``, cutting groups of more than ``hot`` texts.
+
+    Round one only saves pairs and takes a piece after the other of the rows
+    in order, so one number does. In round two a text is in one piece by its
+    hash; texts outside the group's commonest label are in all pieces.
+    """
+    if first:
+        return rows.withColumn("piece", F.lit(0))
+    counts = cut(rows.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
+    n = counts.count()
+    if not n:
+        discard(counts)
+        return rows.withColumn("piece", F.lit(0))
+    few = F.broadcast if n <= BROADCAST_GROUPS else (lambda x: x)
+    of = rows.join(few(counts), "group").groupBy("group", "_n", "label").agg(F.count(F.lit(1)).alias("_c"))
+    main = cut(of.groupBy("group").agg(F.max_by("label", F.struct("_c", "label")).alias("_main"), F.ceil(F.max("_n") / piece).cast("int").alias("_pieces")))
+    discard(counts)
+    rows = rows.join(few(main), "group", "left")
+    own = F.array(F.coalesce(F.pmod(F.xxhash64("node"), F.col("_pieces")).cast("int"), F.lit(0)))
+    every = F.sequence(F.lit(0), F.col("_pieces") - 1)
+    return rows.withColumn("piece", F.explode(F.when(F.col("label") != F.col("_main"), every).otherwise(own))).drop("_main", "_pieces")
+
+
+def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: int, first: bool) -> DataFrame:
+    """(a, b), a < b, that share a subtree and pass the bounds; in round one also (a, null), the texts of pairs left for round two.
+
+    Pairs may repeat. ``texts`` has node, s0, s1, n_shingles and label.
+    """
+    rows = _pieces(forest(texts, form), hot, piece, first)
+    names = ["group", "piece", "node", "s0", "s1", "n_shingles", *([] if first else ["label"])]
+    # signatures in order, so that a piece of an endless group holds like texts
+    rows = rows.select(*names).repartition("group", "piece").sortWithinPartitions("group", "piece", "s0", "s1", "node")
+    tries = [t for _, t in form.orders()]
 
     def run(batches):
-        names = ["trie", "deep", "bucket", "piece", "guest", "key", "node", "s0", "s1", "n_shingles", "label"]
-        held = None
-
-        def search(c, guests_only=False):
-            trie, deep, bucket, part, guest, key, node, s0, s1, size, label = c
-            a_out, b_out = [], []
-            change = (trie[1:] != trie[:-1]) | (deep[1:] != deep[:-1]) | (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])
-            edges = np.flatnonzero(np.concatenate([[True], change, [True]])) if len(key) else np.zeros(1, int)
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if y - x < 2:
-                    continue
-                d = int(deep[x])
-                own = x + int(np.count_nonzero(~guest[x:y]))
-                if own < y:
-                    i, j = _across(s0[x:y], s1[x:y], size[x:y], label[x:y], bound, similarity, own - x)
-                    a_out.append(node[x + i])
-                    b_out.append(node[x + j])
-                    y = own
-                if guests_only:
-                    continue
-                for p, q in subtrees(key[x:y], d or depth, leaf, 0 if d else CLIMB):
-                    p, q = p + x, q + x
-                    i, j = _pairs(s0[p:q], s1[p:q], size[p:q], label[p:q], bound, similarity, nearest, WINDOW if d else 0)
-                    if len(i):
-                        a_out.append(node[p + i])
-                        b_out.append(node[p + j])
-            if not a_out:
-                return None
-            a, b = np.concatenate(a_out), np.concatenate(b_out)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def search(at, parts):
+            c = [np.concatenate(x) for x in zip(*parts)]
+            yield from Group(form, *c[:4], None if first else c[4]).pairs(tries[at[0] >> form.prefix], dense, first)
 
+        at, parts, n = None, [], 0
         for batch in batches:
             c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
-            c[7], c[8] = c[7].view(np.uint64), c[8].view(np.uint64)
-            if held is not None:
-                c = [np.concatenate(x) for x in zip(held, c)]
-            if not len(c[0]):
-                continue
-            # the last bucket may go on in the next batch
-            last = (c[0] == c[0][-1]) & (c[1] == c[1][-1]) & (c[2] == c[2][-1]) & (c[3] == c[3][-1])
-            end = int(np.argmax(last))
-            out = search([x[:end] for x in c])
-            if out is not None:
-                yield out
-            held = [x[end:] for x in c]
-            if held[4][-1]:  # guests come after a piece's own rows and aren't kept
-                out = search(held, guests_only=True)
-                if out is not None:
-                    yield out
-                own = ~held[4]
-                held = [x[own] for x in held]
-            elif nearest and len(held[0]) > piece and held[1][0]:  # a dense bucket without end: piece by piece
-                out = search(held)
-                if out is not None:
-                    yield out
-                held = [x[-WINDOW:] for x in held]
-        if held is not None:
-            out = search(held)
-            if out is not None:
-                yield out
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            edges = np.flatnonzero(np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]), [True]])) if batch.num_rows else [0]
+            for x, y in zip(edges[:-1], edges[1:]):
+                here = int(c[0][x]), int(c[1][x])
+                if here != at and parts:
+                    yield from search(at, parts)
+                    parts, n = [], 0
+                at = here
+                parts.append([v[x:y] for v in c[2:]])
+                n += y - x
+                if first and n > hot:  # the next piece begins with the last rows of this one
+                    yield from search(at, parts)
+                    c2 = [np.concatenate(v) for v in zip(*parts)]
+                    # what lies in different pieces is left for round two
+                    yield pa.RecordBatch.from_arrays([pa.array(c2[0]), pa.nulls(n, pa.int64())], names=["a", "b"])
+                    parts = [[v[-WINDOW:] for v in c2]]
+                    n = len(parts[0][0])
+        if parts:
+            yield from search(at, parts)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets reach the similarity."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    """The pairs whose whole shingle sets reach the similarity. ``pairs`` are distinct."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = cut(nodes.join(texts.select("node", "text_key"), "node").select("text_key").distinct())
-    if wanted.count() <= BROADCAST_TEXTS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(wanted, "text_key", "left_semi").select("text")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+    rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(few, "text_key", "left_semi").select("text_key", "text")
 
     def run(batches):
+        done: set[int] = set()  # a task sends the set of each text once
         for b in batches:
-            for i, j, words in textvec.word_chunks(b.column(0)):
+            fresh = []
+            for k, key in enumerate(b.column(0).to_numpy().tolist()):
+                if key not in done:
+                    done.add(key)
+                    fresh.append(k)
+            for i, j, words in textvec.word_chunks(b.column(1).take(pa.array(fresh, pa.int64()))):
                 whole = _sequence_hash(words.hash, words.offs, 1)
                 sh, offs = shingle_sets(words, whole)
                 sets = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sh.astype(np.int64)))
@@ -362,29 +468,41 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, simil
     sets = cut(rows.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    discard(wanted, sets)
+    return out
 
 
-def classes(docs: DataFrame, *, text: str = "text", similarity: float = 0.8, recall: float = 0.99, leaf: int = 128, hot: int = 8192, piece: int = 32_768) -> DataFrame:
+def classes(
+    docs: DataFrame, *, text: str = "text", similarity: float = 0.8, recall: float = 0.99, leaf: int = 256, dense: int = 8192, capacity: int = 1 << 20, hot: int = 1 << 21, piece: int = 1 << 20
+) -> DataFrame:
     """doc_id, text_key, class_id (smallest id of the class), class_size and keep, one row a document."""
     docs = docs.select("doc_id", F.col(text).alias("text"))
     drawn = cut(sketch(docs, "text"))
     texts = cut(drawn.where("n_shingles > 0").groupBy("node").agg(*[F.min(c).alias(c) for c in ("text_key", "n_shingles", "s0", "s1")]))
-    depth, tries, bound = shape(texts.count(), similarity, recall, leaf)
-    own = texts.withColumn("label", F.col("node"))
-    first = cut(candidates(forest(own, tries), depth, bound, similarity, leaf, hot, piece, nearest=True))
-    links = cut(verify(first, docs, texts, "text", similarity))
+    form = shape(texts.count(), similarity, recall, leaf, capacity)
+    sizes = dict(dense=dense, hot=hot, piece=piece)
+    found = cut(candidates(texts.withColumn("label", F.col("node")), form, first=True, **sizes))
+    first = cut(found.where("b is not null").distinct())
+    links = verify(first, docs, texts, "text", similarity)
     labels = components(links)
-    known = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    second = cut(candidates(forest(cut(known), tries), depth, bound, similarity, leaf, hot, piece, nearest=False).join(first, ["a", "b"], "left_anti"))
-    more = cut(verify(second, docs, texts, "text", similarity))
-    if more.count():
-        labels = components(links.unionAll(more))
+    again = texts.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
+    known = cut(again.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    second = cut(candidates(known, form, first=False, **sizes).distinct().join(first, ["a", "b"], "left_anti"))
+    discard(found, first, known)
+    if second.limit(1).count():
+        more = verify(second, docs, texts, "text", similarity)
+        if more.limit(1).count():
+            discard(labels)
+            labels = components(links.unionAll(more))
+        discard(more)
+    discard(second, links, texts)
     # rows of each text first, then of each class: both combine before the shuffle
     placed = drawn.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
-    kept = cut(placed.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.max_by("text_key", F.struct(F.isnotnull("doc_id"), -F.col("doc_id"), "text_key")).alias("_text")))
-    big = kept.where("class_size > 1")
-    big = F.broadcast(big) if big.count() <= BROADCAST_TEXTS else big
+    head = F.min(F.when(F.isnotnull("doc_id"), F.struct("doc_id", "text_key")))
+    kept = cut(placed.groupBy("_class").agg(F.count(F.lit(1)).alias("class_size"), head.alias("_head"), F.min("text_key").alias("_least")).where("class_size > 1"))
+    big = kept.select("_class", "class_size", F.col("_head.doc_id").alias("class_id"), F.coalesce("_head.text_key", "_least").alias("_text"))
+    big = F.broadcast(big) if kept.count() <= BROADCAST_TEXTS else big
     out = placed.select("doc_id", "text_key", "_class").join(big, "_class", "left")
     return out.select(
         "doc_id", "text_key",

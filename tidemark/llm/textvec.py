@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+CHUNK_DOCS = 1 << 16
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 
@@ -59,29 +60,49 @@ class Words:
     __slots__ = ("data", "start", "end", "offs", "hash")
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, hashed: bool = True):
-        data = _LOWER[data]
-        isw = WORD[data]
         n = len(data)
-        before = np.empty(n, dtype=bool)
-        after = np.empty(n, dtype=bool)
-        if n:
-            before[0], before[1:] = False, isw[:-1]
-            after[-1], after[:-1] = False, isw[1:]
-            before[bounds[:-1][bounds[:-1] < n]] = False
-            after[bounds[1:][bounds[1:] > 0] - 1] = False
-        self.data = data
-        self.start = np.flatnonzero(isw & ~before)
-        self.end = np.flatnonzero(isw & ~after) + 1
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in range(0, n, CHUNK_BYTES):
+            q = min(n, p + CHUNK_BYTES)
+            isw = WORD[_LOWER[data[max(p - 1, 0) : q + 1]]]
+            if p == 0:
+                isw = np.concatenate([[False], isw])
+            if q == n:
+                isw = np.concatenate([isw, [False]])
+            # word bytes before and after each byte, none across documents
+            before, after, isw = isw[:-2].copy(), isw[2:].copy(), isw[1:-1]
+            first = bounds[:-1]
+            before[first[(first >= p) & (first < q)] - p] = False
+            last = bounds[1:] - 1
+            after[last[(last >= p) & (last < q)] - p] = False
+            starts.append(np.flatnonzero(isw & ~before) + p)
+            ends.append(np.flatnonzero(isw & ~after) + (p + 1))
+        self.data = _LOWER[data]
+        self.start = np.concatenate(starts)
+        self.end = np.concatenate(ends)
         self.offs = np.searchsorted(self.start, bounds)
-        self.hash = span_hashes(data, self.start, self.end) if hashed else None
+        self.hash = span_hashes(self.data, self.start, self.end) if hashed else None
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans ``start:end`` of ``data``."""
-    n = len(data)
-    acc = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * _powers(n, _MUL), out=acc[1:])
-    return mix((acc[end] - acc[start]) * _powers(n + 1, _INV)[start])
+    """64-bit hashes of the byte spans ``start:end`` of ``data``, which are in order and apart.
+
+    The data are gone over in slices, so that the temporaries are bounded.
+    """
+    out = np.zeros(len(start), dtype=np.uint64)
+    for p in range(0, len(data), CHUNK_BYTES):
+        x = data[p : p + CHUNK_BYTES]
+        a, b = int(np.searchsorted(end, p, side="right")), int(np.searchsorted(start, p + len(x), side="left"))
+        if a >= b:
+            continue
+        acc = np.zeros(len(x) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[x] * _powers(len(x), _MUL), out=acc[1:])
+        s, e = np.maximum(start[a:b] - p, 0), np.minimum(end[a:b] - p, len(x))
+        part = (acc[e] - acc[s]) * _powers(len(x) + 1, _INV)[s]
+        if start[a] < p:  # a word from the slice before goes on
+            part[:1] *= np.uint64(pow(_MUL, int(p - start[a]), 1 << 64))
+        out[a:b] += part
+    return mix(out)
 
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +119,7 @@ def chunks(col: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, i
     i, n = 0, len(offs) - 1
     while i < n:
         j = int(np.searchsorted(offs, offs[i] + max_bytes, side="right")) - 1
-        j = min(n, max(j, i + 1))
+        j = min(n, max(j, i + 1), i + CHUNK_DOCS)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

@@ -57,10 +57,13 @@ def to_arrow(t: T.DataType) -> pa.DataType:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests in local mode) one is made and set.
+    Where the setting is absent one is made and set, in local mode (tests)
+    only: a folder of one machine isn't shared by the executors of a cluster.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return posixpath.join(base, uuid.uuid4().hex)
@@ -68,9 +71,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there."""
+    df = df if columns is None else df.select(*columns)
     path = shared_dir(df.sparkSession)
-    (df if columns is None else df.select(*columns)).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema if columns is None else df.select(*columns).schema).parquet(path)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing will read it again."""
+    for df in cuts:
+        if path := getattr(df, "_cut_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def held_out(doc_id: str = "doc_id"):
