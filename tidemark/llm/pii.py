@@ -7,19 +7,23 @@ document and nothing can be read back without the key:
 - payment cards: 13 to 19 digits that pass the Luhn check; the pseudonym keeps
   the separators and passes it too;
 - telephone numbers: +country or (area) groups of 7 to 15 digits; separators,
-  ``+`` and the country code of a leading ``+1`` stay;
+  ``+`` and the country code stay;
 - IPv4 addresses: four octets of 0 to 255; the pseudonym is one too;
 - social security numbers ddd-dd-dddd with valid parts;
 - IBANs with valid check digits: letters stay letters, digits digits, and the
   check digits are valid again;
-- e-mail addresses: the letters and digits of the local part, by their class;
-- dates (ISO, d/m/y and d.m.y) that exist between 1900 and 2099: permuted among
-  the days of those years, in the same format.
+- e-mail addresses: the letters and digits of the local part, by their class: a
+  letter beyond ASCII stays in its run of 128 code points and its category;
+- dates (ISO, d/m/y, and m/d/y where d/m/y is no date; with / or .) that exist
+  between 1900 and 2099: permuted among the days of those years that the same
+  format and number of digits can write. ISO dates and dates of two-digit days
+  and months share one permutation, so they stay linked with each other.
 
 Method: a value is a number below the size of its format's domain. Eight
 Feistel rounds of keyed BLAKE2 over the two halves of its digits permute a
 domain of a power of two; cycle walking keeps the result inside the format's
-domain. Documents without a digit (and without ``@``) aren't scanned.
+domain. A long local part is permuted by runs of RUN letters and digits, each
+with the place of the run as its tweak, so its cost grows with its length. Documents without a digit (and without ``@``) aren't scanned.
 
 Defined results: null text stays null, with no findings; overlapping matches
 are resolved from the left, the longer pattern first in the order above;
@@ -30,9 +34,12 @@ output columns are replaced.
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,6 +54,11 @@ FIELDS = [
 ]
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
+#: Letters and digits of a local part that are permuted as one number.
+RUN = 64
+#: Country codes of one and two digits; all others have three.
+COUNTRY = {"1", "7", "20", "27", *map(str, range(30, 35)), "36", "39", "40", "41", *map(str, range(43, 50)), *map(str, range(51, 59)), *map(str, range(60, 67)), "81", "82", "84", "86", *map(str, range(90, 96)), "98"}
+
 PATTERN = re.compile(
     r"""(?P<email>(?<![\w.+%-])[\w.+%-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+)
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
@@ -92,8 +104,9 @@ class Permuter:
         self.known: dict[tuple[str, int, int], int] = {}
 
     def _round(self, tweak: bytes, r: int, x: int, bits: int) -> int:
-        h = hashlib.blake2b(x.to_bytes(32, "big"), key=self.key, digest_size=32, salt=r.to_bytes(2, "big"), person=tweak[:16])
-        return int.from_bytes(h.digest(), "big") & ((1 << bits) - 1)
+        data = x.to_bytes(max(32, -(-bits // 8)), "big")
+        out = b"".join(hashlib.blake2b(data, key=self.key, digest_size=32, salt=r.to_bytes(2, "big") + i.to_bytes(4, "big"), person=tweak[:16]).digest() for i in range(-(-bits // 256)))
+        return int.from_bytes(out, "big") & ((1 << bits) - 1)
 
     def _feistel(self, tweak: bytes, x: int, half: int, back: bool) -> int:
         left, right = x >> half, x & ((1 << half) - 1)
@@ -130,6 +143,24 @@ def _spread(digits: str, like: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in like)
 
 
+@functools.lru_cache(4096)
+def _class_of(c: str) -> str:
+    """The characters that may stand for ``c``, in order; empty if it stays."""
+    if c.isascii():
+        return next((x for x in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in x), "")
+    if not c.isalnum():
+        return ""
+    kind, at = unicodedata.category(c), ord(c) & ~127
+    return "".join(x for x in map(chr, range(max(at, 128), at + 128)) if unicodedata.category(x) == kind and x.isalnum())
+
+
+@functools.lru_cache(64)
+def _days(day_digits: int, month_digits: int, late: bool) -> tuple[int, ...]:
+    """The days that can be written with so many digits; ``late``: those after the twelfth of their month."""
+    of = map(datetime.date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return tuple(d.toordinal() for d in of if (day_digits == 2 or d.day < 10) and (month_digits == 2 or d.month < 10) and (not late or d.day > 12))
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.p = Permuter(key)
@@ -148,7 +179,7 @@ class Pseudonyms:
         d = re.sub(r"\D", "", s)
         if not 7 <= len(d) <= 15:
             return None
-        fixed = len(re.match(r"\+1\b|", s)[0].lstrip("+"))
+        fixed = next((n for n in (1, 2) if d[:n] in COUNTRY), 3) if s[0] == "+" else 0
         return _spread(d[:fixed] + self.digits("phone", d[fixed:]), s)
 
     def ip(self, s: str) -> str | None:
@@ -172,25 +203,17 @@ class Pseudonyms:
 
     def _classes(self, kind: str, s: str) -> str:
         """Letters and digits permuted within their classes, case and place."""
-        base = {"d": 10, "u": 26, "l": 26}
-        of = lambda c: "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else ""
-        n, size = 0, 1
-        for c in s:
-            if k := of(c):
-                n = n * base[k] + (int(c) if k == "d" else ord(c.lower()) - 97)
-                size *= base[k]
-            elif not c.isascii():  # any other letter counts as a lower-case one: one way only
-                n = n * 26 + ord(c) % 26
-                size *= 26
-        n = self.p.permute(kind, n, size)
-        out = []
-        for c in reversed(s):
-            k = of(c) or ("l" if not c.isascii() else "")
-            if k:
-                n, r = divmod(n, base[k])
-                c = str(r) if k == "d" else chr(r + (65 if k == "u" else 97))
-            out.append(c)
-        return "".join(reversed(out))
+        out = list(s)
+        places = [(i, of) for i, c in enumerate(s) if (of := _class_of(c))]
+        for run in range(0, len(places), RUN):
+            n, size = 0, 1
+            for i, of in places[run : run + RUN]:
+                n, size = n * len(of) + of.index(s[i]), size * len(of)
+            n = self.p.permute(f"{kind}{run}" if run else kind, n, size)
+            for i, of in reversed(places[run : run + RUN]):
+                n, r = divmod(n, len(of))
+                out[i] = of[r]
+        return "".join(out)
 
     def iban(self, s: str) -> str | None:
         c = s.replace(" ", "")
@@ -201,14 +224,16 @@ class Pseudonyms:
         it = iter(c[:2] + f"{check:02d}" + body)
         return "".join(x if x == " " else next(it) for x in s)
 
-    def _date(self, y: int, m: int, d: int) -> datetime.date | None:
+    def _date(self, y: int, m: int, d: int, day_digits: int = 2, month_digits: int = 2, late: bool = False) -> datetime.date | None:
         try:
             n = datetime.date(y, m, d).toordinal()
         except ValueError:
             return None
         if not FIRST_DAY <= n <= LAST_DAY:
             return None
-        return datetime.date.fromordinal(FIRST_DAY + self.p.permute("date", n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+        days = _days(day_digits, month_digits, late)
+        kind = "date" if day_digits == month_digits == 2 and not late else f"date{day_digits}{month_digits}{late}"
+        return datetime.date.fromordinal(days[self.p.permute(kind, bisect.bisect_left(days, n), len(days))])
 
     def iso(self, s: str) -> str | None:
         got = self._date(*map(int, s.split("-")))
@@ -217,13 +242,13 @@ class Pseudonyms:
     def day(self, s: str) -> str | None:
         sep = "." if "." in s else "/"
         a, b, y = s.split(sep)
-        got, flip = self._date(y := int(y), int(b), int(a)), False
-        if got is None:  # m/d/y
-            got, flip = self._date(y, int(a), int(b)), True
+        got, flip = self._date(int(y), int(b), int(a), len(a), len(b)), False
+        if got is None:  # m/d/y: only days that d/m/y can't be, so that both stay apart
+            got, flip = self._date(int(y), int(a), int(b), len(b), len(a), late=True), True
         if got is None:
             return None
         x, z = (got.month, got.day) if flip else (got.day, got.month)
-        return f"{x:02d}{sep}{z:02d}{sep}{got.year}"
+        return f"{x:0{len(a)}d}{sep}{z:0{len(b)}d}{sep}{got.year}"
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
         out, found, last, at = [], [], 0, 0
