@@ -464,6 +464,89 @@ def test_numbers_that_others_follow_are_found():
     assert n.apply("pay 4111 1111 1111 1112 123 now") == ("pay 4111 1111 1111 1112 123 now", [])
 
 
+def test_pseudonyms_of_long_and_mixed_local_parts():
+    n = pii.Pseudonyms(b"k")
+    for size in (63, 64, 65, 120, 1000, 20_000):
+        local = ("ab9.Z" * size)[:size - 1] + "x"
+        new, found = n.apply(f"to {local}@example.com now")
+        assert [k for k, *_ in found] == ["email"] and len(new) == len(local) + 19 and local not in new
+    assert n.apply("jürgen@x.com")[0] != n.apply("j\u0116rgen@x.com")[0]
+    rng = random.Random(4)
+    alphabet = "abz09ZÜüéßñжЖяΩω日本9٣_.-"
+    words_ = {"a" + "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 5))) + "b" for _ in range(4000)}
+    out = {w: n.email(f"{w}@x.com") for w in words_}
+    assert len(set(out.values())) == len(words_)
+    for w, o in out.items():
+        assert len(o) == len(w) + 6 and all((a.isupper(), a.isdigit(), a.isalpha(), a.isascii()) == (b.isupper(), b.isdigit(), b.isalpha(), b.isascii()) for a, b in zip(w, o))
+    # a domain as a whole: every two-letter part has its own pseudonym
+    two = [a + b for a in pii._class_of("ü") for b in pii._class_of("q")]
+    assert len({n.email(f"{w}@x.com") for w in two}) == len(two)
+
+
+def test_dates_and_telephones_keep_their_width_and_stay_apart():
+    n = pii.Pseudonyms(b"k")
+    seen, shapes = {}, collections.Counter()
+    import datetime
+
+    for day in range(0, 73_000, 37):
+        d = datetime.date.fromordinal(pii.FIRST_DAY + day)
+        for text in {f"{d.day}/{d.month}/{d.year}", f"{d.day:02d}/{d.month:02d}/{d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.day:02d}/{d.month}/{d.year}", f"{d.month:02d}/{d.day:02d}/{d.year}"}:
+            new = n.day(text)
+            assert [len(x) for x in new.split("/")] == [len(x) for x in text.split("/")] and n.day(new) is not None
+            assert seen.setdefault(new, text) == text
+            shapes[tuple(map(len, text.split("/")))] += 1
+    assert len(shapes) == 4
+    assert n.iso("2020-02-01") == "-".join(reversed(n.day("01/02/2020").split("/")))
+    for text, kept in (("+44 20 7946 0958", "+44"), ("+1 212-555-0123", "+1"), ("+7 495 123 4567", "+7"), ("+353 1 234 5678", "+353"), ("+4915112345678", "+49")):
+        new = n.phone(text)
+        assert new.startswith(kept) and new != text and [c for c in new if not c.isdigit()] == [c for c in text if not c.isdigit()] and len(new) == len(text)
+    assert len({n.phone(f"+44 20 794{k:02d}58") for k in range(100)}) == 100
+
+
+def test_card_detection_agrees_with_brute_force():
+    import re
+
+    rng = random.Random(6)
+
+    def card(k):
+        body = "".join(rng.choice("0123456789") for _ in range(k - 1))
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    def brute(text):
+        """From the left, the longest valid card that starts at a digit and ends at a group's end."""
+        out, at = [], 0
+        while at < len(text):
+            best = None
+            if text[at].isdigit() and (at == 0 or not re.match(r"[\w.-]", text[at - 1])):
+                for end in range(len(text), at, -1):
+                    part = text[at:end]
+                    digits = re.sub("[ -]", "", part)
+                    if re.fullmatch(r"\d(?:[ -]?\d){12,18}", part) and pii.luhn(digits) and int(digits) and not (end < len(text) and re.match(r"[\w]", text[end])):
+                        if not (end < len(text) and text[end] == "-") or (end + 1 < len(text) and text[end + 1].isdigit()):
+                            best = end
+                            break
+            if best:
+                out.append((at, best))
+                at = best
+            else:
+                run = re.compile(r"\d+|.", re.S).match(text, at)
+                at = run.end()
+        return out
+
+    n, hits = pii.Pseudonyms(b"k"), 0
+    for _ in range(600):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            d = card(rng.choice([13, 15, 16, 19]))
+            parts.append(rng.choice([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", "x", "pay", str(rng.randrange(10 ** rng.randrange(1, 9))), "".join(rng.choice("0123456789") for _ in range(16))]))
+        text = " ".join(parts)
+        want = brute(text)
+        got = [(a, b) for k, a, b in n.apply(text)[1] if k == "card"]
+        assert got == want, text
+        hits += len(want)
+    assert hits > 300
+
+
 def test_pseudonyms_of_awkward_rows(spark, odd, none):
     got = pii.pseudonymise(odd, b"k")
     rows = got.select("text", "pseudonymised", "n_found").collect()
