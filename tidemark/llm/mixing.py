@@ -5,20 +5,25 @@ Target of a source: its share of all words by weight, but at most
 among the others until none is above (closed form: sources sorted by cap over
 weight; a prefix of them is capped).
 
-Method: the mix is a sequence of slots of ``block`` words. Slot i takes the
-point (i * g mod 2^31) / 2^31, g / 2^31 being close to the golden ratio's
-inverse, and maps it through the cumulative targets to a source. The slots of
-a source are ranked; the r-th takes block r mod n of the source's n blocks. A
-source's documents, shuffled by md5 of the id, lie end to end and are cut
-every ``block`` words. Slots and documents meet by a join on (source, block);
-a document's ``taken`` is the sum over its blocks of its words in the block
-times the slots that take the block. The sequence keeps each source's number
-of slots within a few of its share however the sources are ordered.
+Method: a source's documents, shuffled by md5 of the id, lie end to end and
+are cut into equal blocks (to a word) of at most ``block`` words. A source
+needs as many slots as cover its rounded target with blocks. The mix is a
+sequence of slots: slot i takes the point (i * g mod 2^31) / 2^31, g / 2^31
+being close to the golden ratio's inverse, and maps it through the cumulative
+numbers of slots to a source. The slots of a source are ranked; the r-th takes
+block r mod n of the source's n blocks, the last one only the words that the
+target leaves. The sequence keeps each source's number of slots within a few
+of its share however the sources are ordered; the few slots that a source
+then lacks come at the end. Slots and documents meet by a join on (source,
+block); a document's ``taken`` is the sum over the slots of its words in them.
+So each source's taken words are its rounded target.
 
 Scale: everything up to the last join works on slim rows (source number, key,
-size), written once. Ranks and running word counts of a source are sums over
-ranges first and windows inside a range second, so that a hot source is many
-tasks. The documents themselves are shuffled once, to meet their ``taken``.
+size), written once, and the texts are counted once. Ranks and running word
+counts of a source are sums over ranges first and windows inside a range
+second, so that a hot source is many tasks. There are about a thousand slots a
+source on average, however many words it has. The documents themselves are
+shuffled once, to meet their ``taken``.
 
 Defined results: null text has size 0 and takes 0 words; null sources form one
 source, last in order; no words at all: targets 0, nothing taken; a source
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.scan import index_rows
 
-from .util import cut
+from .util import cut, discard
 
 GOLDEN = 1327217885  # odd, about 2^31 / golden ratio
 PERIOD = 1 << 31
@@ -71,11 +76,30 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs
     return s.withColumn("target", target).select("source", "k", "source_size", "n_docs", "weight", "total", "target")
 
 
-def shares(sources: DataFrame) -> DataFrame:
-    """(k, lo, hi): half-open shares of [0, 2^31) in proportion to the targets."""
-    by = W.orderBy("k")
-    hi = F.when(F.col("total") > 0, F.round(F.sum("target").over(by.rowsBetween(W.unboundedPreceding, 0)) / F.col("total") * PERIOD)).otherwise(0).cast("long")
-    return sources.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0))).select("k", "lo", "hi")
+def cut_blocks(sources: DataFrame, block: int, max_epochs: int) -> DataFrame:
+    """``sources`` with want (the rounded target), n (blocks), slots, and the half-open share [lo, hi) of [0, 2^31) by slots.
+
+    Of a source's n blocks the first ``more`` have ``least`` + 1 words, the others ``least``.
+    """
+    s = sources.withColumn("want", F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs))
+    s = s.withColumn("n", F.greatest(F.lit(1), F.expr(f"(source_size + {block - 1}) div {block}")))
+    s = s.withColumn("least", F.expr("source_size div n")).withColumn("more", F.expr("source_size % n")).withColumn("over", F.expr("want % greatest(source_size, 1)"))
+    # whole epochs, then the blocks that begin before the rest ends
+    s = s.withColumn("slots", F.when(F.col("source_size") > 0, F.expr("want div source_size") * F.col("n") + F.when(F.col("over") > 0, _block_of(F.col("over") - 1) + 1).otherwise(0)).otherwise(0))
+    by, every = W.orderBy("k"), W.partitionBy()
+    hi = F.round(F.sum("slots").over(by.rowsBetween(W.unboundedPreceding, 0)) / F.greatest(F.lit(1), F.sum("slots").over(every)) * PERIOD).cast("long")
+    return s.withColumn("hi", hi).withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0)))
+
+
+def _block_of(at: Column) -> Column:
+    """The block of a word of a source; ``least`` is 1 at least where there is a word."""
+    wide = F.col("more") * (F.col("least") + 1)
+    return F.when(at < wide, F.call_function("div", at, F.col("least") + 1)).otherwise(F.col("more") + F.call_function("div", at - wide, F.greatest("least", F.lit(1))))
+
+
+def _start_of(block: Column) -> Column:
+    """The first word of a block."""
+    return block * F.col("least") + F.least(block, F.col("more"))
 
 
 def schedule(spark: SparkSession, shared: DataFrame, slots: int) -> DataFrame:
@@ -87,24 +111,39 @@ def schedule(spark: SparkSession, shared: DataFrame, slots: int) -> DataFrame:
     wide = PERIOD // CELLS
     grid = shared.where("hi > lo").withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {wide}"), F.expr(f"(hi - 1) div {wide}"))))
     points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN), F.lit(PERIOD)).alias("p"))
-    placed = points.withColumn("cell", F.expr(f"p div {wide}")).join(grid, "cell").where("p >= lo and p < hi").select("slot", "k")
+    placed = points.withColumn("cell", F.expr(f"p div {wide}")).join(grid.select("cell", "k", "lo", "hi"), "cell").where("p >= lo and p < hi").select("slot", "k")
     return index_rows(placed, F.col("k"), F.col("slot")).select("slot", "k", F.col("_index").alias("rank"))
 
 
-def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 4_000, exact: bool = False) -> DataFrame:
+def slots_of(spark: SparkSession, sources: DataFrame, slots: int) -> DataFrame:
+    """The mix: slot, k, epoch, block, first and upto (words of the source), one row a slot.
+
+    ``sources`` are those of ``cut_blocks``, ``slots`` the sum of theirs.
+    """
+    drawn = cut(schedule(spark, sources.select("k", "lo", "hi"), slots))
+    lack = sources.select("k", "slots").join(drawn.groupBy("k").agg(F.count(F.lit(1)).alias("got")), "k", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    lack = lack.where("got < slots").select((F.lit(slots) + F.col("k")).alias("slot"), "k", F.explode(F.sequence("got", F.col("slots") - 1)).alias("rank"))
+    every = drawn.unionAll(lack).join(sources.select("k", "slots", "n", "least", "more", "want", "source_size"), "k").where("rank < slots")
+    every = every.withColumn("epoch", F.expr("rank div n")).withColumn("block", F.expr("rank % n"))
+    first, end = _start_of(F.col("block")), _start_of(F.col("block") + 1)
+    return every.select("slot", "k", "epoch", "block", first.alias("first"), F.least(end, F.col("want") - F.col("epoch") * F.col("source_size")).alias("upto"))
+
+
+def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, block: int | None = None, bucket_docs: int = 4_000) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target and taken.
 
-    ``block``: words a slot; by default a thousandth of the average source,
-    between 16 and 1024. Input columns with output names are replaced.
+    ``block``: words a slot at most; by default a thousandth of the average
+    source, 16 at least. Input columns with output names are replaced.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in {"size", "source_size", "target", "taken"}]
     row = F.struct(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("key"), F.xxhash64(F.col(text)).alias("tie"))
     slim = cut(docs.select(F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"), size_of(F.col(text)).alias("size")))
     per_source = slim.groupBy(F.col("_source.s").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    sources = cut(targets(per_source, weights, max_epochs))
-    total, count, n_docs = sources.agg(F.coalesce(F.max("total"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    b = block or max(16, min(1024, total // max(1, 1000 * count)))
+    aimed = cut(targets(per_source, weights, max_epochs))
+    total, count, n_docs = aimed.agg(F.coalesce(F.max("total"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    sources = cut(cut_blocks(aimed, block or max(16, total // max(1, 1000 * count)), max_epochs))
+    n_slots = sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
 
     def small(df: DataFrame, rows: int) -> DataFrame:
         return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -122,24 +161,19 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     placed = placed.withColumn("copy", F.row_number().over(W.partitionBy("k", "bucket", "_row").orderBy("_at")))
     placed = placed.join(small(bases, count + n_docs // bucket_docs), ["k", "bucket"]).withColumn("at", F.col("_at") + F.col("_base"))
 
-    if exact:
-        wants = small(sources.select("k", "source_size", F.round("target").cast("long").alias("_want")), count)
-        over = F.least(F.col("size"), F.greatest(F.lit(0), F.expr("_want % source_size") - F.col("at")))
-        taken = cut(placed.where("size > 0").join(wants, "k").select("k", "_row", "copy", (F.expr("_want div source_size") * F.col("size") + over).cast("long").alias("taken")))
-    else:
-        # slots: how many take each block
-        lengths = sources.select("k", F.expr(f"(source_size + {b - 1}) div {b}").alias("blocks"))
-        slots = schedule(spark, shares(sources), -(-total // b)).join(small(lengths, count), "k").where(F.col("rank") < max_epochs * F.col("blocks"))
-        times = slots.groupBy("k", (F.col("rank") % F.col("blocks")).alias("block")).agg(F.count(F.lit(1)).alias("times"))
-        # slots and documents meet on (source, block)
-        parts = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"at div {b}"), F.expr(f"(at + size - 1) div {b}"))))
-        words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("at"), F.col("block") * b)
-        met = parts.withColumn("words", words).join(times, ["k", "block"], "left")
-        taken = cut(met.groupBy("k", "_row", "copy").agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")))
-
-    sized = docs.select(*names, F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"), size_of(F.col(text)).alias("size"))
+    # slots and documents meet on (source, block)
+    times = slots_of(spark, small(sources, count), n_slots).groupBy("k", "block", "first", "upto").agg(F.count(F.lit(1)).alias("times"))
+    lengths = small(sources.select("k", "least", "more"), count)
+    parts = placed.where("size > 0").join(lengths, "k").withColumn("block", F.explode(F.sequence(_block_of(F.col("at")), _block_of(F.col("at") + F.col("size") - 1))))
+    words = F.greatest(F.lit(0), F.least(F.col("at") + F.col("size"), F.col("upto")) - F.greatest("at", "first"))
+    met = parts.select("k", "_row", "copy", "at", "size", "block").join(times, ["k", "block"], "left")
+    met = met.groupBy("k", "_row", "copy").agg(F.sum(words * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), F.first("size").alias("size"))
+    taken = cut(met)
+
+    sized = docs.select(*names, F.struct(F.col(source).alias("s")).alias("_source"), row.alias("_row"))
     sized = sized.join(small(sources.select(F.struct(F.col("source").alias("s")).alias("_source"), "k", "source_size", "target"), count), "_source")
     # rows repeated as a whole are numbered; mostly there are none, and no window is needed
     repeated = taken.where("copy > 1").limit(1).count() > 0
     sized = sized.withColumn("copy", F.row_number().over(W.partitionBy("k", "_row").orderBy(F.lit(0))) if repeated else F.lit(1))
-    return sized.join(taken, ["k", "_row", "copy"], "left").select(*names, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    discard(slim, aimed)
+    return sized.join(taken, ["k", "_row", "copy"], "left").select(*names, F.coalesce("size", F.lit(0)).cast("long").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -126,15 +126,10 @@ s2 AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weigh
 s3 AS (SELECT *, weight * (total - cap_before) >= cap * (weights - weight_before) AS capped FROM s2),
 s4 AS (SELECT *, total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER () AS rest, sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () AS shared FROM s3),
 s5 AS (SELECT source, source_size, total, (SELECT count(*) FROM s0) AS n, CASE WHEN capped THEN cap::double ELSE (weight * rest)::double / shared::double END AS target FROM s4),
-b AS (SELECT *, greatest(16, least(1024, total // (1000 * n)))::bigint AS b FROM s5),
-h AS (SELECT *, CASE WHEN total > 0 THEN round(sum(target) OVER (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING) / total * 2147483648) ELSE 0 END::bigint AS hi FROM b),
-l AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY encode(source) NULLS LAST), 0) AS lo, (source_size + b - 1) // b AS blocks FROM h),
-p AS (SELECT (i % 2147483648) * 1327217885 % 2147483648 AS p FROM (SELECT unnest(range(((SELECT max(total) + max(b) - 1 FROM b) // (SELECT max(b) FROM b))::bigint)) AS i)),
-c AS (SELECT source, count(*) AS slots FROM p JOIN l ON p >= lo AND p < hi GROUP BY source),
-k AS (SELECT l.*, least(coalesce(slots, 0), 3 * blocks) AS slots FROM l LEFT JOIN c ON l.source IS NOT DISTINCT FROM c.source),
+k AS (SELECT *, least(round(target)::bigint, 3 * source_size) AS want FROM s5),
 a AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(cast(doc_id AS varchar), '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
 SELECT doc_id, size, source_size, target,
- ((slots // greatest(blocks, 1)) * size + greatest(0, least(size, (slots % greatest(blocks, 1)) * b - pos)))::bigint AS taken
+ ((want // greatest(source_size, 1)) * size + greatest(0, least(size, want % greatest(source_size, 1) - pos)))::bigint AS taken
 FROM a JOIN k ON a.source IS NOT DISTINCT FROM k.source
 """
 
