@@ -411,7 +411,9 @@ def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: in
     rows = _pieces(forest(texts, form), hot, piece, first)
     names = ["group", "piece", "node", "s0", "s1", "n_shingles", *([] if first else ["label"])]
     # signatures in order, so that a piece of an endless group holds like texts
-    rows = rows.select(*names).repartition("group", "piece").sortWithinPartitions("group", "piece", "s0", "s1", "node")
+    # a number of tasks of our own: the work is in the comparing, not in the bytes by which tasks would be merged
+    tasks = min(form.groups << form.prefix, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select(*names).repartition(tasks, "group", "piece").sortWithinPartitions("group", "piece", "s0", "s1", "node")
     tries = [t for _, t in form.orders()]
 
     def run(batches):
