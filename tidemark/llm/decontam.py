@@ -12,11 +12,17 @@ hashes of all their words. Windows shorter than ``k + 1`` words, which come
 from short items only, use a k of their own length, where every k-gram is
 kept.
 
-The benchmark's fingerprints are built from its items in blocks of at most
-``block_bytes`` of text, each broadcast by itself, so that what is broadcast
-has a fixed bound. One block (the usual case) takes one pass over the
-documents without any shuffle; more blocks take one pass each and their hits
-are merged by row.
+A benchmark of up to ``broadcast_bytes`` of distinct text (measured first) is
+joined on the map side: its fingerprints and windows are broadcast and one
+pass over the documents needs no shuffle. A larger one is joined by shuffle:
+items and documents each make their fingerprints once; those of documents that
+aren't in a bitmap of fixed size (FILTER_BITS) of the benchmark's
+fingerprints stay behind; the others meet the fingerprints by a join on (window
+length, fingerprint), are extended to the windows around them, and those meet
+the benchmark's windows by hash. Hits are merged by the hash of their text and
+joined to the documents. So the documents are read twice and shuffled only
+where hits are too many to broadcast, whatever the size of the benchmark, and
+no item is ever collected.
 
 Defined results: null or wordless text has no words and no hits; a null or
 wordless item has no windows; items that share an id count as one item; items
@@ -29,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +47,10 @@ FIELDS = [
     T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))),
     T.StructField("item_ids", T.ArrayType(T.StringType())),
 ]
-FILTER_BITS = 20
+#: Bits of the filter before a map-side join, and of the one before a shuffle join (16 MB).
+SMALL_FILTER_BITS, FILTER_BITS = 20, 27
+#: Texts with hits up to which they are broadcast to the documents.
+BROADCAST_TEXTS = 200_000
 
 
 def winnow(gram: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
@@ -95,8 +105,8 @@ class Index:
             pairs = np.unique(np.rec.fromarrays([keys, owner], names="key,owner"))
             uniq, first = np.unique(pairs.key, return_index=True)
             fp = np.unique(np.concatenate(prints))
-            bits = np.zeros(1 << FILTER_BITS, dtype=bool)
-            bits[fp & np.uint64((1 << FILTER_BITS) - 1)] = True
+            bits = np.zeros(1 << SMALL_FILTER_BITS, dtype=bool)
+            bits[fp & np.uint64((1 << SMALL_FILTER_BITS) - 1)] = True
             self.parts.append((m, kk, w, fp, bits, uniq, np.append(first, len(pairs)), pairs.owner.copy()))
 
 
@@ -106,6 +116,30 @@ def _member(x: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sorted_keys[at] == x, at
 
 
+def _grams(words: textvec.Words, k: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
+    if k not in known:
+        g = textvec.grams(words.hash, k)
+        known[k] = g, textvec.gram_valid(words.offs, k, len(g))
+    return known[k]
+
+
+def around(words: textvec.Words, at: np.ndarray, m: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows of ``m`` words that hold a fingerprint at ``at``, inside its document, and the documents."""
+    start = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
+    start = start[(start >= 0) & (start + m <= len(words.hash))]
+    doc = np.searchsorted(words.offs, start, side="right") - 1
+    inside = start + m <= words.offs[doc + 1]
+    return start[inside], doc[inside]
+
+
+def window_hashes(words: textvec.Words, start: np.ndarray, m: int) -> np.ndarray:
+    h = words.hash[start].copy()
+    for j in range(1, m):
+        h *= np.uint64(textvec._MUL)
+        h += words.hash[start + j]
+    return textvec.mix(h)
+
+
 def scan(words: textvec.Words, index: Index) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Hit words of a chunk (a mask) and ``(document, item number)`` pairs."""
     n = len(words.hash)
@@ -115,31 +149,16 @@ def scan(words: textvec.Words, index: Index) -> tuple[np.ndarray, list[tuple[int
     for m, k, w, fp, bits, keys, first, owner in index.parts:
         if n < m:
             continue
-        if k not in by_k:
-            g = textvec.grams(words.hash, k)
-            by_k[k] = g, textvec.gram_valid(words.offs, k, len(g))
-        gram, valid = by_k[k]
+        gram, valid = _grams(words, k, by_k)
         at = winnow(gram, valid, w)
-        at = at[bits[gram[at] & np.uint64((1 << FILTER_BITS) - 1)]]
+        at = at[bits[gram[at] & np.uint64((1 << SMALL_FILTER_BITS) - 1)]]
         at = at[_member(gram[at], fp)[0]]
         if not len(at):
             continue
-        # the windows that hold the fingerprint, inside its document
-        start = np.unique((at[:, None] - np.arange(w)[None, :]).ravel())
-        start = start[(start >= 0) & (start + m <= n)]
-        doc = np.searchsorted(words.offs, start, side="right") - 1
-        inside = start + m <= words.offs[doc + 1]
-        start, doc = start[inside], doc[inside]
+        start, doc = around(words, at, m, w)
         if not len(start):
             continue
-        if k == m:
-            h = gram[start]
-        else:
-            h = words.hash[start].copy()
-            for j in range(1, m):
-                h *= np.uint64(textvec._MUL)
-                h += words.hash[start + j]
-            h = textvec.mix(h)
+        h = gram[start] if k == m else window_hashes(words, start, m)
         hit, pos = _member(h, keys)
         start, doc, pos = start[hit], doc[hit], pos[hit]
         np.add.at(mark, start, 1)
@@ -175,44 +194,134 @@ def _pass(docs: DataFrame, text: str, index) -> DataFrame:
     return util.with_columns(docs, FIELDS, compute)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
+    """(m, print, key, id) of the items' windows, and of their fingerprints with null key and id."""
+
+    def run(batches):
+        for b in batches:
+            for i, j, words in textvec.word_chunks(b.column(1)):
+                known: dict = {}
+                sizes = np.diff(words.offs)
+                for m in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+                    kk = min(k, m)
+                    of = np.flatnonzero(np.minimum(sizes, window) == m)
+                    gram, valid = _grams(words, kk, known)
+                    owner = np.repeat(np.arange(j - i), sizes)
+                    at = winnow(gram, valid, m - kk + 1)
+                    fp = np.unique(gram[at[np.isin(owner[at], of)]])
+                    n = len(words.hash) - m + 1
+                    start = np.flatnonzero(textvec.gram_valid(words.offs, m, n) & np.isin(owner[:n], of))
+                    key = gram[start] if kk == m else window_hashes(words, start, m)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), m, np.int32)), _signed(fp), pa.nulls(len(fp), pa.int64()), pa.nulls(len(fp), pa.string())], names=["m", "print", "key", "id"])
+                    ids = b.column(0).slice(i, j - i).take(pa.array(owner[start]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), m, np.int32)), pa.nulls(len(start), pa.int64()), _signed(key), ids], names=["m", "print", "key", "id"])
+
+    return items.mapInArrow(run, "m int, print long, key long, id string")
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """The fingerprints' low FILTER_BITS as a packed bitmap, made in pieces of 2^20 bits: its size is fixed."""
+    piece = 1 << 20
+    slots = prints.select(F.col("print").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("slot")).distinct()
+    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+
+    def pack(table: pa.Table) -> pa.Table:
+        slot = table.column("slot").to_numpy()
+        bits = np.zeros(piece, dtype=bool)
+        bits[slot & (piece - 1)] = True
+        return pa.table({"at": pa.array([int(slot[0]) >> 20], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    for r in slots.groupBy(F.shiftright("slot", 20).alias("_at")).applyInArrow(pack, "at long, bits binary").toLocalIterator():
+        out[r["at"] << 17 : (r["at"] + 1) << 17] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+TEXT_KEY = ("_h0", "_h1")
+
+
+def _text_key(text: str) -> list:
+    return [F.xxhash64(text).alias("_h0"), F.xxhash64(F.lit(1), text).alias("_h1")]
+
+
+def _document_prints(docs: DataFrame, lengths: list[int], k: int, bitmap) -> DataFrame:
+    """(text key, m, print, first, keys): fingerprints in the bitmap, and the hashes of the windows around each, from word ``first`` on."""
+
+    def run(batches):
+        bits = bitmap.value
+        for b in batches:
+            for i, j, words in textvec.word_chunks(b.column(2)):
+                known: dict = {}
+                for m in lengths:
+                    if len(words.hash) < m:
+                        continue
+                    kk = min(k, m)
+                    w = m - kk + 1
+                    gram, valid = _grams(words, kk, known)
+                    at = winnow(gram, valid, w)
+                    slot = (gram[at] & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    at = at[(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1]
+                    for p in range(0, len(at), 1 << 14):
+                        part = at[p : p + (1 << 14)]
+                        start, _ = around(words, part, m, w)
+                        key = gram[start] if kk == m else window_hashes(words, start, m)
+                        doc = np.searchsorted(words.offs, part, side="right") - 1
+                        lo = np.searchsorted(start, np.maximum(part - w + 1, words.offs[doc]))
+                        hi = np.searchsorted(start, part, side="right")
+                        n = np.maximum(hi - lo, 0)
+                        take = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), _signed(key[take]))
+                        first = np.where(n > 0, start[np.minimum(lo, max(0, len(start) - 1))] if len(start) else 0, 0) - words.offs[doc]
+                        own = pa.array(doc + i)
+                        yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(np.full(len(part), m, np.int32)), _signed(gram[part]), pa.array(first.astype(np.int32)), keys], names=[*TEXT_KEY, "m", "print", "first", "keys"])
+
+    return docs.mapInArrow(run, "_h0 long, _h1 long, m int, print long, first int, keys array<long>")
+
+
+def _joined(docs: DataFrame, items: DataFrame, text: str, window: int, k: int) -> DataFrame:
+    """(text key, hit_spans, item_ids) of the texts with hits, by shuffle joins."""
+    spark = docs.sparkSession
+    made = util.cut(_item_windows(items, window, k))
+    prints = util.cut(made.where("key is null").select("m", "print").distinct())
+    windows = util.cut(made.where("key is not null").select("m", "key", "id").distinct())
+    util.discard(made)
+    lengths = sorted(r.m for r in prints.select("m").distinct().collect())
+    found = _document_prints(docs.select(*_text_key(text), F.col(text).alias("text")), lengths, k, spark.sparkContext.broadcast(_bitmap(prints)))
+    near = found.join(prints, ["m", "print"], "left_semi").select(*TEXT_KEY, "m", F.posexplode("keys").alias("_i", "key"), "first")
+    near = near.select(*TEXT_KEY, "m", "key", (F.col("first") + F.col("_i")).alias("start")).distinct()
+    hits = util.cut(near.join(windows.select("m", "key").distinct(), ["m", "key"], "left_semi"))
+    ids = hits.select(*TEXT_KEY, "m", "key").distinct().join(windows.where("id is not null"), ["m", "key"]).select(*TEXT_KEY, "id").distinct()
+    ids = ids.groupBy(*TEXT_KEY).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    # union of the windows: one begins a span where all before it have ended
+    order = W.partitionBy(*TEXT_KEY).orderBy("start", "m")
+    ends = F.max(F.col("start") + F.col("m")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    spans = hits.withColumn("_new", (F.col("start") > F.coalesce(ends, F.lit(-1))).cast("int")).withColumn("_span", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.groupBy(*TEXT_KEY, "_span").agg(F.min("start").alias("first"), (F.max(F.col("start") + F.col("m")) - 1).alias("last"))
+    spans = spans.groupBy(*TEXT_KEY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_spans"), F.sum(F.col("last") - F.col("first") + 1).alias("_hit"))
+    out = util.cut(spans.join(ids, list(TEXT_KEY), "left"))
+    util.discard(prints, windows, hits)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` with n_words, n_hit, hit_spans (word numbers, inclusive) and item_ids."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and window")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    if blocks == 1:
-        rows = [(r.id, r.text) for r in items.collect()]
-        return _pass(docs, text, spark.sparkContext.broadcast(Index(rows, window, k)))
-    keep = [c for c in docs.columns if c.lower() not in {f.name for f in FIELDS}]
-    docs = util.cut(docs.select(*keep).withColumn("_row", F.monotonically_increasing_id()))
-    items = util.cut(items.withColumn("_block", F.pmod(F.xxhash64("id", "text"), F.lit(2 * blocks))))
-    hits = None
-    for b in range(2 * blocks):
-        rows = [(r.id, r.text) for r in items.where(F.col("_block") == b).collect()]
-        if not rows:
-            continue
-        got = _pass(docs.select("_row", F.col(text).alias("text")), "text", spark.sparkContext.broadcast(Index(rows, window, k)))
-        got = util.cut(got.where("n_hit > 0").select("_row", "hit_spans", "item_ids"))
-        hits = got if hits is None else hits.unionAll(got)
-    none = _pass(docs, text, spark.sparkContext.broadcast(Index([], window, k)))
-    merged = hits.groupBy("_row").agg(F.flatten(F.collect_list("hit_spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("i"))
-    # union of spans: sorted by start, each next one joins the last or opens a new one
-    merged = merged.withColumn(
-        "s",
-        F.expr(
-            """aggregate(array_sort(s), cast(array() as array<struct<first:int,last:int>>), (a, x) ->
-            case when size(a) > 0 and element_at(a, -1).last + 1 >= x.first
-            then concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last))))
-            else concat(a, array(x)) end)"""
-        ),
-    )
-    return none.join(merged, "_row", "left").select(
-        *keep,
-        "n_words",
-        F.coalesce(F.expr("aggregate(s, 0L, (a, x) -> a + x.last - x.first + 1)"), F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("s", "hit_spans").alias("hit_spans"),
-        F.coalesce("i", "item_ids").alias("item_ids"),
-    )
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where(F.col("text").isNotNull())
+    size = F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 16), F.lit(0))
+    if items.agg(size).first()[0] > broadcast_bytes:  # perhaps only for rows that repeat
+        items = util.cut(items.distinct())
+        if items.agg(size).first()[0] > broadcast_bytes:
+            hits = _joined(docs, items, text, window, k)
+            few = F.broadcast(hits) if hits.count() <= BROADCAST_TEXTS else hits
+            none = _pass(docs, text, spark.sparkContext.broadcast(Index([], window, k)))
+            names = none.columns
+            rows = none.select("*", *_text_key(text)).join(few, list(TEXT_KEY), "left")
+            merged = {"n_hit": F.coalesce("_hit", F.lit(0)).cast("long"), "hit_spans": F.coalesce("_spans", "hit_spans"), "item_ids": F.coalesce("_ids", "item_ids")}
+            return rows.select(*[merged[c].alias(c) if c in merged else c for c in names])
+    rows = [(r.id, r.text) for r in items.collect()]
+    return _pass(docs, text, spark.sparkContext.broadcast(Index(rows, window, k)))
