@@ -1,7 +1,8 @@
 """Language identification by script ranges and a Viterbi path over words.
 
 Learning (on the driver, from at most ``max_docs`` labelled rows of each
-language that aren't held out, in the order of a hash of the id): hashed byte
+language that aren't held out, in the order of a hash of the id and text, and
+of no more than ``max_bytes`` of text each but for the last): hashed byte
 2-, 3- and 4-grams and whole words of each language give tables of log-odds,
 and the letters' scripts give each language's share by script.
 
@@ -11,11 +12,15 @@ candidate is the sum of its table rows. A Viterbi path over the words with a
 constant switching penalty labels spans of one language; a document's language
 is that of most letters along the path and its score their share. The path is
 exact: blocks of words compute their (max, +) transfer matrices in parallel,
-the blocks of a document are then chained, and a second sweep traces back.
+the blocks of a document are then chained, and a second sweep traces back. A
+document longer than PIECE bytes goes through in pieces: the first sweep keeps
+the path values at their ends, the second reads the pieces again from the last,
+so that memory doesn't grow with the text but for its own bytes.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 with nothing learned every text is ``und``; a language with few rows is
-learned from those; ties go to the language that sorts first.
+learned from those; ties go to the language that sorts first; letters that go
+on for more than PIECE bytes are words of that length.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ FIELDS = [
 ]
 GRAM_BITS, WORD_BITS = 16, 18
 BLOCK = 32
+PIECE = 1 << 18
+#: Numbers in the transfer matrices of the documents that are worked on together.
+MATRICES = 1 << 22
 #: Script by lead byte of UTF-8 (two-byte scripts) or by code point below.
 SCRIPTS = ("latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "kana", "han", "other")
 _RANGES = (
@@ -122,25 +130,40 @@ class Model:
 
 def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each row; rows ``offs[d]:offs[d + 1]`` are a path of their own."""
+    k = max(1, scores.shape[1])
+    room = np.cumsum(-(-np.diff(offs) // BLOCK)) // max(1, MATRICES // (k * k))
+    cuts = np.concatenate([[0], np.flatnonzero(room[1:] != room[:-1]) + 1, [len(room)]]) if len(room) else [0]
+    parts = [np.zeros(0, np.int64)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own = offs[a : b + 1]
+        parts.append(sweep(scores[own[0] : own[-1]], own - own[0], penalty)[0])
+    return np.concatenate(parts)
+
+
+def sweep(scores: np.ndarray, offs: np.ndarray, penalty: float, start: np.ndarray | None = None, last_label: np.ndarray | None = None, forward: bool = False):
+    """Best labels of the rows, and the label before each path; of paths that go on from the values ``start``, to the labels ``last_label`` where known.
+
+    ``forward``: only the path values at the ends.
+    """
     n, k = scores.shape
     size = np.diff(offs)
     blocks = -(-size // BLOCK)
     first = np.concatenate([[0], np.cumsum(blocks)])
     nb = int(first[-1])
+    v = np.zeros((len(size), k)) if start is None else start.copy()
     if not nb:
-        return np.zeros(0, dtype=np.int64)
+        return v if forward else (np.zeros(0, dtype=np.int64), v.argmax(axis=1) if last_label is None else last_label)
     where = np.arange(n) - np.repeat(offs[:-1], size) + np.repeat(first[:-1] * BLOCK, size)
     e = np.zeros((nb * BLOCK, k))
     e[where] = scores
     e = e.reshape(nb, BLOCK, k)
-    # transfer matrices of the blocks, in parallel
+    # transfer matrices of the blocks, in parallel; rows that fill up the last block allow the switch that comes next anyway
     d = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None].repeat(nb, axis=0)
     for t in range(BLOCK):
         d = np.maximum(d, d.max(axis=2, keepdims=True) - penalty) + e[:, t, None, :]
     # the entry values of each block, along each document
     order = np.argsort(-blocks, kind="stable")
     entry = np.zeros((nb, k))
-    v = np.zeros((len(size), k))
     most = int(blocks.max())
     active = [int(np.searchsorted(-blocks[order], -s, side="left")) for s in range(most)]
     for s in range(most):
@@ -148,6 +171,9 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
         b = first[docs] + s
         entry[b] = v[docs]
         v[docs] = (v[docs][:, :, None] + d[b]).max(axis=1)
+    if forward:
+        return v
+    del d
     # forward once more with back pointers, and what each end label leads back to
     back = np.empty((BLOCK, nb, k), dtype=np.min_scalar_type(-k))
     x = entry
@@ -162,7 +188,7 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
         lead = np.take_along_axis(back[t], lead, 1).astype(np.int64)
     label = np.empty((BLOCK, nb), dtype=np.int64)
     last = np.zeros(nb, dtype=np.int64)
-    cur = v.argmax(axis=1)
+    cur = v.argmax(axis=1) if last_label is None else last_label.copy()
     for s in range(most - 1, -1, -1):
         docs = order[: active[s]]
         b = first[docs] + s
@@ -171,7 +197,7 @@ def viterbi(scores: np.ndarray, offs: np.ndarray, penalty: float) -> np.ndarray:
     for t in range(BLOCK - 1, -1, -1):
         label[t] = last
         last = back[t][np.arange(nb), last].astype(np.int64)
-    return label.T.ravel()[where]
+    return label.T.ravel()[where], cur
 
 
 def predict(model: Model, t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,6 +211,57 @@ def predict(model: Model, t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return best, np.where(total > 0, letters.max(axis=1) / np.maximum(total, 1), 0.0), label
 
 
+def pieces(data: np.ndarray, piece: int) -> list[tuple[int, int]]:
+    """Ranges of about ``piece`` bytes that end before a byte of no word, or, in a word without end, before a character."""
+    out, a = [], 0
+    while a < len(data):
+        b = min(len(data), a + piece)
+        if b < len(data):
+            near = data[b : b + piece]
+            ends = np.flatnonzero(~_LETTER[textvec._LOWER[near]])
+            if not len(ends):
+                ends = np.flatnonzero((near & 0xC0) != 0x80)
+            b += int(ends[0]) if len(ends) else 0
+        out.append((a, b))
+        a = b
+    return out
+
+
+def predict_long(model: Model, data: np.ndarray, piece: int) -> tuple[int, float, list[tuple[int, int]]]:
+    """Language number and score of one document, and its runs of (label, words), a piece at a time."""
+    parts = pieces(data, piece)
+    at = lambda a, b: Text(data[a:b], np.array([0, b - a]))
+    values = [np.zeros((1, len(model.langs)))]
+    for a, b in parts:
+        t = at(a, b)
+        values.append(sweep(model.word_scores(t), t.offs, model.penalty, values[-1], forward=True) if len(t.start) else values[-1])
+    letters = np.zeros(len(model.langs))
+    runs: list[tuple[int, int]] = []
+    label = values[-1].argmax(axis=1)
+    for (a, b), start in zip(reversed(parts), reversed(values[:-1])):
+        t = at(a, b)
+        if not len(t.start):
+            continue
+        own, label = sweep(model.word_scores(t), t.offs, model.penalty, start, label)
+        letters += np.bincount(own, weights=t.length, minlength=len(letters))
+        edge = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]])
+        for who, n in reversed(list(zip(own[edge[:-1]].tolist(), np.diff(edge).tolist()))):
+            if runs and runs[-1][0] == who:
+                runs[-1] = who, runs[-1][1] + n
+            else:
+                runs.append((who, n))
+    total = letters.sum()
+    return (int(letters.argmax()), float(letters.max() / total), runs[::-1]) if total else (-1, 0.0, [])
+
+
+def _has_letter(data: np.ndarray) -> bool:
+    for a, b in pieces(data, PIECE):
+        low = data[a:b] | 32
+        if np.any((low >= 97) & (low <= 122)) or any(map(str.isalpha, data[a:b].tobytes().decode(errors="ignore"))):
+            return True
+    return False
+
+
 def fit(texts: list[str], langs: list[str], penalty: float = 12.0) -> Model:
     names = sorted(set(langs))
     k = len(names)
@@ -213,14 +290,19 @@ def fit(texts: list[str], langs: list[str], penalty: float = 12.0) -> Model:
     return Model(names, [odds(g, 0.25, 0.5) for g in grams], odds(words, 0.5, 0.5), allowed, penalty)
 
 
-def train(docs: DataFrame, *, max_docs: int = 1500, penalty: float = 12.0) -> Model:
-    """Fit on ``max_docs`` documents of each language at most (doc_id, text, lang), none held out."""
-    known = docs.where(F.col("lang").isNotNull() & ~util.held_out() & F.col("doc_id").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = util.cut(known.select("doc_id", "lang").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_docs).select("doc_id", "lang").distinct())
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).where(F.col("text").isNotNull())
-    got = sorted((r.doc_id, r.lang, r.text) for r in rows.toLocalIterator())
-    return fit([r[2] for r in got], [r[1] for r in got], penalty) if got else Model([], [], np.zeros(0), np.zeros(0), penalty)
+def train(docs: DataFrame, *, max_docs: int = 1500, max_bytes: int = 16 << 20, penalty: float = 12.0) -> Model:
+    """Fit on ``max_docs`` rows of each language at most, and on ``max_bytes`` of text and one row (doc_id, text, lang), none held out."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~util.held_out() & F.col("doc_id").isNotNull())
+    known = known.select("lang", "text", F.xxhash64("doc_id").alias("_a"), F.xxhash64("text").alias("_b"))
+    # the first rows of each language are found on hashes; only the chosen texts travel
+    order = W.partitionBy("lang").orderBy("_a", "_b")
+    first = known.select("lang", "_a", "_b", F.octet_length("text").alias("_n")).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= max_docs)
+    used = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chosen = util.cut(util.cut(first).withColumn("_used", used).where(F.col("_used") < max_bytes).select("lang", "_a", "_b").distinct())
+    rows = known.join(F.broadcast(chosen), ["lang", "_a", "_b"]).dropDuplicates(["lang", "_a", "_b"])
+    got = sorted((r["_a"], r["_b"], r["lang"], r["text"]) for r in rows.toLocalIterator())
+    util.discard(chosen)
+    return fit([r[3] for r in got], [r[2] for r in got], penalty) if got else Model([], [], np.zeros(0), np.zeros(0), penalty)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -239,6 +321,13 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
                 scores.append(np.zeros(j - i))
                 spans += [[] for _ in range(j - i)]
                 continue
+            if j - i == 1 and len(data) > PIECE:
+                who, share, runs = predict_long(m, data, PIECE)
+                who, share, runs = (who, share, runs) if who >= 0 and _has_letter(data) else (-1, 0.0, [])
+                langs.append("und" if who < 0 else m.langs[who])
+                scores.append(np.array([share]))
+                spans.append([{"lang": m.langs[w], "words": n} for w, n in runs])
+                continue
             t = Text(data, bounds)
             best, share, label = predict(m, t)
             plain = np.zeros(len(data) + 1, dtype=np.int64)
