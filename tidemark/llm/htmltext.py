@@ -7,8 +7,8 @@ numpy reads, for every block, a hashed vector of its path, a hashed vector of
 its words and a few shape figures, and says for each block, in the light of
 all others of the page, whether it is part of the article.
 
-Training (on the driver, on at most ``max_pages`` pages in the order of a hash
-of their id): the labels are weak ones, from the vocabulary of element names
+Training (on the driver, on at most ``max_pages`` pages of up to TRAIN_CHARS
+characters in the order of a hash of their id, TRAIN_BLOCKS blocks of each): the labels are weak ones, from the vocabulary of element names
 and class words in ``BAD`` and ``GOOD``; the nearest telling ancestor decides
 and blocks without one take no part in the loss. Each page is also read in
 altered copies: sections of menus, notices, comments, adverts, forms and the
@@ -18,16 +18,21 @@ to use the words and the neighbours as well.
 
 Defined results: null or empty html, or a page without article blocks, gives
 empty text; unclosed elements end with their parent; an unclosed script or
-style runs to the end of the page; an undecodable reference stays as written;
+style runs to the end of the page; a quotation mark in a tag that no other
+follows is an ordinary character; an undecodable reference stays as written;
 repeated pages are each extracted; input columns named like output columns are
 replaced.
 """
 
 from __future__ import annotations
 
+import functools
+import functools
 import html as htmllib
 import re
 import zlib
+from collections import Counter
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,7 @@ FIELDS = [
     T.StructField("n_kept", T.IntegerType()),
 ]
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']+|[\"'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
@@ -58,13 +63,80 @@ BAD = frozenset(
 )
 GOOD = frozenset("article main content post entry story articlebody maincontent maintext posttext".split())
 PATH_DIM, WORD_DIM, SHAPE_DIM = 96, 48, 6
+#: Open elements that count, as browsers have it.
+MAX_DEPTH = 512
+#: Blocks of a training page that are learned from, and the characters of a page that may be one; extraction reads whole pages.
+TRAIN_BLOCKS = 400
+TRAIN_CHARS = 1 << 20
+#: Blocks of a page that the network reads at a time.
+PART = 4096
+#: Open elements that count, as browsers have it.
+MAX_DEPTH = 512
+#: Blocks of a training page that are learned from, and the characters of a page that may be one; extraction reads whole pages.
+TRAIN_BLOCKS = 400
+TRAIN_CHARS = 1 << 20
+#: Blocks of a training page that are learned from, and the characters of a page that may be one; extraction reads whole pages.
+TRAIN_BLOCKS = 400
+TRAIN_CHARS = 1 << 20
+#: Blocks of a page that the network reads at a time.
+PART = 4096
 DIM = PATH_DIM + WORD_DIM + SHAPE_DIM
 
 
-def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path words, text, characters inside links) of each block with text."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class Path:
+    """What is known of a block's open elements: their words, and the sum of their hashed vectors."""
+
+    __slots__ = ("above", "words", "sum", "kids")
+
+    def __init__(self, above: Path | None = None, words: tuple[str, ...] = ()):
+        self.above, self.words, self.kids = above, words, {}
+        self.sum = _word_sum(words) if above is None else above.sum + _word_sum(words)
+
+    def child(self, words: tuple[str, ...]) -> Path:
+        """One for all elements of the same words, so that a page of many blocks holds few."""
+        if words not in self.kids:
+            self.kids[words] = Path(self, words)
+        return self.kids[words]
+
+    def all_words(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at:
+            parts.append(at.words)
+            at = at.above
+        return tuple(w for words in reversed(parts) for w in words)
+
+
+@functools.lru_cache(20_000)
+def _word_sum(words: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH_DIM, np.float32)
+    for w in words:
+        h = zlib.crc32(w.encode())
+        v[h % PATH_DIM] += 1.0 if h >> 16 & 1 else -1.0
+    return v
+
+
+@functools.lru_cache(20_000)
+def _element_words(tag: str, attrs: str) -> tuple[str, ...]:
+    words = [tag]
+    if attrs and "=" in attrs:
+        for m in ATTRIBUTE.finditer(attrs):
+            words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())
+    if attrs and HIDDEN.search(attrs):
+        words.append("hidden")
+    return tuple(words)
+
+
+def read(page: str) -> list[tuple[Path, str, int]]:
+    """(open elements, text, characters inside links) of each block with text.
+
+    The time is linear in the page: no more than MAX_DEPTH elements count as
+    open, as in browsers; those nested deeper only separate blocks.
+    """
+    out: list[tuple[Path, str, int]] = []
+    root = Path()
+    stack: list[tuple[str, Path]] = []
+    open_tags: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
     pieces: list[str] = []
     link = links = 0
     last = 0
@@ -74,18 +146,13 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if pieces:
             text = " ".join(htmllib.unescape("".join(pieces)).split())
             if text:
-                out.append((tuple(w for _, words in stack for w in words), text, links))
+                out.append((stack[-1][1] if stack else root, text, links))
             pieces.clear()
         links = 0
 
-    def words_of(tag: str, attrs: str) -> tuple[str, ...]:
-        words = [tag]
-        if attrs and "=" in attrs:
-            for m in ATTRIBUTE.finditer(attrs):
-                words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())
-        if attrs and HIDDEN.search(attrs):
-            words.append("hidden")
-        return tuple(words)
+    def close(k: int) -> None:
+        open_tags.subtract(t for t, _ in stack[k:])
+        del stack[k:]
 
     for m in TOKEN.finditer(page):
         if m.start() > last:
@@ -104,13 +171,144 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in BLOCK_TAGS:
             flush()
         if m[2]:  # an end tag: back to its element, if it is open
+            if deeper[tag]:
+                deeper[tag] -= 1
+            elif open_tags[tag]:
+                k = max(i for i, (t, _) in enumerate(stack) if t == tag)
+                if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[k:]):
+                    open_tags[tag] -= 1  # an inline element around blocks: only it ends
+                    rest = stack[k + 1 :]
+                    del stack[k:]
+                    for t, path in rest:
+                        stack.append((t, (stack[-1][1] if stack else root).child(path.words)))
+                else:
+                    close(k)
+            if tag == "a":
+                link = max(0, link - 1)
+            continue
+        if tag in VOID:
+            continue
+        if tag in CLOSED_BY:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[k:]):
-                        del stack[k]  # an inline element around blocks: only it ends
-                    else:
-                        del stack[k:]
+                if stack[k][0] in CLOSED_BY[tag]:
+                    close(k)
                     break
+                if stack[k][0] in BLOCK_TAGS:
+                    break
+        if tag == "a":
+            link += 1
+        if not m[4].rstrip().endswith("/") or tag in BLOCK_TAGS:
+            if len(stack) >= MAX_DEPTH:
+                deeper[tag] += 1
+            else:
+                open_tags[tag] += 1
+                stack.append((tag, (stack[-1][1] if stack else root).child(_element_words(tag, m[4]))))
+    if last < len(page):
+        pieces.append(page[last:])
+    flush()
+    return out
+
+
+class Path:
+    """What is known of a block's open elements: their words, and the sum of their hashed vectors."""
+
+    __slots__ = ("above", "words", "sum", "kids")
+
+    def __init__(self, above: Path | None = None, words: tuple[str, ...] = ()):
+        self.above, self.words, self.kids = above, words, {}
+        self.sum = _word_sum(words) if above is None else above.sum + _word_sum(words)
+
+    def child(self, words: tuple[str, ...]) -> Path:
+        """One for all elements of the same words, so that a page of many blocks holds few."""
+        if words not in self.kids:
+            self.kids[words] = Path(self, words)
+        return self.kids[words]
+
+    def all_words(self) -> tuple[str, ...]:
+        parts, at = [], self
+        while at:
+            parts.append(at.words)
+            at = at.above
+        return tuple(w for words in reversed(parts) for w in words)
+
+
+@functools.lru_cache(20_000)
+def _word_sum(words: tuple[str, ...]) -> np.ndarray:
+    v = np.zeros(PATH_DIM, np.float32)
+    for w in words:
+        h = zlib.crc32(w.encode())
+        v[h % PATH_DIM] += 1.0 if h >> 16 & 1 else -1.0
+    return v
+
+
+@functools.lru_cache(20_000)
+def _element_words(tag: str, attrs: str) -> tuple[str, ...]:
+    words = [tag]
+    if attrs and "=" in attrs:
+        for m in ATTRIBUTE.finditer(attrs):
+            words += re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower())
+    if attrs and HIDDEN.search(attrs):
+        words.append("hidden")
+    return tuple(words)
+
+
+def read(page: str) -> list[tuple[Path, str, int]]:
+    """(open elements, text, characters inside links) of each block with text.
+
+    The time is linear in the page: no more than MAX_DEPTH elements count as
+    open, as in browsers; those nested deeper only separate blocks.
+    """
+    out: list[tuple[Path, str, int]] = []
+    root = Path()
+    stack: list[tuple[str, Path]] = []
+    open_tags: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
+    pieces: list[str] = []
+    link = links = 0
+    last = 0
+
+    def flush() -> None:
+        nonlocal links
+        if pieces:
+            text = " ".join(htmllib.unescape("".join(pieces)).split())
+            if text:
+                out.append((stack[-1][1] if stack else root, text, links))
+            pieces.clear()
+        links = 0
+
+    def close(k: int) -> None:
+        open_tags.subtract(t for t, _ in stack[k:])
+        del stack[k:]
+
+    for m in TOKEN.finditer(page):
+        if m.start() > last:
+            s = page[last : m.start()]
+            pieces.append(s)
+            if link:
+                links += len(s)
+        last = m.end()
+        tag = m[3]
+        if not tag:
+            continue
+        tag = tag.lower()
+        if tag == "br":
+            pieces.append(" ")
+            continue
+        if tag in BLOCK_TAGS:
+            flush()
+        if m[2]:  # an end tag: back to its element, if it is open
+            if deeper[tag]:
+                deeper[tag] -= 1
+            elif open_tags[tag]:
+                k = max(i for i, (t, _) in enumerate(stack) if t == tag)
+                if tag not in BLOCK_TAGS and any(t in BLOCK_TAGS for t, _ in stack[k:]):
+                    open_tags[tag] -= 1  # an inline element around blocks: only it ends
+                    rest = stack[k + 1 :]
+                    del stack[k:]
+                    for t, path in rest:
+                        stack.append((t, (stack[-1][1] if stack else root).child(path.words)))
+                else:
+                    close(k)
             if tag == "a":
                 link = max(0, link - 1)
             continue
@@ -119,45 +317,45 @@ def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if tag in CLOSED_BY:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in CLOSED_BY[tag]:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] in BLOCK_TAGS:
                     break
         if tag == "a":
             link += 1
         if not m[4].rstrip().endswith("/") or tag in BLOCK_TAGS:
-            stack.append((tag, words_of(tag, m[4])))
+            if len(stack) >= MAX_DEPTH:
+                deeper[tag] += 1
+            else:
+                open_tags[tag] += 1
+                stack.append((tag, (stack[-1][1] if stack else root).child(_element_words(tag, m[4]))))
     if last < len(page):
         pieces.append(page[last:])
     flush()
     return out
 
 
-_paths: dict[tuple[str, ...], np.ndarray] = {}
+def parse(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """(path words, text, characters inside links) of each block with text."""
+    return [(p.all_words(), text, links) for p, text, links in read(page)]
 
 
+@functools.lru_cache(20_000)
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = _paths.get(path)
-    if v is None:
-        if len(_paths) > 20_000:
-            _paths.clear()
-        v = np.zeros(PATH_DIM, np.float32)
-        for w in path:
-            h = zlib.crc32(w.encode())
-            v[h % PATH_DIM] += 1.0 if h >> 16 & 1 else -1.0
-        v = _paths[path] = np.clip(v, -2, 2)
-    return v
+    return np.clip(_word_sum(path), -2, 2)
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def features(blocks: list, first: int = 0, total: int | None = None) -> np.ndarray:
+    """A row for each block, of ``parse`` or ``read``; ``first`` and ``total`` place a part of a page's blocks."""
     x = np.zeros((len(blocks), DIM), np.float32)
+    total = len(blocks) if total is None else total
     for i, (path, text, links) in enumerate(blocks):
-        x[i, :PATH_DIM] = path_vector(path)
+        x[i, :PATH_DIM] = path_vector(path) if isinstance(path, tuple) else np.clip(path.sum, -2, 2)
         words = text.lower().encode().split(b" ")
         n = len(words)
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([zlib.crc32(w) % WORD_DIM for w in words], minlength=WORD_DIM) / n**0.5 / 2
         size = len(text)
-        shape = (np.log1p(size) / 5, min(1.0, links / size), min(1.0, 20 * sum(map(text.count, ".,;:!?")) / size), i / max(1, len(blocks) - 1), np.log1p(n) / 4, float(text[-1] in ".!?\"”"))
+        shape = (np.log1p(size) / 5, min(1.0, links / size), min(1.0, 20 * sum(map(text.count, ".,;:!?")) / size), (first + i) / max(1, total - 1), np.log1p(n) / 4, float(text[-1] in ".!?\"”"))
         x[i, PATH_DIM + WORD_DIM :] = shape
     return x
 
@@ -235,13 +433,12 @@ class Network:
     def _sig(x):
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """Hidden states (batch, time, h) in the order of reading; masked steps hold the state."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool, state=None):
+        """Hidden states (batch, time, h) in the order of reading, and the last ones; masked steps hold the state."""
         n, t, _ = x.shape
         k = self.h
         a = x @ self.p["w" + d] + self.p["c" + d]
-        h = np.zeros((n, k), np.float32)
-        c = np.zeros((n, k), np.float32)
+        h, c = state if state is not None else (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
         hs = np.zeros((n, t, k), np.float32)
         tape = []
         for i in range(t):
@@ -256,7 +453,22 @@ class Network:
                 tape.append((h, c, g, new, tc, m))
             h, c = np.where(m, h2, h), np.where(m, c2, c)
             hs[:, i] = h
-        return hs, tape
+        return hs, (tape if keep else (h, c))
+
+    def long_page(self, blocks: list) -> np.ndarray:
+        """The probabilities of one page of many blocks, PART at a time in each direction."""
+        n = len(blocks)
+        logit = np.full(n, self.p["z"][0], np.float32)
+        for d, half, starts in (("f", slice(0, self.h), range(0, n, PART)), ("b", slice(self.h, None), reversed(range(0, n, PART)))):
+            state = None
+            for a in starts:
+                x = features(blocks[a : a + PART], a, n)
+                turn = slice(None, None, -1 if d == "b" else 1)
+                hs, state = self._run(d, x[None, turn], np.ones((1, len(x)), bool), False, state)
+                logit[a : a + PART] += hs[0, turn] @ self.p["o"][half]
+                if d == "f":
+                    logit[a : a + PART] += x @ self.p["s"]
+        return self._sig(logit)
 
     def _back(self, d: str, x, dhs, tape, grads):
         n, t, _ = x.shape
@@ -314,7 +526,7 @@ class Network:
             a = b
         return out
 
-    def fit(self, data: list[tuple[np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.01, batch: int = 24, seed: int = 4) -> None:
+    def fit(self, data: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, rate: float = 0.01, batch: int = 24, seed: int = 4) -> None:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -347,13 +559,13 @@ class Network:
 
 def fit(pages: list[str], *, copies: int = 3, seed: int = 11) -> Network | None:
     rng = np.random.default_rng(seed)
-    read = [b for b in map(parse, pages) if b]
-    if not read:
+    known = [b for b in map(parse, pages) if b]
+    if not known:
         return None
-    pool = [t for blocks in read[:50] for _, t, _ in blocks]
+    pool = [t for blocks in known[:50] for _, t, _ in blocks[:TRAIN_BLOCKS]]
     data = []
-    for blocks in read:
-        blocks = blocks[:400]  # of a training page; extraction reads whole pages
+    for blocks in known:
+        blocks = blocks[:TRAIN_BLOCKS]
         label = [weak_label(p) for p, _, _ in blocks]
         for k in range(copies + 1):
             b, y = altered(blocks, label, rng, pool) if k else (blocks, label)
@@ -364,10 +576,13 @@ def fit(pages: list[str], *, copies: int = 3, seed: int = 11) -> Network | None:
 
 
 def train(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", max_pages: int = 120) -> Network | None:
-    """Fit on at most ``max_pages`` pages."""
-    ids = pages.where(F.col(html).isNotNull() & F.col(page_id).isNotNull()).select(page_id).distinct().orderBy(F.xxhash64(page_id), page_id).limit(max_pages)
-    rows = pages.select(page_id, html).join(F.broadcast(ids), page_id).where(F.col(html).isNotNull())
-    return fit([t for _, t in sorted((r[0], r[1]) for r in rows.toLocalIterator())][: 2 * max_pages])
+    """Fit on at most ``max_pages`` pages of at most TRAIN_CHARS characters, the first by a hash of the id and the html."""
+    rows = pages.where(F.col(html).isNotNull() & F.col(page_id).isNotNull() & (F.char_length(html) <= TRAIN_CHARS))
+    # the hashes are sorted without the pages, which are fetched for those chosen
+    key = F.xxhash64(page_id), F.xxhash64(html)
+    chosen = rows.select(*(k.alias(f"_k{i}") for i, k in enumerate(key))).distinct().orderBy("_k0", "_k1").limit(max_pages)
+    found = rows.select(page_id, html, *(k.alias(f"_k{i}") for i, k in enumerate(key))).join(F.broadcast(chosen), ["_k0", "_k1"]).dropDuplicates(["_k0", "_k1"])
+    return fit([r[1] for r in sorted((str(r[page_id]), r[html]) for r in found.toLocalIterator())])
 
 
 def extract(pages: DataFrame, net: Network | None, *, html: str = "html") -> DataFrame:
@@ -379,9 +594,13 @@ def extract(pages: DataFrame, net: Network | None, *, html: str = "html") -> Dat
         text, total, kept = [], [], []
         col = textvec.text_column(batch, html)
         for i, j, _, _ in textvec.chunks(col, 1 << 19):
-            read = [parse(t) if t else [] for t in col.slice(i, j - i).to_pylist()]
-            prob = network.predict([features(b) for b in read]) if network else [np.zeros(len(b)) for b in read]
-            for blocks, p in zip(read, prob):
+            pages_ = [read(t) if t else [] for t in col.slice(i, j - i).to_pylist()]
+            if network:
+                prob = network.predict([features(b) if len(b) <= PART else np.zeros((0, DIM), np.float32) for b in pages_])
+                prob = [network.long_page(b) if len(b) > PART else p for b, p in zip(pages_, prob)]
+            else:
+                prob = [np.zeros(len(b)) for b in pages_]
+            for blocks, p in zip(pages_, prob):
                 own = [b[1] for b, x in zip(blocks, p) if x >= 0.5]
                 text.append("\n".join(own))
                 total.append(len(blocks))
