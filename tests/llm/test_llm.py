@@ -276,12 +276,25 @@ def test_decontamination_agrees_with_brute_force(spark, block):
     docs += [(60, None), (61, ""), (61, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_hit", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontam.decontaminate(df, bench, block_bytes=block).collect()
+    got = decontam.decontaminate(df, bench, broadcast_bytes=block).collect()
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids)) for r in got) == collections.Counter((d, *(x if not isinstance(x, list) else tuple(x) for x in brute_hits(t, items))) for d, t in docs)
     for r in got:
         assert r.n_hit == sum(s["last"] - s["first"] + 1 for s in r.hit_spans)
 
 
+def test_a_large_benchmark_is_joined_and_repeats_are_not(spark, monkeypatch):
+    long = prose(3, 30_000)
+    bench = spark.createDataFrame([(1, long), (2, "only these four words"), (3, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(long.split()[5000:5030]) + " y"), (2, "say only these four words twice only these four words"), (3, "nothing"), (4, None), (4, long)], "doc_id long, text string")
+    want = {(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), tuple(map(tuple, r.hit_spans))) for r in decontam.decontaminate(docs, bench).collect()}
+    got = {(r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), tuple(map(tuple, r.hit_spans))) for r in decontam.decontaminate(docs, bench, broadcast_bytes=1000).collect()}
+    assert got == want and (1, 32, 30, ("1",), ((1, 30),)) in got and (2, 9, 8, ("2",), ((1, 4), (5, 8))) not in got
+    # a repeated item is one item: it doesn't make the benchmark large
+    monkeypatch.setattr(decontam, "_joined", lambda *a: pytest.fail("joined"))
+    many = bench.unionAll(bench).unionAll(bench)
+    assert {(r.doc_id, r.n_hit) for r in decontam.decontaminate(docs, many, broadcast_bytes=len(long) + 1000).collect()} == {(r[0], r[2]) for r in want}
+
+
 def test_decontamination_of_awkward_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "one two"), (2, None)], "item_id long, text string")
     got = {(r.doc_id, r.text and r.text[:5]): r for r in decontam.decontaminate(odd, bench).collect()}
@@ -318,6 +331,38 @@ def test_viterbi_takes_many_labels():
     assert langid.viterbi(scores, np.array([0, 100]), 4.0).tolist() == [150] * 50 + [199] * 50
 
 
+def test_a_document_in_pieces_has_the_same_path():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "house", "of", "man"] if lang == "en" else ["дом", "сад", "река", "ночь"] if lang == "ru" else ["haus", "der", "mann", "ünd"]) for _ in range(60)) for lang in ("en", "ru", "de") for _ in range(20)]
+    model = langid.fit(texts, [x for x in ("en", "ru", "de") for _ in range(20)])
+    long = " . ".join(rng.choice(texts) for _ in range(40)) + "\n" + "é" * 12 + " 123"
+    data = np.frombuffer(long.encode(), np.uint8)
+    t = langid.Text(data, np.array([0, len(data)]))
+    best, share, label = langid.predict(model, t)
+    edge = np.concatenate([[0], np.flatnonzero(label[1:] != label[:-1]) + 1, [len(label)]])
+    want = list(zip(label[edge[:-1]].tolist(), np.diff(edge).tolist()))
+    for piece in (64, 200, 1000, 1 << 20):
+        who, score, runs = langid.predict_long(model, data, piece)
+        assert (who, runs) == (best[0], want) and score == pytest.approx(share[0]) and len(want) > 5
+    # letters without end are cut between characters
+    data = np.frombuffer(("я" * 1000).encode(), np.uint8)
+    parts = langid.pieces(data, 101)
+    assert all(a % 2 == b % 2 == 0 for a, b in parts) and parts[-1][1] == 2000 and langid.predict_long(model, data, 101)[0] == model.langs.index("ru")
+    assert langid.predict_long(model, np.frombuffer(b"1 2 3 " * 100, np.uint8), 64)[0] == -1
+
+
+def test_language_of_a_long_text_takes_little_memory(spark, sf_dir):
+    import tracemalloc
+
+    model = langid.fit(["the house of the man", "дом и сад у реки"], ["en", "ru"])
+    data = np.frombuffer(("the house дом " * 200_000).encode(), np.uint8)
+    tracemalloc.start()
+    who, share, runs = langid.predict_long(model, data, langid.PIECE)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert who >= 0 and peak < 90 << 20
+
+
 def test_language_of_held_out_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs)
@@ -409,6 +454,62 @@ def test_awkward_pages(spark, network):
     assert htmltext.extract(df.limit(0), network).count() == 0 and htmltext.extract(df, None).where("main_text <> ''").count() == 0
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    def took(make, n):
+        page = make(n)
+        t = time.process_time()
+        blocks = htmltext.read(page)
+        htmltext.features(blocks)
+        return time.process_time() - t
+
+    for make in (
+        lambda n: "<a " * n + '"', lambda n: "<a x='" * n, lambda n: "<div>x" * n, lambda n: "<b>" * n + "<div>x" * n + "</b>" * n, lambda n: "<div>x" * n + "</p>" * n,
+        lambda n: '<div class="' + "a b " * n + '">' + "<p>x" * n, lambda n: "<!--" * n, lambda n: "<script>" * n, lambda n: "<li>x<b>" * n, lambda n: "&" * n + "<" * n, lambda n: "<p>" + " &amp" * n,
+    ):
+        took(make, 500)
+        small, large = took(make, 3000), took(make, 24_000)
+        assert large < 24 * small + 0.3, (make(2), small, large)
+    # elements deeper than browsers go still separate blocks, and what is around them stays open
+    page = "<article>" + "<div>" * 600 + "deep" + "</div>" * 600 + "<p>after</p></article><p>out"
+    got = htmltext.parse(page)
+    assert [t for _, t, _ in got] == ["deep", "after", "out"] and "article" in got[1][0] and len(got[0][0]) == htmltext.MAX_DEPTH and got[2][0] == ("p",)
+    # a quotation mark that nothing closes is an ordinary character
+    assert [t for _, t, _ in htmltext.parse('<p title="5>one</p><p>two')] == ["one", "two"]
+
+
+def test_a_page_of_many_blocks_is_read_in_parts():
+    net = htmltext.Network()
+    blocks = htmltext.read("<div class=post><p>hello there world.</p><ul class=nav><li><a>x y</a></ul></div>" * 40)
+    whole = net.predict([htmltext.features(blocks)])[0]
+    part, htmltext.PART = htmltext.PART, 7
+    try:
+        assert np.allclose(net.long_page(blocks), whole, atol=1e-5) and len(blocks) == 80
+    finally:
+        htmltext.PART = part
+
+
+def test_pages_without_telling_names(spark, sf_dir, network):
+    """Elements and classes renamed to words that say nothing: the text and the neighbours must tell."""
+    import re
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").limit(60).collect()
+    words_kept = words_want = words_got = 0
+    for r in pages:
+        want = collections.Counter("\n".join(b[1] for b in htmltext.parse(re.search(r"<article>.*?(?:</article>|\Z)", r.html, re.DOTALL)[0])).split())
+        html_ = re.sub(r"</?(?:article|nav|aside|header|footer|section|main)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", r.html)
+        html_ = re.sub(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*')", 'class="q7"', html_)
+        blocks = htmltext.read(html_)
+        p = network.predict([htmltext.features(blocks)])[0]
+        got = collections.Counter(" ".join(b[1] for b, x in zip(blocks, p) if x >= 0.5).split())
+        words_kept += sum((got & want).values())
+        words_want += sum(want.values())
+        words_got += sum(got.values())
+    print("recall", words_kept / words_want, "precision", words_kept / max(1, words_got))
+    assert words_kept >= 0.8 * words_want and words_kept >= 0.8 * words_got
+
+
 def test_gradients_of_the_network():
     net = htmltext.Network(hidden=3)
     rng = np.random.default_rng(0)
