@@ -6,15 +6,13 @@ table and derives the digest columns from the operator's real outputs.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, htmltext, langid, linededup, mixing, pii, simhash, tokencount, topk, toxicity, util
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
+#: The file of the public tokenizer whose tokens op10 counts; executors find it where their own installation has it.
+VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +150,7 @@ SELECT d.doc_id, d.source, g.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_d
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokencount.token_counts(docs, os.path.join(TOKENIZERS, "word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return tokencount.token_counts(docs, tokencount.public(VOCABULARY)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 QUERIES = {

@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -194,6 +195,17 @@ class Fast:
         return np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[first]), slow
 
 
+def public(name: str) -> Callable[[], str]:
+    """The place of a public tokenizer's file, asked for where it is read: on each executor."""
+
+    def place() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+
+    return place
+
+
 _counters: dict[str, Fast] = {}
 
 
@@ -203,15 +215,15 @@ def counter(path: str) -> Fast:
     return _counters[path]
 
 
-def token_counts(docs: DataFrame, vocabulary: str, *, text: str = "text", limit: int = 2048) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str | Callable[[], str], *, text: str = "text", limit: int = 2048) -> DataFrame:
     """The rows of ``docs`` with n_bytes, n_tokens and over_limit (n_tokens > ``limit``).
 
-    Input columns with these names are replaced. ``vocabulary`` must be a path
-    that every executor can read.
+    Input columns with these names are replaced. ``vocabulary`` is a path that
+    every executor can read, or a function that finds it there.
     """
 
     def compute(batch: pa.RecordBatch) -> list:
-        fast = counter(vocabulary)
+        fast = counter(vocabulary if isinstance(vocabulary, str) else vocabulary())
         col = textvec.text_column(batch, text)
         _, offs = textvec.buffers(col)
         n = np.zeros(len(col), dtype=np.int64)
