@@ -411,6 +411,45 @@ def test_top_k_agrees_with_brute_force(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_queries_visit_only_the_shards_their_bounds_reach(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(24, 6)) * 20
+    rows = [(i, [float(x) for x in centres[i % 24] + rng.normal(size=6) * 0.1]) for i in range(2400)]
+    rows += [(5000 + i, rows[3][1]) for i in range(700)]  # one vector, often
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ready = df.select(F.col("vec_id").alias("id"), topk.quantise(F.col("embedding")).alias("v")).withColumn("dim", F.size("v"))
+    tree = topk.build(ready, 100, 2000, leaf=16).cache()
+    points = tree.where("leaf >= 0").groupBy("shard", "piece").count().collect()
+    assert sum(r["count"] for r in points) == len(rows) and max(r["count"] for r in points) <= 200 and len(points) >= 24
+    asked = ready.where("id % 5 = 0").withColumn("query", F.col("id")).withColumn("kth", F.lit(topk.FLOOR))
+    home = topk.visits(asked, tree, best=True)
+    n = asked.count()
+    assert home.count() == n and topk.visits(asked, tree, best=False).count() == n * len(points)
+    near = topk._search_shards(home, asked, tree, 7, 50).groupBy("query").agg(F.sort_array(F.collect_list("score"), False).alias("s"))
+    kth = asked.drop("kth").join(near, "query").withColumn("kth", F.element_at("s", 7))
+    assert topk.visits(kth, tree, best=False).count() < 0.35 * n * len(points)
+    got = topk.top_k(df, df.where("vec_id % 5 = 0"), k=7, shard_rows=100, block_rows=50, sample_rows=2000)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 7)
+    # boxes broadcast in many chunks
+    few = {tuple(r) for r in topk.visits(kth, tree, best=False).collect()}
+    most, topk.BOX_BYTES = topk.BOX_BYTES, 400
+    try:
+        assert {tuple(r) for r in topk.visits(kth, tree, best=False).collect()} == few
+        assert topk.visits(asked, tree, best=True).count() == n
+    finally:
+        topk.BOX_BYTES = most
+
+
+def test_scores_beyond_floats_are_exact():
+    rng = np.random.default_rng(2)
+    for top in (1 << 20, 1 << 28, 1 << 40):
+        x, q = rng.integers(-top, top, size=(60, 4)), rng.integers(-top, top, size=(5, 4))
+        at, who, score = topk.search(x, np.arange(60), q, np.arange(100, 105), np.full(5, topk.FLOOR), 3, leaf=8)
+        clip = lambda s: max(topk.FLOOR + 1, min(-topk.FLOOR - 1, s))
+        want = {(k, *best) for k in range(5) for best in sorted(((j, clip(sum(int(a) * int(b) for a, b in zip(x[j], q[k])))) for j in range(60)), key=lambda t: (-t[1], t[0]))[:3]}
+        assert set(zip(at.tolist(), who.tolist(), score.tolist())) == want
+
+
 def test_tree_boxes_bound_their_products():
     rng = np.random.default_rng(5)
     x, q = rng.integers(-20, 20, size=(500, 8)).astype(float), rng.integers(-20, 20, size=(30, 8)).astype(float)
