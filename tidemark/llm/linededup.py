@@ -32,14 +32,15 @@ def line_keys(text: Column) -> Column:
 
 def boilerplate_lines(pages: DataFrame, *, text: str = "text", host: str = "source", ratio: float = 0.02, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """(host, line hash, pages, host_pages) of the lines over the ratio."""
-    slim = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
-    if copies_once:
-        kept = F.filter(line_keys(F.col("_text")), lambda x: x.isNotNull())
-        slim = slim.groupBy("_host", F.xxhash64(kept).alias("_page")).agg(F.first("_text").alias("_text"))
+    if copies_once:  # pages meet as hashes of their lines, without their texts
+        slim = pages.select(F.col(host).alias("_host"), F.filter(line_keys(F.col(text)), lambda x: x.isNotNull()).alias("_lines"))
+        slim = slim.groupBy("_host", F.xxhash64("_lines").alias("_page")).agg(F.first("_lines").alias("_lines"))
+    else:
+        slim = pages.select(F.col(host).alias("_host"), line_keys(F.col(text)).alias("_lines"))
     totals = slim.groupBy("_host").agg(F.count(F.lit(1)).alias("host_pages"))
     lines = (
-        slim.where(F.col("_text").isNotNull())
-        .select("_host", F.explode(F.array_distinct(line_keys(F.col("_text")))).alias("_line"))
+        slim.where(F.col("_lines").isNotNull())
+        .select("_host", F.explode(F.array_distinct("_lines")).alias("_line"))
         .where(F.col("_line").isNotNull())
         .groupBy("_host", "_line")
         .agg(F.count(F.lit(1)).alias("pages"))
