@@ -196,7 +196,8 @@ def build(rows: DataFrame, shard_rows: int, sample_rows: int, leaf: int = 256) -
     spark = rows.sparkSession
     splits = {}
     for d, n in rows.groupBy("dim").count().where(F.col("count") > shard_rows).collect():
-        got = rows.where(F.col("dim") == d).sample(min(1.0, 1.2 * sample_rows / n), 7).limit(sample_rows).select("v").toArrow()
+        most = min(sample_rows, 256 * -(-n // shard_rows))
+        got = rows.where(F.col("dim") == d).sample(min(1.0, 1.2 * most / n), 7).limit(most).select("v").toArrow()
         depth = max(0, min((max(1, got.num_rows) // 4).bit_length() - 1, (-(-n // shard_rows) - 1).bit_length()))
         if d and depth:
             splits[d] = region_splits(_matrix(got.column("v"), got.num_rows, d), depth)

@@ -35,6 +35,7 @@ from __future__ import annotations
 import functools
 import math
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -272,21 +273,31 @@ def _keys(word: str) -> list[str]:
 class Sample:
     """Texts to learn from: their words by number, once for all that is learned."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], toxic: np.ndarray):
         self.split = Split(texts)
-        own = [self.split.text[a:b] for a, b in zip(self.split.start.tolist(), self.split.end.tolist())]
         number: dict[str, int] = {}
-        self.id = np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int64)
+        start, end, step = self.split.start, self.split.end, 1 << 16
+        at = (ab for p in range(0, len(start), step) for ab in zip(start[p : p + step].tolist(), end[p : p + step].tolist()))
+        self.id = np.fromiter((number.setdefault(self.split.text[a:b], len(number)) for a, b in at), dtype=np.int32, count=len(self.split.start))
         self.vocabulary = list(number)
+        del number
         self.words = [np.unique(self.id[a:b]) for a, b in zip(self.split.offs[:-1], self.split.offs[1:])]
         self.places = split(self.vocabulary)[:3]
-        # what may become a term: words (with $) and their stems, and those of each word and text
+        # what may become a term: words (with $) and stems that toxic texts hold; and those of each word and text
         names: dict[str, int] = {}
-        own_keys = [[names.setdefault(k, len(names)) for k in _keys(w)] for w in self.vocabulary]
+        for w in np.unique(np.concatenate([np.zeros(0, np.int32), *(w for w, y in zip(self.words, toxic) if y)])).tolist():
+            for key in _keys(self.vocabulary[w]):
+                names.setdefault(key, len(names))
         self.keys = list(names)
-        self.word_keys = np.array([k for own in own_keys for k in own], dtype=np.int64)
-        self.key_offs = np.concatenate([[0], np.cumsum([len(own) for own in own_keys])]).astype(np.int64)
-        self.text_keys = [np.unique(np.concatenate([np.zeros(0, np.int64), *(self.word_keys[self.key_offs[w] : self.key_offs[w + 1]] for w in words.tolist())])) for words in self.words]
+        flat, sizes = array("i"), array("i")
+        for w in self.vocabulary:
+            own = [names[k] for k in _keys(w) if k in names]
+            flat.extend(own)
+            sizes.append(len(own))
+        del names
+        self.word_keys = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32)
+        self.key_offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.text_keys = [np.unique(np.concatenate([np.zeros(0, np.int32), *(self.word_keys[self.key_offs[w] : self.key_offs[w + 1]] for w in words.tolist())])) for words in self.words]
         self.is_word = np.array([k.endswith("$") for k in self.keys], dtype=bool)
 
     def run(self, auto: Automaton) -> np.ndarray:
@@ -477,7 +488,8 @@ def learn(sample: Sample, use: np.ndarray, toxic: np.ndarray, window: int, chanc
 
 def fit(texts: list[str], toxic: list[int], window: int = 5, folds: int = 2) -> Model:
     """The model of these rows; LEVELS are compared by the log-loss of folds that each model hasn't seen."""
-    sample, y = Sample(texts), np.array(toxic, dtype=bool)
+    y = np.array(toxic, dtype=bool)
+    sample = Sample(texts, y)
     fresh = ~sample.near_copies() if len(texts) else np.zeros(0, bool)
     # alternate rows of each label; near-copies are left out, so that no fold holds a copy of another's text
     fold = np.zeros(len(y), dtype=np.int64)
