@@ -137,7 +137,7 @@ def apply(df: DataFrame, focus: DataFocus, chunk: Sequence[str] = ("_partition",
         return df
     carried = [c for c in df.columns if c in LOG_COLUMNS]
     schema = T.StructType([f for f in df.schema.fields if f.name not in LOG_COLUMNS])
-    # a single struct was sized as a whole before it is unwrapped, as any other column
+    # a single struct is unwrapped first: its fields are sized one by one
     columns = plan(schema, focus)
     if focus.max_bytes is not None:
         keys = [c for c in chunk if c in df.columns]

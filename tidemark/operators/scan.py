@@ -19,7 +19,7 @@ from .selectors import partition_filter
 def index_rows(df: DataFrame, partition: Column, order: Column, width: int = 1 << 16) -> DataFrame:
     """``df`` with ``_partition`` and ``_index``, the rank by ``order`` within the partition.
 
-    ``order`` is an integer column, unique in its partition. Ranges of it of
+    ``order`` is an integer column, unique in its partition; rows without one come first. Ranges of it of
     ``width`` are ranked in parallel and offset by the running counts of the
     ranges, so that a partition of any size is many tasks: one aggregate, one
     small window over the counts, one window over (partition, range).
@@ -30,7 +30,9 @@ def index_rows(df: DataFrame, partition: Column, order: Column, width: int = 1 <
     before = W.partitionBy("_partition").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("_partition", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     rank = F.row_number().over(W.partitionBy("_partition", "_range").orderBy("_order"))
-    ranked = df.withColumn("_rank", rank).join(base, ["_partition", "_range"])
+    # a null partition or order has its place too
+    base = base.withColumnsRenamed({"_partition": "_p", "_range": "_r"})
+    ranked = df.withColumn("_rank", rank).join(base, F.col("_partition").eqNullSafe(F.col("_p")) & F.col("_range").eqNullSafe(F.col("_r"))).drop("_p", "_r")
     return ranked.withColumn("_index", (F.col("_base") + F.col("_rank") - 1).cast("long")).drop("_order", "_range", "_rank", "_base")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
+import uuid
 from urllib.parse import quote, unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 join = posixpath.join
@@ -64,16 +67,40 @@ class Files:
             stream.close()
 
     def publish(self, path: str, text: str) -> bool:
-        """Write a new file so that it appears whole or not at all; False if it is already there."""
+        """Write a new file so that it appears whole or not at all; False if it is already there.
+
+        Of two writers one wins: on a local file system the name is linked to
+        the written file, which fails if it is taken; on HDFS a rename does; an
+        object store creates the file conditionally when it is closed.
+        """
         fs, p = self._at(path)
         if fs.exists(p):
             return False
-        temporary = f"{posixpath.dirname(path)}/.{posixpath.basename(path)}.{id(text):x}.tmp"
+        scheme = fs.getScheme()
+        if scheme not in ("file", "hdfs", "viewfs"):
+            return self._create(fs, p, text)
+        temporary = f"{posixpath.dirname(path)}/.{posixpath.basename(path)}.{uuid.uuid4().hex}.tmp"
         self.write(temporary, text)
         _, t = self._at(temporary)
-        if fs.exists(p) or not fs.rename(t, p):
-            fs.delete(t, False)
+        try:
+            if scheme == "file":
+                os.link(t.toUri().getPath(), p.toUri().getPath())
+                return True
+            return fs.rename(t, p)
+        except FileExistsError:
             return False
+        finally:
+            fs.delete(t, False)
+
+    def _create(self, fs, p, text: str) -> bool:
+        try:
+            stream = fs.createFile(p).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", True).build()
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise OSError(f"can't write {p}") from e
         return True
 
     def delete(self, path: str) -> None:

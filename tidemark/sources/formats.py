@@ -12,7 +12,7 @@ from tidemark.operators.cursor import InvalidQuery, Page
 from tidemark.operators.focus import PathError
 
 from .schemas import SchemaError
-from .store import ReadOnlyError, RequestTooLong, StoreError
+from .store import ReadOnlyError, RequestTooLong, WriterBusy
 
 ARROW = "application/vnd.apache.arrow.file"
 JSON = "application/json"
@@ -82,6 +82,6 @@ def status_code(error: Exception) -> int:
         return 406
     if isinstance(error, (InvalidQuery, PathError, SchemaError)):
         return 400
-    if isinstance(error, ReadOnlyError):
+    if isinstance(error, (ReadOnlyError, WriterBusy)):
         return 429
-    return 500 if isinstance(error, StoreError) else 500
+    return 500

@@ -1,18 +1,25 @@
 """The log store over HTTP, for clients that aren't Spark jobs.
 
-Routes: ``GET /ok``, ``GET /topics``, ``GET /topic/<t>``,
-``POST /topic/<t>/partition/<p>`` (an Arrow IPC file),
+Routes: ``GET /ok`` (503 while the store is read-only), ``GET /metrics`` (text
+for a monitoring system), ``GET /openapi.json``, ``GET /docs``,
+``GET /topics``, ``GET /topic/<t>``, ``POST /topic/<t>/partition/<p>`` (an Arrow IPC file),
 ``GET /topic/<t>/partition/<p>/records?start=`` and
 ``POST /topic/<t>/records`` (the cursor as a JSON object). Query parameters:
 page_size, page_bytes, order, time.start, time.end, partition_filter (may
 repeat), dataset, exclude (may repeat), dataset_separator, max_bytes. The
 reply's status is in the header ``x-iteration-status`` and in the schema
 metadata of Arrow replies.
+
+A topic has one writer at a time; ``append_queue`` more appends may wait for
+it. One that finds no place within ``append_wait_seconds`` is refused with 429.
 """
 
 from __future__ import annotations
 
 import json
+import threading
+from collections import defaultdict
+from contextlib import contextmanager
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, unquote, urlsplit
 
@@ -20,7 +27,7 @@ from tidemark.operators.cursor import InvalidQuery, Page
 from tidemark.operators.focus import DataFocus
 
 from . import formats
-from .store import LogStore, RequestTooLong
+from .store import LogStore, RequestTooLong, WriterBusy
 
 
 class NotFound(ValueError):
@@ -46,8 +53,56 @@ def _options(q: dict[str, list[str]]) -> dict:
     return {"page_size": one("page_size", int), "order": one("order"), "time_start": one("time.start"), "time_end": one("time.end"), "focus": focus}
 
 
+class Writers:
+    """A lock a topic with a bounded number of waiters."""
+
+    def __init__(self, waiting: int, seconds: float):
+        self.seconds = seconds
+        self.places = defaultdict(lambda: threading.Semaphore(1 + waiting))
+        self.locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+        self.guard = threading.Lock()
+
+    @contextmanager
+    def writing(self, topic: str):
+        with self.guard:
+            place, lock = self.places[topic], self.locks[topic]
+        if not place.acquire(timeout=self.seconds):
+            raise WriterBusy(f"topic {topic!r} has appends waiting")
+        try:
+            with lock:
+                yield
+        finally:
+            place.release()
+
+
+_PAGE = ["page_size", "order", "time.start", "time.end", "dataset", "exclude", "dataset_separator", "max_bytes"]
+ROUTES = [
+    ("get", "/ok", "Whether the store takes appends", []), ("get", "/metrics", "Counters and gauges", []), ("get", "/topics", "The topics", []), ("get", "/topic/{topic}", "Index spans and bytes of a topic", []),
+    ("post", "/topic/{topic}/partition/{partition}", "Append the rows of an Arrow IPC file", []),
+    ("get", "/topic/{topic}/partition/{partition}/records", "A page of a partition", ["start", *_PAGE]),
+    ("post", "/topic/{topic}/records", "A page of a topic after the cursor in the body", ["page_bytes", "partition_filter", *_PAGE]),
+]
+
+
+def openapi() -> dict:
+    """The routes as an OpenAPI document."""
+    paths: dict[str, dict] = {}
+    errors = {"400": "bad request", "404": "no such route", "406": "no such format", "413": "body too long; x-max-request-size is the limit", "429": "read-only, or the writer is busy", "503": "unhealthy"}
+    for method, path, text, query in ROUTES:
+        named = [{"name": p[1:-1], "in": "path", "required": True, "schema": {"type": "string"}} for p in path.split("/") if p.startswith("{")]
+        asked = [{"name": q, "in": "query", "required": q == "start", "schema": {"type": "integer" if q in ("start", "page_size", "page_bytes", "max_bytes") else "string"}} for q in query]
+        paths.setdefault(path, {})[method] = {"summary": text, "parameters": named + asked, "responses": {"200": {"description": text}, **{k: {"description": v} for k, v in errors.items()}}}
+    return {"openapi": "3.0.3", "info": {"title": "tidemark", "version": "1"}, "paths": paths}
+
+
+def docs() -> str:
+    rows = "".join(f"<tr><td>{m.upper()}</td><td><code>{p}</code></td><td>{t}</td><td>{', '.join(q)}</td></tr>" for m, p, t, q in ROUTES)
+    return f'<!doctype html><title>tidemark</title><h1>tidemark</h1><p><a href="/openapi.json">openapi.json</a></p><table><tr><th>method<th>path<th>what<th>query</tr>{rows}</table>'
+
+
 class Handler(BaseHTTPRequestHandler):
     store: LogStore
+    writers: Writers
     protocol_version = "HTTP/1.1"
 
     def log_message(self, *_) -> None:
@@ -94,7 +149,14 @@ class Handler(BaseHTTPRequestHandler):
         url = urlsplit(self.path)
         match [unquote(p) for p in url.path.strip("/").split("/")]:
             case ["ok"]:
-                self._json({"ok": self.store.health()})
+                ok = self.store.health()
+                self._send(200 if ok else 503, json.dumps({"ok": ok}).encode())
+            case ["metrics"]:
+                self._send(200, self.store.exposition().encode(), "text/plain; version=0.0.4; charset=utf-8")
+            case ["openapi.json"]:
+                self._json(openapi())
+            case ["docs"]:
+                self._send(200, docs().encode(), "text/html; charset=utf-8")
             case ["topics"]:
                 self._json({"topics": [{"name": t} for t in self.store.topics()]})
             case ["topic", topic]:
@@ -113,7 +175,8 @@ class Handler(BaseHTTPRequestHandler):
         match [unquote(p) for p in url.path.strip("/").split("/")]:
             case ["topic", topic, "partition", partition]:
                 table = formats.read_arrow_file(self._body())
-                first, end = self.store.append_request(topic, partition, table)
+                with self.writers.writing(topic):
+                    first, end = self.store.append_request(topic, partition, table)
                 self._json({"span": {"start": first, "end": end}})
             case ["topic", topic, "records"]:
                 raw = self._body()
@@ -130,4 +193,4 @@ class Handler(BaseHTTPRequestHandler):
 
 def serve(store: LogStore, host: str = "127.0.0.1", port: int = 3030) -> ThreadingHTTPServer:
     """A server over the store; call ``serve_forever`` on it."""
-    return ThreadingHTTPServer((host, port), type("Bound", (Handler,), {"store": store}))
+    return ThreadingHTTPServer((host, port), type("Bound", (Handler,), {"store": store, "writers": Writers(store.config.append_queue, store.config.append_wait_seconds)}))

@@ -6,16 +6,25 @@ file holds ``_partition``, ``_segment``, ``_index``, ``_chunk`` and ``_bytes``
 (of the row) besides the user's columns, so that scans and their budgets never need to count rows or
 measure values again. A commit becomes visible with its manifest entry only;
 what a lost writer left behind is an orphan, which ``recover`` removes.
+
+Every append asks first whether the file system has room (``min_free_bytes``);
+while it hasn't, the store is read-only and unhealthy. Retention runs once a
+commit, over the partitions it touched. Mind that a partition keeps
+``retain.max_bytes`` (1 GiB by default), a bulk append's own rows included:
+set it to what the topic should keep.
 """
 
 from __future__ import annotations
 
 import hashlib
+import posixpath
 import time
 import uuid
+from collections import Counter, OrderedDict, deque
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from heapq import heapify, heappop
 
 import pandas as pd
 import pyarrow as pa
@@ -39,6 +48,11 @@ from .files import Files, decode, encode, join
 PHYSICAL = [T.StructField("_partition", T.StringType()), T.StructField("_segment", T.LongType()), T.StructField("_index", T.LongType()), T.StructField("_chunk", T.LongType()), T.StructField("_bytes", T.LongType())]
 
 
+CHUNK = ("chunk", "index_start", "rows", "bytes", "time_min", "time_max")
+#: Segments whose stored chunks are remembered.
+KNOWN_SEGMENTS = 1_000
+
+
 @dataclass(frozen=True)
 class Rolling:
     """A new segment begins once the open one is beyond any of these, or the schema changes."""
@@ -68,6 +82,15 @@ class Config:
     min_free_bytes: int = 1_000_000_000
     chunk_rows: int = 1000
     chunk_bytes: int = 1 << 20
+    #: chunks of one append that stand in the manifest; those of a larger one stay in files
+    inline_chunks: int = 256
+    #: seconds for which a look at the free room holds
+    check_disk_seconds: float = 1.0
+    #: whether a topic's newest segments are checked when this store first uses it
+    recover_on_open: bool = True
+    #: appends of the service that may wait for a topic's writer, and for how many seconds one more tries to
+    append_queue: int = 1
+    append_wait_seconds: float = 0.1
 
 
 class StoreError(RuntimeError):
@@ -78,6 +101,10 @@ class ReadOnlyError(StoreError):
     pass
 
 
+class WriterBusy(StoreError):
+    """An append found the queue of its topic full."""
+
+
 class RequestTooLong(StoreError):
     def __init__(self, size: int, limit: int):
         super().__init__(f"{size} bytes; the limit is {limit}")
@@ -92,8 +119,11 @@ class LogStore:
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.files = Files(spark)
         self._manifests: dict[str, mf.Manifest] = {}
+        self._known: OrderedDict[tuple[str, str, int, int, int], tuple[mf.Chunk, ...]] = OrderedDict()
         self.read_only = False
+        self._checked = float("-inf")
         self.last_commit: float | None = None
+        self.counters: Counter[tuple[str, str]] = Counter()
 
     # -- names -------------------------------------------------------------
 
@@ -103,6 +133,8 @@ class LogStore:
     def manifest(self, topic: str) -> mf.Manifest:
         if topic not in self._manifests:
             self._manifests[topic] = mf.Manifest(self.spark, self._topic(topic))
+            if self.config.recover_on_open:
+                self.rewind(topic)
         return self._manifests[topic]
 
     def topics(self) -> list[str]:
@@ -123,7 +155,7 @@ class LogStore:
 
     def health(self) -> bool:
         """Whether the store takes appends. They are durable when they return, so there is no checkpoint to fall behind."""
-        return not self.read_only
+        return self.check_disk()
 
     def metrics(self, topic: str) -> DataFrame:
         """Rows, bytes, segments, schemas and times of each partition."""
@@ -133,12 +165,34 @@ class LogStore:
             F.min("record_start").alias("record_start"), F.max("record_end").alias("record_end"), F.min("time_start").alias("time_start"), F.max("time_end").alias("time_end"),
         )
 
+    def exposition(self) -> str:
+        """Counters of this store object and gauges of its topics, in the text format that monitoring systems scrape."""
+        lines = []
+        quote = lambda x: x.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+        for name in sorted({n for _, n in self.counters}):
+            lines.append(f"# TYPE tidemark_{name}_total counter")
+            lines += [f'tidemark_{name}_total{{topic="{quote(t)}"}} {v}' for (t, n), v in sorted(self.counters.items()) if n == name]
+        kept = {t: self.manifest(t).refresh().segments.values() for t in self.topics()}
+        for name, value in (("segments", len), ("rows", lambda own: sum(s.rows for s in own)), ("bytes", lambda own: sum(s.size for s in own))):
+            lines.append(f"# TYPE tidemark_{name} gauge")
+            lines += [f'tidemark_{name}{{topic="{quote(t)}"}} {value(own)}' for t, own in kept.items()]
+        lines += ["# TYPE tidemark_writable gauge", f"tidemark_writable {int(self.check_disk())}"]
+        return "\n".join(lines) + "\n"
+
     def check_disk(self) -> bool:
         """Turn read-only while the store's file system has too little room."""
         fs, p = self.files._at(self.root)
         self.read_only = fs.getStatus(p if fs.exists(p) else None).getRemaining() < self.config.min_free_bytes
+        self._checked = time.monotonic()
         return not self.read_only
 
+    def _guard(self) -> None:
+        """Before an append: an error while there is too little room."""
+        if time.monotonic() - self._checked >= self.config.check_disk_seconds:
+            self.check_disk()
+        if self.read_only:
+            raise ReadOnlyError("the store has too little room")
+
     # -- append ------------------------------------------------------------
 
     @staticmethod
@@ -180,8 +234,7 @@ class LogStore:
 
     def _append_table(self, topic: str, partition: str, table: pa.Table, metadata: Mapping[str, str]) -> tuple[int, int]:
         """Append a table that the driver holds: its indices are known, so that one write job does it all."""
-        if self.read_only:
-            raise ReadOnlyError("the store has too little room")
+        self._guard()
         meta = {k.decode(): v.decode() for k, v in (table.schema.metadata or {}).items()} | dict(metadata)
         table = schemas.normalise(table)
         schema = T.StructType(from_arrow_schema(table.schema).fields)
@@ -218,25 +271,36 @@ class LogStore:
         last = own[-1] if own else None
         start = state.ends.get(p, 0)
         if last and not self._rolls(last, mark):
-            return start, last.segment, last.chunks[-1].chunk + 1
+            return start, last.segment, last.last_chunk + 1
         # numbers go on above whatever retention has dropped
         return start, (last.segment + 1 if last else (state.version + 1) << 20 if start else 0), 0
 
-    def _publish(self, topic: str, mark: str, text: str, chunks: dict, written: dict, start: dict[str, int], version: int) -> None:
+    def _publish(self, topic: str, mark: str, text: str, chunks: dict, written: dict, start: dict[str, int], version: int, stored: dict | None = None) -> None:
+        stored = stored or {}
+        new_segments = new_schemas = 0
+
         def make(new: mf.State) -> dict:
+            nonlocal new_segments, new_schemas
             if new.version != version and any(new.ends.get(p, 0) != at for p, at in start.items()):
                 raise StoreError("another writer appended to the same partition")
-            segs = []
-            for key, own in chunks.items():
+            segs, new_segments, new_schemas = [], 0, 0
+            for key in sorted(chunks.keys() | stored.keys()):
                 old = new.segments.get(key)
-                files = tuple(written.get(key, ()))
-                segs.append(mf.with_files(old, files, tuple(own)) if old else mf.Segment(key[0], key[1], mark, files, tuple(own), time.time()))
+                files, own, kept = tuple(written.get(key, ())), tuple(chunks.get(key, ())), tuple(stored.get(key, ()))
+                new_segments += old is None
+                segs.append(mf.with_files(old, files, own, kept) if old else mf.Segment(key[0], key[1], mark, files, own, time.time(), stored=kept))
+            new_schemas = mark not in new.schemas
             return {"schemas": {mark: text}, "segments": [mf.dump(s) for s in segs]}
 
         self.manifest(topic).commit(make)
         self.last_commit = time.time()
-        for p in start:
-            self._retain_partition(topic, p)
+        self.counters[topic, "commits"] += 1
+        self.counters[topic, "segments_created"] += new_segments
+        self.counters[topic, "schemas_created"] += new_schemas
+        parts = [*(c for own in chunks.values() for c in own), *(c for own in stored.values() for c in own)]
+        self.counters[topic, "rows_written"] += sum(c.rows for c in parts)
+        self.counters[topic, "bytes_written"] += sum(c.bytes for c in parts)
+        self._retain_partitions(topic, start)
 
     def append_request(self, topic: str, partition: str, data: pa.Table) -> tuple[int, int]:
         """An append of limited size, as a remote client makes it."""
@@ -266,8 +330,7 @@ class LogStore:
         a partition of any size is written by many tasks; a count of each
         task's rows of each partition gives the tasks their first index.
         """
-        if self.read_only:
-            raise ReadOnlyError("the store has too little room")
+        self._guard()
         df, meta = self.frame(data)
         meta |= metadata or {}
         cols = list(columns or df.columns)
@@ -330,13 +393,54 @@ class LogStore:
         self._write(rows.sortWithinPartitions("_partition", "_segment", "_index"), out)
         written = self._written(out, totals)
         again = self.spark.read.schema("_partition string, _segment long, _index long, _chunk long, _bytes long, time long").option("recursiveFileLookup", "true").parquet(out)
-        stats = again.groupBy("_partition", "_segment", "_chunk").agg(F.min("_index").alias("i"), F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b"), F.min("time").alias("lo"), F.max("time").alias("hi")).collect()
+        stats = again.groupBy(F.col("_partition").alias("partition"), F.col("_segment").alias("segment"), F.col("_chunk").alias("chunk")).agg(
+            F.min("_index").alias("index_start"), F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes"), F.min("time").alias("time_min"), F.max("time").alias("time_max")
+        )
         chunks: dict[tuple[str, int], list[mf.Chunk]] = {}
-        for r in sorted(stats, key=lambda r: r["i"]):
-            chunks.setdefault((r["_partition"], r["_segment"]), []).append(mf.Chunk(r["_chunk"], r["i"], r["n"], r["b"], r["lo"], r["hi"]))
-        self._publish(topic, mark, text, chunks, written, start, state.version)
+        stored: dict[tuple[str, int], list[mf.Stored]] = {}
+        if chunk_rows is None or sum(-(-n // chunk_rows) for n in totals.values()) <= self.config.inline_chunks:
+            for r in sorted(stats.collect(), key=lambda r: r["index_start"]):
+                chunks.setdefault((r["partition"], r["segment"]), []).append(mf.Chunk(*(r[c] for c in CHUNK)))
+        else:  # the chunks stay in files; a row a segment comes here
+            path = join(self._topic(topic), "_chunks", commit)
+            stats.repartitionByRange("partition", "segment").sortWithinPartitions("partition", "segment", "chunk").write.parquet(path)
+            sums = self._chunk_rows([path]).groupBy("partition", "segment").agg(
+                F.max("chunk").alias("chunk"), F.min("index_start").alias("index_start"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.min("time_min").alias("time_min"), F.max("time_max").alias("time_max"), F.count(F.lit(1)).alias("n")
+            )
+            for r in sums.toLocalIterator():
+                stored[r["partition"], r["segment"]] = [mf.Stored(path, *(r[c] for c in CHUNK), r["n"])]
+        self._publish(topic, mark, text, chunks, written, start, state.version, stored)
         return {p: (start[p], start[p] + n) for p, n in totals.items()}
 
+    def _chunk_rows(self, paths: Iterable[str]) -> DataFrame:
+        return self.spark.read.schema("partition string, segment long, " + ", ".join(f"{c} long" for c in CHUNK)).parquet(*paths)
+
+    def _chunks_of(self, topic: str, segs: Sequence[mf.Segment]) -> dict[int, tuple[mf.Chunk, ...]]:
+        """The chunks of segments of one partition, by segment: from the manifest, or one read of the files that hold them."""
+        out, want = {}, []
+        for s in segs:
+            key = topic, s.partition, s.segment, s.version, len(s.stored)
+            if not s.stored:
+                out[s.segment] = s.chunks
+            elif key in self._known:
+                self._known.move_to_end(key)
+                out[s.segment] = tuple(sorted((*s.chunks, *self._known[key]), key=lambda c: c.index_start))
+            else:
+                want.append(s)
+        if want:
+            paths = sorted({c.path for s in want for c in s.stored})
+            rows = self._chunk_rows(paths).where((F.col("partition") == want[0].partition) & F.col("segment").isin([s.segment for s in want]))
+            found: dict[int, list[mf.Chunk]] = {}
+            for r in rows.collect():
+                found.setdefault(r["segment"], []).append(mf.Chunk(*(r[c] for c in CHUNK)))
+            for s in want:
+                own = tuple(found.get(s.segment, ()))
+                self._known[topic, s.partition, s.segment, s.version, len(s.stored)] = own
+                out[s.segment] = tuple(sorted((*s.chunks, *own), key=lambda c: c.index_start))
+            while len(self._known) > KNOWN_SEGMENTS:
+                self._known.popitem(last=False)
+        return out
+
     def _written(self, out: str, partitions: Iterable[str]) -> dict[tuple[str, int], list[str]]:
         """The data files of a commit by (partition, segment); folders are named by a hash of the partition."""
         names = {hashlib.sha256(p.encode()).hexdigest()[:16]: p for p in partitions}
@@ -394,29 +498,32 @@ class LogStore:
         """Statistics of a partition's matching chunks in scan order, computed as far as they are asked for."""
         reverse = order is Order.REVERSE
         own = state.of(partition)
+        step = 8
         if span is not None:
             segs = mf.by_time(own, *span, start)
             where = F.col("time").between(*span) & (F.col("_index") >= start)
-            step = 8
             while segs:  # ever larger runs of segments: a page mostly ends within the first
                 now, segs = segs[:step], segs[step:]
                 step *= 2
                 found = self._stats(topic, state, now, where)
-                for s in now:
-                    for c in s.chunks:
-                        if (s.segment, c.chunk) in found:
-                            yield found[s.segment, c.chunk]
+                for key in sorted(found):
+                    yield found[key]
             return
-        for s in mf.by_index(own, start, reverse):
-            for c in reversed(s.chunks) if reverse else s.chunks:
-                first, end = c.index_start, c.index_start + c.rows
-                if (end <= start) if not reverse else (first >= start):
-                    continue
-                if first < start < end:  # the cursor is inside: only that chunk is measured
-                    rows = self._stats(topic, state, [replace(s, chunks=(c,))], (F.col("_index") < start) if reverse else (F.col("_index") >= start))
-                    yield rows[s.segment, c.chunk]
-                else:
-                    yield ChunkStat(partition, s.segment, c.chunk, s.fingerprint, c.rows, c.bytes, first, end - 1)
+        segs = mf.by_index(own, start, reverse)
+        while segs:
+            now, segs = segs[:step], segs[step:]
+            step *= 2
+            known = self._chunks_of(topic, now)
+            for s in now:
+                for c in reversed(known[s.segment]) if reverse else known[s.segment]:
+                    first, end = c.index_start, c.index_start + c.rows
+                    if (end <= start) if not reverse else (first >= start):
+                        continue
+                    if first < start < end:  # the cursor is inside: only that chunk is measured
+                        inside = F.col("_index").between(start, end - 1) if not reverse else F.col("_index").between(first, start - 1)
+                        yield self._stats(topic, state, [s], inside)[s.segment, c.chunk]
+                    else:
+                        yield ChunkStat(partition, s.segment, c.chunk, s.fingerprint, c.rows, c.bytes, first, end - 1)
 
     def iterate(
         self,
@@ -519,6 +626,13 @@ class LogStore:
                 return
             cursor = page.next
 
+    def stack(self, topic: str, **query) -> DataFrame | None:
+        """The rows of all pages up to the end or a schema change as one DataFrame, in page order; None without rows."""
+        parts = [p.df.withColumn("_page", F.lit(i)).withColumn("_row", F.monotonically_increasing_id()) for i, p in enumerate(self.pages(topic, **query))]
+        if not parts:
+            return None
+        return reduce(DataFrame.unionAll, parts).orderBy("_page", "_row").drop("_page", "_row")
+
     def by_index(self, topic: str, partition: str, index: int) -> DataFrame:
         state = self.manifest(topic).refresh()
         segs = [s for s in state.of(partition) if s.record_start <= index < s.record_end]
@@ -532,31 +646,50 @@ class LogStore:
         if not gone:
             return
         self.manifest(topic).commit(lambda _: {"removed": [(s.partition, s.segment) for s in gone]})
+        self.counters[topic, "segments_destroyed"] += len(gone)
+        self.counters[topic, "bytes_destroyed"] += sum(s.size for s in gone)
         for s in gone:
             for f in s.files:
                 self.files.delete(f)
-
-    def _retain_partition(self, topic: str, partition: str) -> None:
-        own = self.manifest(topic).refresh().of(partition)
-        keep = own[:]
-        r = self.config.retain
-        # the open segment always stays
-        while len(keep) > 1 and (sum(s.size for s in keep) > r.max_bytes or keep[-1].segment - keep[0].segment + 1 > r.max_segments or (r.max_age_ms is not None and keep[0].time_end < time.time() * 1000 - r.max_age_ms)):
-            keep.pop(0)
-        self._drop(topic, own[: len(own) - len(keep)])
+        kept = {c.path for s in self.manifest(topic).refresh().segments.values() for c in s.stored}
+        for path in {c.path for s in gone for c in s.stored} - kept:
+            self.files.delete(path)
+
+    def _retain_partitions(self, topic: str, partitions: Iterable[str]) -> None:
+        """Drop what these partitions hold beyond their bounds, the oldest first, in one commit."""
+        by: dict[str, list[mf.Segment]] = {p: [] for p in partitions}
+        for s in self.manifest(topic).refresh().segments.values():
+            if s.partition in by:
+                by[s.partition].append(s)
+        gone = []
+        r, now = self.config.retain, time.time() * 1000
+        for own in by.values():
+            own.sort(key=lambda s: s.segment)
+            total = sum(s.size for s in own)
+            for s in own[:-1]:  # the open segment always stays
+                if not (total > r.max_bytes or own[-1].segment - s.segment + 1 > r.max_segments or (r.max_age_ms is not None and s.time_end < now - r.max_age_ms)):
+                    break
+                total -= s.size
+                gone.append(s)
+        self._drop(topic, gone)
 
     def retain(self) -> int:
         """Bring the store under its budget: as long as it is over, the partition of the oldest segment loses its first one."""
         states = {t: self.manifest(t).refresh() for t in self.topics()}
-        alive = {(t, p): s.of(p) for t, s in states.items() for p in s.partitions()}
+        alive: dict[tuple[str, str], deque[mf.Segment]] = {}
+        for t, state in states.items():
+            for s in sorted(state.segments.values(), key=lambda s: s.segment):
+                alive.setdefault((t, s.partition), deque()).append(s)
+        oldest = [(s.time_start, t, p, s.segment) for (t, p), own in alive.items() for s in own]
+        heapify(oldest)
         total = sum(s.size for own in alive.values() for s in own)
         gone: dict[str, list[mf.Segment]] = {}
-        while total > self.config.max_total_bytes:
-            some = [(s.time_start, t, p) for (t, p), own in alive.items() for s in own]
-            if not some:
-                break
-            _, t, p = min(some)
-            first = alive[t, p].pop(0)
+        while total > self.config.max_total_bytes and oldest:
+            _, t, p, n = oldest[0]
+            if not alive[t, p] or n < alive[t, p][0].segment:  # it went before as the first of its partition
+                heappop(oldest)
+                continue
+            first = alive[t, p].popleft()
             gone.setdefault(t, []).append(first)
             total -= first.size
         for t, segs in gone.items():
@@ -567,20 +700,20 @@ class LogStore:
         """Merge small chunks and files of each segment by the greedy rule, in one commit a segment."""
         state = self.manifest(topic).refresh()
         for s in state.of(partition):
-            number = list(compaction([(c.rows, c.bytes) for c in s.chunks], self.config.chunk_rows, self.config.chunk_bytes))
-            if len(set(number)) == len(s.chunks) and len(s.files) <= 1:
+            had = self._chunks_of(topic, [s])[s.segment]
+            number = list(compaction([(c.rows, c.bytes) for c in had], self.config.chunk_rows, self.config.chunk_bytes))
+            if len(set(number)) == len(had) and len(s.files) <= 1:
                 continue
             new: list[mf.Chunk] = []
-            for k, c in zip(number, s.chunks):
+            for k, c in zip(number, had):
                 if new and new[-1].chunk == k:
                     o = new[-1]
                     new[-1] = mf.Chunk(k, o.index_start, o.rows + c.rows, o.bytes + c.bytes, min(o.time_min, c.time_min), max(o.time_max, c.time_max))
                 else:
                     new.append(mf.Chunk(k, c.index_start, c.rows, c.bytes, c.time_min, c.time_max))
-            bounds = F.lit(0).cast("long")
-            for c in new[1:]:
-                bounds = bounds + (F.col("_index") >= c.index_start).cast("long")
-            rows = self._read(topic, [s], state).withColumn("_chunk", bounds)
+            # the chunk of a row: how many chunks begin at or before it, less one
+            firsts = F.lit([c.index_start for c in new])
+            rows = self._read(topic, [s], state).withColumn("_chunk", (F.size(F.filter(firsts, lambda x: x <= F.col("_index"))) - 1).cast("long"))
             out = join(self._topic(topic), s.fingerprint, uuid.uuid4().hex)
             self._write(rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index").sortWithinPartitions("_index"), out)
             files = tuple(self._written(out, [s.partition])[s.partition, s.segment])
@@ -588,25 +721,63 @@ class LogStore:
             def make(new_state: mf.State, s=s, files=files, new=new) -> dict:
                 if new_state.segments.get((s.partition, s.segment)) != s:
                     raise StoreError("the segment changed while it was compacted")
-                return {"segments": [mf.dump(replace(s, files=files, chunks=tuple(new), version=s.version + 1))]}
+                return {"segments": [mf.dump(replace(s, files=files, chunks=tuple(new), stored=(), version=s.version + 1))]}
 
             self.manifest(topic).commit(make)
             for f in s.files:
                 self.files.delete(f)
 
     def recover(self, topic: str) -> dict[str, int]:
-        """Remove files no manifest row names, and trailing segments with missing files; the next index follows the last good one."""
+        """Remove files no manifest row names, and rewind past newest segments that can't be read."""
+        self._manifests.setdefault(topic, mf.Manifest(self.spark, self._topic(topic)))
+        gone = self.rewind(topic, read=True)
+        for f in (f for s in gone for f in s.files):
+            self.files.delete(f)
         state = self.manifest(topic).refresh()
-        here = {f for f, _ in self.files.walk(self._topic(topic)) if f.endswith(".parquet")}
-        known = {f for s in state.segments.values() for f in s.files}
-        for f in here - known:
+        files = {f for s in state.segments.values() for f in s.files}
+        # chunk files lie in a folder of their commit's name
+        commits = {posixpath.basename(c.path) for s in state.segments.values() for c in s.stored}
+        orphans = [f for f, _ in self.files.walk(self._topic(topic)) if f.endswith(".parquet") and f not in files and posixpath.basename(posixpath.dirname(f)) not in commits]
+        for f in orphans:
             self.files.delete(f)
+        return {"orphans": len(orphans), "segments": len(gone)}
+
+    def rewind(self, topic: str, read: bool = False) -> list[mf.Segment]:
+        """Leave out newest segments whose files are missing (with ``read``: or don't give their rows); the next index follows the last good one.
+
+        Without ``read`` only the newest segment of each partition is looked
+        at, by name; it goes on to older ones where that is bad.
+        """
+        state = self._manifests[topic].refresh()
+        by: dict[str, list[mf.Segment]] = {}
+        for s in sorted(state.segments.values(), key=lambda s: s.segment):
+            by.setdefault(s.partition, []).append(s)
         gone: list[mf.Segment] = []
-        for p in state.partitions():
-            own = state.of(p)
-            while own and not set(own[-1].files) <= here:
-                gone.append(own.pop())
+        check = [own[-1] for own in by.values()]
+        while check:
+            good = self._readable(topic, check, state) if read else {(s.partition, s.segment) for s in check if all(map(self.files.exists, s.files))}
+            bad = [s for s in check if (s.partition, s.segment) not in good]
+            gone += bad
+            check = [s for b in bad if (own := by[b.partition]) and own.pop() and own for s in [own[-1]]]
         if gone:
-            ends = {p: (state_of[-1].record_end if (state_of := [s for s in state.of(p) if s not in gone]) else 0) for p in {s.partition for s in gone}}
-            self.manifest(topic).commit(lambda _: {"removed": [(s.partition, s.segment) for s in gone], "ends": ends})
-        return {"orphans": len(here - known), "segments": len(gone)}
+            left = {p: (own[-1].record_end if own else min(s.record_start for s in gone if s.partition == p)) for p, own in by.items() if any(s.partition == p for s in gone)}
+            self._manifests[topic].commit(lambda _: {"removed": [(s.partition, s.segment) for s in gone], "ends": left})
+            self.counters[topic, "segments_rewound"] += len(gone)
+        return gone
+
+    def _readable(self, topic: str, segs: list[mf.Segment], state: mf.State) -> set[tuple[str, int]]:
+        """Those of the segments whose files give all their rows: one job for all, or halves where it fails."""
+        here = [s for s in segs if all(map(self.files.exists, s.files))]
+        good: set[tuple[str, int]] = set()
+        todo = [[s for s in here if s.fingerprint == mark] for mark in dict.fromkeys(s.fingerprint for s in here)]
+        while todo:
+            part = todo.pop()
+            try:
+                sums = self._read(topic, part, state).groupBy("_partition", "_segment").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("b")).collect()
+            except Exception:  # noqa: BLE001 - Spark reports a broken file in many ways
+                if len(part) > 1:
+                    todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+                continue
+            got = {(r["_partition"], r["_segment"]): (r["n"], r["b"]) for r in sums}
+            good |= {(s.partition, s.segment) for s in part if got.get((s.partition, s.segment)) == (s.rows, s.size)}
+        return good

@@ -9,10 +9,12 @@ target still needs, is an error.
 
 from __future__ import annotations
 
+import functools
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.selectors import select_names
@@ -61,19 +63,67 @@ def replicate(source: LogStore, topic: str, target: LogStore, target_topic: str
     return total
 
 
-def run_forever(jobs: Sequence[Callable[[], int]], stop: Callable[[], bool] = lambda: False, least: float = 0.5, most: float = 60.0) -> None:
-    """Run the jobs again and again; after idle or failed rounds wait ever longer."""
-    wait = least
-    while not stop():
-        moved = 0
-        for job in jobs:
+class Worker:
+    """Runs replication jobs, up to ``parallel`` at once; a job copies some rows and says how many."""
+
+    def __init__(self, jobs: Sequence[Callable[[], int]], parallel: int = 8):
+        self.jobs, self.parallel = list(jobs), parallel
+        #: the error of each job's last round, by its place
+        self.failed: dict[int, Exception] = {}
+
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: Mapping, own: LogStore | None = None) -> Worker:
+        """From ``hosts`` (id: root of a store), ``topics`` and ``partitions`` (each with source and target: host, topic, and partition).
+
+        The host ``self`` is ``own``.
+        """
+        hosts = {k: LogStore(spark, root) for k, root in config.get("hosts", {}).items()} | ({"self": own} if own else {})
+        jobs = []
+        for job in [*config.get("topics", ()), *config.get("partitions", ())]:
+            a, b = job["source"], job["target"]
+            for end in (a, b):
+                if end["host"] not in hosts:
+                    raise StoreError(f"unknown host {end['host']!r}")
+            if a.get("partition") != b.get("partition"):
+                raise StoreError("a partition keeps its name")
+            names = [a["partition"]] if "partition" in a else None
+            jobs.append(functools.partial(step, hosts[a["host"]], a["topic"], hosts[b["host"]], b["topic"], names, config.get("max_rows")))
+        return cls(jobs, config.get("parallel", 8))
+
+    def round(self) -> int:
+        """One run of every job; the rows copied. A job that fails leaves the others be."""
+        self.failed = {}
+
+        def run(k: int) -> int:
             try:
-                moved += job()
-            except StoreError:
-                continue
-        wait = least if moved else min(most, wait * 2)
-        if not stop():
-            time.sleep(wait)
+                return self.jobs[k]()
+            except StoreError as e:
+                self.failed[k] = e
+                return 0
+
+        with ThreadPoolExecutor(self.parallel) as pool:
+            return sum(pool.map(run, range(len(self.jobs))))
+
+    def pump(self) -> int:
+        """Rounds until nothing moves; the rows copied."""
+        total = 0
+        while n := self.round():
+            total += n
+        return total
+
+    def run_forever(self, stop: Callable[[], bool] = lambda: False, least: float = 0.5, most: float = 60.0) -> None:
+        """Rounds until ``stop``; after idle or failed rounds it waits ever longer."""
+        wait = least
+        while not stop():
+            moved = self.round()
+            wait = least if moved else min(most, wait * 2)
+            if not stop():
+                time.sleep(wait)
+
+
+def run_forever(jobs: Sequence[Callable[[], int]], stop: Callable[[], bool] = lambda: False, least: float = 0.5, most: float = 60.0) -> None:
+    """``Worker(jobs).run_forever``."""
+    Worker(jobs).run_forever(stop, least, most)
 
 
 def replicate_stream(source_root: str, topic: str, target: LogStore, target_topic: str, checkpoint: str, **trigger):
