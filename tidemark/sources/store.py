@@ -472,10 +472,13 @@ class LogStore:
         state = self.manifest(topic).refresh()
         names = set(select_names(self.spark, partitions, state.partitions()))
         segs = sorted((s for s in state.segments.values() if s.partition in names), key=lambda s: s.created)
-        if not segs:
+        if not state.schemas:
             raise StoreError(f"topic {topic!r} has no rows")
-        mark = fingerprint or segs[-1].fingerprint
-        return self._read(topic, [s for s in segs if s.fingerprint == mark], state)
+        mark = fingerprint or (segs[-1].fingerprint if segs else list(state.schemas)[-1])
+        rows = self._read(topic, [s for s in segs if s.fingerprint == mark], state)
+        if rows is None:  # all of them were dropped
+            rows = self.spark.createDataFrame([], T.StructType([*PHYSICAL, *schemas.parse(state.schemas[mark])[0].fields]))
+        return rows
 
     def register(self, topic: str, view: str | None = None) -> None:
         """Make the topic a SQL view."""
