@@ -20,13 +20,13 @@ bound on the Hamming distance and on the sizes of the sets; the rest are
 verified on their whole shingle sets.
 
 Dense subtrees don't emit all their pairs. In round one a text that has more
-than FEW candidates before it in a subtree is paired with the nearest only,
-and the texts of the pairs left out are marked. Round two sends the marked
+than FEW candidates before it in a subtree is paired with the nearest of its
+group only, and the texts of the pairs left out are marked. Round two sends the marked
 texts through the same forest with the classes that round one left them in,
 and takes all candidate pairs between different classes, in batches of bounded
 size. Fewer texts only shorten the prefixes, so each pair left out is met
-again, and no candidate link between two classes goes untested, while a group
-of n near-copies costs about n pairs.
+again, and no candidate link between two classes goes untested, while n
+near-copies cost n pairs at most in each group of tries.
 
 A group of more than ``hot`` texts (a third of all texts may be near-copies of
 one): round one, which only saves pairs, goes over it in order of the
@@ -313,11 +313,13 @@ class Group:
             ok &= self.label[p] != self.label[q]
         return x[ok], y[ok], ham
 
-    def nearest(self, rows: np.ndarray, later: np.ndarray, dense: int):
-        """Round one in a subtree: pairs of each row with those before it, all if few, else the nearest.
+    def nearest(self, rows: np.ndarray, later: np.ndarray, best: np.ndarray, who: np.ndarray, dense: int):
+        """Round one in a subtree: pairs of each row with those before it if they are few.
 
-        The rows of the pairs left out are noted in ``later``. Beyond ``dense``
-        rows only WINDOW rows before each are looked at, and all are noted.
+        Else the nearest is kept in ``who``, and its distance in ``best``, if
+        no subtree had a nearer one; the rows of the pairs left out are noted
+        in ``later``. Beyond ``dense`` rows only WINDOW rows before each are
+        looked at, and all are noted.
         """
         n = len(rows)
         if n > dense:
@@ -335,7 +337,10 @@ class Group:
                 least = np.full(ham.shape, 255, np.uint8)
                 least[x[left], y[left]] = ham[x[left], y[left]]
                 at = np.flatnonzero(many)
-                yield i[at], j[least[at].argmin(axis=1)]
+                near = least[at].argmin(axis=1)
+                nearer = least[at, near] < best[i[at]]
+                best[i[at[nearer]]] = least[at, near][nearer]
+                who[i[at[nearer]]] = j[near[nearer]]
                 x, y = x[~left], y[~left]
             yield i[x], j[y]
 
@@ -354,6 +359,7 @@ class Group:
     def pairs(self, tries: list[np.ndarray], dense: int, first: bool):
         """Batches (a, b) of distinct candidates, a < b, each at most about BATCH_PAIRS; round one ends with (node, None), the texts to be seen again."""
         later = np.zeros(len(self.node), dtype=bool)
+        best, who = np.full(len(self.node), 255, dtype=np.uint8), np.zeros(len(self.node), dtype=np.int64)
         held, n = [], 0
 
         def flush():
@@ -366,13 +372,15 @@ class Group:
             key = _key(self.s, bits)
             order = np.argsort(key, kind="stable")
             for p, q in subtrees(key[order], self.form.depth, self.form.leaf, min(CLIMB, self.form.depth)):
-                for i, j in self.nearest(order[p:q], later, dense) if first else self.across(order[p:q]):
+                for i, j in self.nearest(order[p:q], later, best, who, dense) if first else self.across(order[p:q]):
                     if len(i):
                         held.append((i, j))
                         n += len(i)
                         if n > BATCH_PAIRS:
                             yield flush()
                             held, n = [], 0
+        if (best < 255).any():
+            held.append((np.flatnonzero(best < 255), who[best < 255]))
         if held:
             yield flush()
         if later.any():
