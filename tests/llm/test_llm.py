@@ -753,6 +753,53 @@ def test_toxicity_learns_terms_and_tells_quotation_from_abuse():
     assert score('he wrote "what an idiot" in the report') < 0.5 and score(prose(5, 50)) < 0.5 and 0 <= score("") < 0.5
 
 
+def test_toxic_terms_of_any_script_and_lexicons_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts, labels = [], []
+    for k in range(240):
+        t = prose(4000 + k, 30).split() + rng.choice([["дом", "сад"], ["日本", "東京"], ["σπίτι"]])
+        y = int(k % 4 == 0)
+        if y:
+            t.insert(rng.randrange(len(t)), rng.choice(["ГЛУПЕЦ", "вздор", "馬鹿野郎"]))
+        texts.append(" ".join(t))
+        labels.append(y)
+    model = toxicity.fit(texts, labels)
+    assert {"глупец", "вздор", "馬鹿野郎"} <= {t for t, *_ in model.terms}
+    score = lambda m, t: float(m.score(m.features([t])[0])[0])
+    assert score(model, "ты Глупец и вздор") > 0.5 and score(model, "ты глуппец вздор") > 0.5 and score(model, "日本 馬鹿野郎 вздор") > 0.5 and score(model, "дом и сад") < 0.5
+    # long texts run through in pieces, and a lexicon of too many states in tables
+    long = " ".join(prose(1, 3000).split() + ["вздор"] + prose(2, 3000).split())
+    whole = model.features([long, "глупец", long])
+    monkeypatch.setattr(toxicity, "PIECE", 101)
+    pieces = model.features([long, "глупец", long])
+    assert np.array_equal(whole[0], pieces[0]) and whole[1:] == pieces[1:] and whole[1][0] == ["вздор"]
+    terms = [(prose(k, 1) + prose(k + 50, 1), bool(k % 2), 1.0) for k in range(40)]
+    one = toxicity.Automaton(terms)
+    monkeypatch.setattr(toxicity, "MOST_STATES", 500)
+    many = toxicity.Automaton(terms)
+    data, start, end, _ = toxicity.split([" ".join(t for t, *_ in terms) + " " + prose(9, 400) + " " + " ".join(t[:2] + "x" + t[2:] for t, *_ in terms)])
+    assert len(one.parts) == 1 and len(many.parts) > 1 and np.array_equal(one.run(data, start, end), many.run(data, start, end)) and one.run(data, start, end).any()
+
+
+def test_what_is_learned_from_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(1, "same " + "x" * 50)] * 300 + [(k, f"idiot {prose(k, 20)}") for k in range(2, 30)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 30)], "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, toxic, window: seen.append(texts) or fit(texts, toxic, window)
+    try:
+        toxicity.train(docs, labels, max_bytes=400)
+    finally:
+        toxicity.fit = fit
+    assert 0 < len(seen[0]) < 12 and len(set(seen[0])) == len(seen[0])
+    got = []
+    fit, langid.fit = langid.fit, lambda texts, langs, penalty: got.append(texts) or fit(texts, langs, penalty)
+    try:
+        langid.train(docs, max_bytes=400)
+    finally:
+        langid.fit = fit
+    assert 0 < len(got[0]) < 12 and len(set(got[0])) == len(got[0])
+
+
 def test_toxicity_of_awkward_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(odd, labels)
@@ -807,6 +854,36 @@ def test_mix_meets_its_targets(spark):
         assert abs(taken[s] - t) <= max(0.02 * t, 100)
 
 
+def test_sources_of_few_blocks_meet_their_targets(spark):
+    """Sources of a part of a block up to five, and a large one, against the targets alone."""
+    sizes = {"a": 500 * 2000 // 10, **{f"s{k}": n for k, n in enumerate([1, 340, 510, 600, 1023, 1025, 2500, 5000])}}
+    rows = []
+    for name, n in sizes.items():
+        step = 200 if name == "a" else 170
+        rows += [(len(rows) + i, " ".join(["w"] * min(step, n - at)), name) for i, at in enumerate(range(0, n, step))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target = water_fill(sizes)
+    for block in (None, 333, 1024):
+        taken = collections.Counter()
+        for r in mixing.mix_sources(df, block=block).collect():
+            assert 0 <= r.taken <= 3 * r.size
+            taken[r.source] += r.taken
+        assert all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    # the slots: each takes words of one block, the ranks of a source in the order of the schedule
+    sources = mixing.cut_blocks(mixing.targets(df.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("source_size"), F.count(F.lit(1)).alias("n_docs"))), 333, 3)
+    n = sources.agg(F.sum("slots")).first()[0]
+    slots = mixing.slots_of(spark, sources, n).join(sources.select("k", "source"), "k").collect()
+    words_ = collections.Counter()
+    for r in slots:
+        assert 0 <= r.first < r.upto
+        words_[r.source] += r.upto - r.first
+    assert len(slots) == n and words_ == {s: round(t) for s, t in target.items()}
+    place = sorted((r.slot, r.source) for r in slots)
+    big = [i for i, (_, s) in enumerate(place) if s == "a"]
+    gaps = np.diff(big)
+    assert gaps.max() <= 12  # spread over the mix, not in a run
+
+
 def test_mix_of_awkward_rows(odd, none):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == 12 and all(0 <= r.taken <= 3 * r.size for r in got)
@@ -908,6 +985,22 @@ def test_contamination_digest(spark, sf_dir):
     assert lower("AbÉ") == "abÉ"
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rows = awkward(spark, extra=False)
+    rows.withColumn("score", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (6, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "the benchmark says one thing"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = cp.run(spark, str(tmp_path)).collect()
+    texts = collections.Counter((r.text or "")[:7] for r in got)
+    assert texts == collections.Counter({"": 1, "one two": 1, prose(1, 30_000)[:7]: 1, "日本語 Ünï": 1}) and all(0 <= r.taken <= 3 * r.size for r in got)
+    # empty tables
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_pipeline_agrees_with_its_stages_by_brute_force(spark, sf_dir):
     import corpus_pipeline as cp
 
