@@ -191,6 +191,58 @@ def test_recall_of_pairs_just_above_the_similarity(spark, leaf, capacity, option
     assert all(find(k) == find(c) for k, c in got.items())
 
 
+def test_parities_exclude_no_pair_at_the_similarity():
+    rng = np.random.default_rng(8)
+    sets, want = [], []
+    # sizes on both sides of a power of two, so that the wider parities are folded
+    for n in [1, 4, 5, 30, 31, 60, 120, 250, 260, 510, 520, 3000]:
+        for share in (1.0, 0.8, 0.8, 0.6, 0.3):
+            union = rng.choice(1 << 48, n, replace=False).astype(np.uint64)
+            both, cutting = round(share * n), rng.random()
+            own = both + int(cutting * (n - both))
+            a, b = union[:own], np.concatenate([union[:both], union[own:]])
+            sets += [a, b]
+            want.append(both / n)
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    words, at = simhash.parities(np.concatenate(sets), offs)
+    size, p = np.diff(offs), np.arange(0, len(sets), 2)
+    ok = simhash.can_link(words, at, size, p, p + 1, 0.8)
+    assert all(ok[k] for k, s in enumerate(want) if s >= 0.8)
+    # and most of those far below it, of more than a few shingles
+    far = [k for k, s in enumerate(want) if s <= 0.6 and size[2 * k] > 60]
+    assert not ok[far].any()
+    narrow = simhash.fold(words, at, np.array([len(sets) - 1]), 1)
+    assert int(np.bitwise_count(narrow).sum()) % 2 == len(sets[-1]) % 2
+
+
+def test_near_copies_below_the_similarity_leave_few_pairs_to_verify(spark, monkeypatch):
+    """n texts that differ from one base by too much to link each other, and a few that link."""
+    rng, base = random.Random(21), prose(78, 300).split()
+    rows = []
+    for k in range(300):
+        w = base[:]
+        for at in rng.sample(range(len(w)), 12):
+            w[at] = f"edit{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+        if k % 30 == 0:
+            w[3] = "other"
+            rows.append((len(rows), " ".join(w)))
+    want = brute_classes(rows)
+    met = []
+    inner = simhash.candidates
+
+    def counted(texts, form, **options):
+        out = inner(texts, form, **options)
+        if not options["first"]:
+            met.append(out.where("b is not null").distinct().count())
+        return out
+
+    monkeypatch.setattr(simhash, "candidates", counted)
+    got = {r.doc_id: r.class_id for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=8).collect()}
+    assert [got[k] for k in range(len(rows))] == want and len(set(want)) > 250
+    assert len(met) == 1 and met[0] < 3 * len(rows)
+
+
 @pytest.mark.parametrize("texts", [3_000, 200_000, 12_000_000])
 def test_forest_parameters_reach_the_recall(texts):
     form = simhash.shape(texts, 0.8, 0.99, 256, 1 << 20)

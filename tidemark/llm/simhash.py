@@ -16,15 +16,21 @@ bits less) holds no more than ``leaf`` texts, the search climbs to it;
 elsewhere it climbs to ``depth`` bits, the longest prefix that keeps the
 target recall. ``shape`` takes the cheapest numbers of groups and tries whose
 recall for a pair exactly at the similarity is ``recall``. Candidates pass a
-bound on the Hamming distance and on the sizes of the sets; the rest are
-verified on their whole shingle sets.
+bound on the Hamming distance and on the sizes of the sets, then one on their
+parities: a bitmap that holds of each bucket of a set's hashes whether their
+number is odd. The bits in which two bitmaps differ are never more than the
+shingles in which the sets do, so this rules out most pairs below the
+similarity and none at or above it. The rest are verified on their whole
+shingle sets.
 
 Dense subtrees don't emit all their pairs. In round one a text that has more
 than FEW candidates before it in a subtree is paired with the nearest of its
 group only, and the texts of the pairs left out are marked. Round two sends the marked
 texts through the same forest with the classes that round one left them in,
 and takes all candidate pairs between different classes, in batches of bounded
-size. Fewer texts only shorten the prefixes, so each pair left out is met
+size. There the texts carry their parities (of at most PARITY_BITS, longer ones
+folded), so that n near-copies below the similarity of each other are compared
+where they are and don't leave n squared pairs to verify. Fewer texts only shorten the prefixes, so each pair left out is met
 again, and no candidate link between two classes goes untested, while n
 near-copies cost n pairs at most in each group of tries.
 
@@ -75,6 +81,8 @@ WINDOW = 256
 #: Candidates before a text in a subtree up to which round one emits them all.
 FEW = 2
 BATCH_PAIRS = 1 << 18
+#: The most bits of its parities that a text takes to round two.
+PARITY_BITS = 1024
 #: Sets of so few shingles are bounded by their exact bit difference; beyond, ties are rare enough.
 SMALL_SHINGLES = 5
 
@@ -140,6 +148,61 @@ def signatures(shingles: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(shingles: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the parities of its buckets, two to four buckets a shingle: (uint64 words, len + 1 offsets).
+
+    The buckets are low bits of the hashes and a power of two in number, so
+    that xor of the halves makes the parities of half as many.
+    """
+    n = np.diff(offs)
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(2 * n, 1)))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.zeros(int(start[-1]), dtype=np.uint8)
+    step = 1 << 20
+    for a in range(0, len(shingles), step):
+        h = shingles[a : a + step]
+        of = np.searchsorted(offs, np.arange(a, a + len(h)), side="right") - 1
+        np.add.at(odd, start[of] + (h & (bits[of] - 1).astype(np.uint64)).astype(np.int64), 1)
+    return np.packbits(odd & 1, bitorder="little").view(np.uint64), start >> 6
+
+
+def fold(words: np.ndarray, offs: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """(rows, width) parities of the chosen sets, each of ``width`` words or a power of two times that."""
+    at, times = offs[rows], (offs[rows + 1] - offs[rows]) // width
+    out = words[at[:, None] + np.arange(width)]
+    for k in range(1, int(times.max(initial=1))):
+        more = np.flatnonzero(times > k)
+        out[more] ^= words[(at[more] + k * width)[:, None] + np.arange(width)]
+    return out
+
+
+def can_link(words: np.ndarray, offs: np.ndarray, size: np.ndarray, p: np.ndarray, q: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (p, q) of sets may reach the similarity: False only where the parities exclude it."""
+    most = np.floor((size[p] + size[q]) * (1 - similarity) / (1 + similarity) + 1e-6)  # shingles of one set only
+    width = np.minimum(offs[p + 1] - offs[p], offs[q + 1] - offs[q])
+    ok = np.ones(len(p), dtype=bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        step = max(1, (1 << 20) // w)
+        for a in range(0, len(at), step):
+            r = at[a : a + step]
+            ok[r] = np.bitwise_count(fold(words, offs, p[r], w) ^ fold(words, offs, q[r], w)).sum(axis=1) <= most[r]
+    return ok
+
+
+def _binary(words: np.ndarray, offs: np.ndarray) -> pa.Array:
+    at = np.ascontiguousarray(offs * 8, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _parity_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words and the lengths of a binary column without nulls."""
+    col = col.cast(pa.large_binary())
+    _, offs, data = col.buffers()
+    offs = np.frombuffer(offs, dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]].copy().view(np.uint64), np.diff(offs) >> 3
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -257,10 +320,14 @@ def _prefix(bits: np.ndarray):
     return out
 
 
+def _carried(texts: DataFrame) -> list[str]:
+    return ["parity"] if "parity" in texts.columns else []
+
+
 def forest(texts: DataFrame, form: Shape) -> DataFrame:
     """Every text in every group: ``group`` (its number and prefix) and what pairing needs."""
     groups = [F.lit(g << form.prefix).cast("long") + _prefix(bits) for g, (bits, _) in enumerate(form.orders())]
-    return texts.select(F.explode(F.array(*groups)).alias("group"), "node", "s0", "s1", F.col("n_shingles").cast("int").alias("n_shingles"), "label")
+    return texts.select(F.explode(F.array(*groups)).alias("group"), "node", "s0", "s1", F.col("n_shingles").cast("int").alias("n_shingles"), "label", *_carried(texts))
 
 
 def _key(s: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> np.ndarray:
@@ -292,7 +359,8 @@ def subtrees(key: np.ndarray, depth: int, leaf: int, climb: int) -> list[tuple[i
 class Group:
     """The texts of one group (or a piece of it), held by one task."""
 
-    def __init__(self, form: Shape, node, s0, s1, size, label):
+    def __init__(self, form: Shape, node, s0, s1, size, label=None, parity=None):
+        self.parity = parity and (parity[0], np.concatenate([[0], np.cumsum(parity[1])]))
         self.form, self.node, self.size, self.label = form, node, size.astype(np.int64), label
         self.s = s0.view(np.uint64), s1.view(np.uint64)
         self.limit = np.where(size <= SMALL_SHINGLES, form.small_bound, form.bound).astype(np.uint8)
@@ -354,7 +422,11 @@ class Group:
         for a in range(0, len(rest), step):
             i = rest[a : a + step]
             x, y, _ = self.match(i, rows, False)
-            yield i[x], rows[y]
+            x, y = i[x], rows[y]
+            if self.parity and len(x):
+                ok = can_link(*self.parity, self.size, x, y, self.form.similarity)
+                x, y = x[ok], y[ok]
+            yield x, y
 
     def pairs(self, tries: list[np.ndarray], dense: int, first: bool):
         """Batches (a, b) of distinct candidates, a < b, each at most about BATCH_PAIRS; round one ends with (node, None), the texts to be seen again."""
@@ -414,10 +486,11 @@ def _pieces(rows: DataFrame, hot: int, piece: int, first: bool) -> DataFrame:
 def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: int, first: bool) -> DataFrame:
     """(a, b), a < b, that share a subtree and pass the bounds; in round one also (a, null), the texts of pairs left for round two.
 
-    Pairs may repeat. ``texts`` has node, s0, s1, n_shingles and label.
+    Pairs may repeat. ``texts`` has node, s0, s1, n_shingles and label; in
+    round two their ``parity`` too, else the pairs aren't held against it.
     """
     rows = _pieces(forest(texts, form), hot, piece, first)
-    names = ["group", "piece", "node", "s0", "s1", "n_shingles", *([] if first else ["label"])]
+    names = ["group", "piece", "node", "s0", "s1", "n_shingles", *([] if first else ["label", *_carried(texts)])]
     # signatures in order, so that a piece of an endless group holds like texts
     # a number of tasks of our own: the work is in the comparing, not in the bytes by which tasks would be merged
     tasks = min(form.groups << form.prefix, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -427,11 +500,13 @@ def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: in
     def run(batches):
         def search(at, parts):
             c = [np.concatenate(x) for x in zip(*parts)]
-            yield from Group(form, *c[:4], None if first else c[4]).pairs(tries[at[0] >> form.prefix], dense, first)
+            yield from Group(form, *c[:5], parity=(c[5], c[6]) if len(c) > 5 else None).pairs(tries[at[0] >> form.prefix], dense, first)
 
         at, parts, n = None, [], 0
         for batch in batches:
-            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names))]
+            c = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(names)) if names[k] != "parity"]
+            words, sizes = _parity_words(batch.column(names.index("parity"))) if "parity" in names else (None, None)
+            at_word = None if sizes is None else np.concatenate([[0], np.cumsum(sizes)])
             edges = np.flatnonzero(np.concatenate([[True], (c[0][1:] != c[0][:-1]) | (c[1][1:] != c[1][:-1]), [True]])) if batch.num_rows else [0]
             for x, y in zip(edges[:-1], edges[1:]):
                 here = int(c[0][x]), int(c[1][x])
@@ -439,7 +514,7 @@ def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: in
                     yield from search(at, parts)
                     parts, n = [], 0
                 at = here
-                parts.append([v[x:y] for v in c[2:]])
+                parts.append([v[x:y] for v in c[2:]] + ([] if words is None else [words[at_word[x] : at_word[y]], sizes[x:y]]))
                 n += y - x
                 if first and n > hot:  # the next piece begins with the last rows of this one
                     yield from search(at, parts)
@@ -454,10 +529,9 @@ def candidates(texts: DataFrame, form: Shape, *, dense: int, hot: int, piece: in
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets reach the similarity. ``pairs`` are distinct."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(texts.select("node", "text_key"), "node").select("text_key").distinct())
+def _of_texts(nodes: DataFrame, docs: DataFrame, texts: DataFrame, text: str, kind: str, make) -> DataFrame:
+    """(node, value): what ``make`` of the shingle sets gives, once for each of the nodes. ``nodes`` may repeat."""
+    wanted = cut(nodes.distinct().join(texts.select("node", "text_key"), "node").select("text_key").distinct())
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     rows = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_key")).join(few, "text_key", "left_semi").select("text_key", "text")
 
@@ -471,15 +545,63 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, text: str, simil
                     fresh.append(k)
             for i, j, words in textvec.word_chunks(b.column(1).take(pa.array(fresh, pa.int64()))):
                 whole = _sequence_hash(words.hash, words.offs, 1)
-                sh, offs = shingle_sets(words, whole)
-                sets = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sh.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([_signed(whole), sets], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([_signed(whole), make(*shingle_sets(words, whole))], names=["node", "value"])
 
-    sets = cut(rows.mapInArrow(run, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles")))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    out = cut(rows.mapInArrow(run, f"node long, value {kind}").groupBy("node").agg(F.first("value").alias("value")))
+    discard(wanted)
+    return out
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    return pairs.join(values.withColumnsRenamed({"node": "a", "value": "x"}), "a").join(values.withColumnsRenamed({"node": "b", "value": "y"}), "b")
+
+
+def linkable(pairs: DataFrame, sized: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose parities (``value`` of ``sized``, which has n_shingles too) allow the similarity."""
+    met = _both(pairs, sized.select("node", F.struct(F.col("n_shingles").alias("n"), F.col("value").alias("v")).alias("value")))
+
+    def run(batches):
+        for b in batches:
+            words, sizes = zip(*(_parity_words(b.column(k)) for k in (4, 5)))
+            size = np.concatenate([b.column(k).to_numpy() for k in (2, 3)])
+            offs = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            p = np.arange(b.num_rows)
+            ok = can_link(np.concatenate(words), offs, size, p, p + b.num_rows, similarity)
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    return met.select("a", "b", "x.n", F.col("y.n").alias("m"), "x.v", F.col("y.v").alias("w")).mapInArrow(run, "a long, b long")
+
+
+def folded(parity: DataFrame) -> DataFrame:
+    """(node, parity) with parities of at most PARITY_BITS."""
+    most = PARITY_BITS >> 6
+
+    def run(batches):
+        for b in batches:
+            words, sizes = _parity_words(b.column(1))
+            offs, width = np.concatenate([[0], np.cumsum(sizes)]), np.minimum(sizes, most)
+            to = np.concatenate([[0], np.cumsum(width)])
+            out = np.zeros(int(to[-1]), dtype=np.uint64)
+            for w in np.unique(width).tolist():
+                rows = np.flatnonzero(width == w)
+                out[to[rows][:, None] + np.arange(w)] = fold(words, offs, rows, w)
+            yield pa.RecordBatch.from_arrays([b.column(0), _binary(out, to)], names=["node", "parity"])
+
+    return parity.select("node", "value").mapInArrow(run, "node long, parity binary")
+
+
+def verify(pairs: DataFrame, sized: DataFrame, docs: DataFrame, texts: DataFrame, text: str, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets reach the similarity. ``pairs`` are distinct; ``sized`` has the parities of their texts."""
+    pairs = cut(linkable(pairs, sized, similarity))
+    make = lambda sh, offs: pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(sh.astype(np.int64)))
+    sets = _of_texts(_ends(pairs), docs, texts, text, "array<long>", make)
     shared = F.size(F.array_intersect("x", "y"))
-    out = cut(both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
-    discard(wanted, sets)
+    out = cut(_both(pairs, sets).where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    discard(pairs, sets)
     return out
 
 
@@ -494,19 +616,22 @@ def classes(
     sizes = dict(dense=dense, hot=hot, piece=piece)
     found = cut(candidates(texts.withColumn("label", F.col("node")), form, first=True, **sizes))
     first = cut(found.where("b is not null").distinct())
-    links = verify(first, docs, texts, "text", similarity)
+    marked = found.where("b is null").select(F.col("a").alias("node")).distinct()
+    parity = _of_texts(_ends(first).union(marked), docs, texts, "text", "binary", lambda sh, offs: _binary(*parities(sh, offs)))
+    sized = parity.join(texts.select("node", "n_shingles"), "node")
+    links = verify(first, sized, docs, texts, "text", similarity)
     labels = components(links)
-    again = texts.join(found.where("b is null").select(F.col("a").alias("node")).distinct(), "node")
+    again = texts.join(marked, "node").join(folded(parity), "node")
     known = cut(again.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     second = cut(candidates(known, form, first=False, **sizes).distinct().join(first, ["a", "b"], "left_anti"))
     discard(found, first, known)
     if second.limit(1).count():
-        more = verify(second, docs, texts, "text", similarity)
+        more = verify(second, sized, docs, texts, "text", similarity)
         if more.limit(1).count():
             discard(labels)
             labels = components(links.unionAll(more))
         discard(more)
-    discard(second, links, texts)
+    discard(second, links, texts, parity)
     # rows of each text first, then of each class: both combine before the shuffle
     placed = drawn.join(labels, "node", "left").withColumn("_class", F.coalesce("label", "node"))
     head = F.min(F.when(F.isnotnull("doc_id"), F.struct("doc_id", "text_key")))
