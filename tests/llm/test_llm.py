@@ -215,6 +215,26 @@ def test_parities_exclude_no_pair_at_the_similarity():
     assert int(np.bitwise_count(narrow).sum()) % 2 == len(sets[-1]) % 2
 
 
+@pytest.mark.parametrize("hot, piece", [(1 << 21, 1 << 20), (100, 60)])
+def test_round_two_meets_few_pairs_that_cannot_link_in_cut_groups_too(spark, hot, piece):
+    """Sets of 1,200 shingles, whose parities are folded: 250 that share two thirds with each other, 20 of them with a near copy."""
+    rng = np.random.default_rng(13)
+    core = rng.choice(1 << 48, 960, replace=False)
+    sets = [np.concatenate([core, rng.choice(1 << 48, 240)]) for _ in range(250)]
+    sets += [np.concatenate([s[:1150], rng.choice(1 << 48, 50)]) for s in sets[:20]]
+    sets = [np.unique(s.astype(np.uint64)) for s in sets]
+    offs = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sig = simhash.signatures(np.concatenate(sets), offs).view(np.int64)
+    binary = simhash._binary(*simhash.parities(np.concatenate(sets), offs))
+    parity = simhash.folded(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(binary.to_pylist())], "node long, value binary"))
+    assert {len(r.parity) for r in parity.collect()} == {simhash.PARITY_BITS // 8}
+    rows = [(k, int(a), int(b), len(sets[k]), k) for k, (a, b) in enumerate(sig)]
+    texts = spark.createDataFrame(rows, "node long, s0 long, s1 long, n_shingles long, label long").join(parity, "node")
+    form = simhash.Shape(prefix=0, groups=1, depth=0, tries=1, leaf=8, bound=39, small_bound=39, similarity=0.8)
+    got = {(r.a, r.b) for r in simhash.candidates(texts, form, first=False, dense=8192, hot=hot, piece=piece).collect()}
+    assert {(k, 250 + k) for k in range(20)} <= got and len(got) < 2000 < 250 * 249 // 2
+
+
 def test_near_copies_below_the_similarity_leave_few_pairs_to_verify(spark, monkeypatch):
     """n texts that differ from one base by too much to link each other, and a few that link."""
     rng, base = random.Random(21), prose(78, 300).split()
