@@ -235,6 +235,28 @@ def test_round_two_meets_few_pairs_that_cannot_link_in_cut_groups_too(spark, hot
     assert {(k, 250 + k) for k in range(20)} <= got and len(got) < 2000 < 250 * 249 // 2
 
 
+def test_round_one_looks_only_at_sizes_that_can_link(monkeypatch):
+    """Few of the pairs of a subtree are looked at, and each candidate is emitted or both its texts are marked."""
+    rng, n = np.random.default_rng(17), 3000
+    sig = rng.integers(-(1 << 63), (1 << 63) - 1, (n, 2))
+    size = np.exp(rng.normal(5.5, 1.1, n)).astype(np.int32) + 1
+    for a, b, count in ((0, 300, 40), (400, 700, 100)):  # pairs, and near copies of one text
+        sig[b : b + count] = sig[a : a + count] if a == 0 else sig[a]
+        size[b : b + count] = size[a : a + count] * 10 // 11 + 1 if a == 0 else size[a] + np.arange(count) % 7
+        sig[b : b + count, 0] ^= 1 << rng.integers(0, 62, count)
+    form = simhash.Shape(prefix=0, groups=1, depth=0, tries=1, leaf=8, bound=35, small_bound=39, similarity=0.8)
+    group = simhash.Group(form, np.arange(n), sig[:, 0].copy(), sig[:, 1].copy(), size)
+    x, y, _ = group.match(np.arange(n), np.arange(n), False)
+    want = {(a, b) for a, b in zip(x.tolist(), y.tolist()) if a < b}
+    looks, inner = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda v: (looks.append(np.size(v)), inner(v))[1])
+    out = [r for batch in group.pairs([np.arange(32)], 8192, True) for r in batch.to_pylist()]
+    got, marked = {(r["a"], r["b"]) for r in out if r["b"] is not None}, {r["a"] for r in out if r["b"] is None}
+    assert got <= want and all(p in got or marked.issuperset(p) for p in want)
+    assert {(k, 300 + k) for k in range(40)} <= got | {p for p in want if marked.issuperset(p)} and len(want) > 4000 and len(got) < 500
+    assert sum(looks) // 2 < n * n // 8
+
+
 def test_near_copies_below_the_similarity_leave_few_pairs_to_verify(spark, monkeypatch):
     """n texts that differ from one base by too much to link each other, and a few that link."""
     rng, base = random.Random(21), prose(78, 300).split()

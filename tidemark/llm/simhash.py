@@ -23,6 +23,10 @@ shingles in which the sets do, so this rules out most pairs below the
 similarity and none at or above it. The rest are verified on their whole
 shingle sets.
 
+In round one the texts of a subtree are in order of their sizes, and each is
+held against those before it whose size can reach the similarity: a small part
+of the subtree, as sizes spread widely, and no link less.
+
 Dense subtrees don't emit all their pairs. In round one a text that has more
 than FEW candidates before it in a subtree is paired with the nearest of its
 group only, and the texts of the pairs left out are marked. Round two sends the marked
@@ -81,6 +85,8 @@ WINDOW = 256
 #: Candidates before a text in a subtree up to which round one emits them all.
 FEW = 2
 BATCH_PAIRS = 1 << 18
+#: Round one takes subtrees together up to so many rows, and looks at so many pairs at a time.
+BATCH_ROWS, BATCH_LOOKS = 1 << 16, 1 << 16
 #: The most bits of its parities that a text takes to round two.
 PARITY_BITS = 1024
 #: Sets of so few shingles are bounded by their exact bit difference; beyond, ties are rare enough.
@@ -375,40 +381,87 @@ class Group:
         if before:
             ok = y < x + (len(j) - len(i))
             x, y = x[ok], y[ok]
-        p, q = i[x], j[y]
-        ok = (ham[x, y] <= np.maximum(self.limit[p], self.limit[q])) & (np.minimum(self.size[p], self.size[q]) >= self.form.similarity * np.maximum(self.size[p], self.size[q]))
+        ok = self.bounded(i[x], j[y], ham[x, y])
         if self.label is not None:
-            ok &= self.label[p] != self.label[q]
+            ok &= self.label[i[x]] != self.label[j[y]]
         return x[ok], y[ok], ham
 
-    def nearest(self, rows: np.ndarray, later: np.ndarray, best: np.ndarray, who: np.ndarray, dense: int):
-        """Round one in a subtree: pairs of each row with those before it if they are few.
+    def bounded(self, p: np.ndarray, q: np.ndarray, ham: np.ndarray) -> np.ndarray:
+        """Which pairs of rows with these distances pass the bounds on distance and sizes."""
+        return (ham <= np.maximum(self.limit[p], self.limit[q])) & (np.minimum(self.size[p], self.size[q]) >= self.form.similarity * np.maximum(self.size[p], self.size[q]))
+
+    def keep(self, row: np.ndarray, distance: np.ndarray, other: np.ndarray, best: np.ndarray, who: np.ndarray):
+        nearer = distance < best[row]
+        best[row[nearer]], who[row[nearer]] = distance[nearer], other[nearer]
+
+    def nearest(self, order: np.ndarray, ranges: list[tuple[int, int]], later: np.ndarray, best: np.ndarray, who: np.ndarray, dense: int):
+        """Round one in the subtrees of a trie: pairs of each row with those before it if they are few.
 
         Else the nearest is kept in ``who``, and its distance in ``best``, if
         no subtree had a nearer one; the rows of the pairs left out are noted
-        in ``later``. Beyond ``dense`` rows only WINDOW rows before each are
-        looked at, and all are noted.
+        in ``later``. Subtrees of more than ``dense`` rows go to ``window``,
+        the others some at a time to ``by_size``.
         """
-        n = len(rows)
-        if n > dense:
-            later[rows] = True
-        for a in range(0, n, 512):
+        held, n = [], 0
+        for p, q in ranges:
+            if q - p > dense:
+                yield from self.window(order[p:q], later, best, who)
+                continue
+            held.append(order[p:q])
+            n += q - p
+            if n >= BATCH_ROWS:
+                yield from self.by_size(held, later, best, who)
+                held, n = [], 0
+        if held:
+            yield from self.by_size(held, later, best, who)
+
+    def by_size(self, subtrees: list[np.ndarray], later: np.ndarray, best: np.ndarray, who: np.ndarray):
+        """``nearest`` where the rows before a row are the smaller ones; only those whose size can reach the similarity are looked at."""
+        rows = np.concatenate(subtrees)
+        place = (np.repeat(np.arange(len(subtrees)), [len(x) for x in subtrees]) << 32) + self.size[rows]
+        by = np.argsort(place, kind="stable")
+        rows, place = rows[by], place[by]
+        s0, s1, size = self.s[0][rows], self.s[1][rows], self.size[rows]
+        low = np.searchsorted(place, place - size + np.ceil(self.form.similarity * size - 1e-6).astype(np.int64))
+        count = np.arange(len(rows)) - low
+        ends = np.cumsum(count)
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_LOOKS, side="right")))
+            c, total = count[a:b], int(count[a:b].sum())
+            if total:
+                y = np.arange(total) + np.repeat(low[a:b] - (np.cumsum(c) - c), c)
+                ham = np.bitwise_count(np.repeat(s0[a:b], c) ^ s0[y]) + np.bitwise_count(np.repeat(s1[a:b], c) ^ s1[y])
+                at = np.flatnonzero(ham <= self.form.small_bound)
+                x, y, ham = a + np.searchsorted(ends[a:b] - (ends[a] - count[a]), at, side="right"), y[at], ham[at]
+                ok = self.bounded(rows[x], rows[y], ham)
+                x, y, ham = x[ok], y[ok], ham[ok]
+                left = np.bincount(x - a, minlength=b - a)[x - a] > FEW
+                if left.any():
+                    u, v = x[left], y[left]
+                    later[rows[u]] = later[rows[v]] = True
+                    first = _runs(u)[:-1]
+                    near = np.minimum.reduceat((ham[left].astype(np.int64) << 32) + v, first)
+                    self.keep(rows[u[first]], near >> 32, rows[near & 0xFFFFFFFF], best, who)
+                    x, y = x[~left], y[~left]
+                yield rows[x], rows[y]
+            a = b
+
+    def window(self, rows: np.ndarray, later: np.ndarray, best: np.ndarray, who: np.ndarray):
+        """``nearest`` in a dense subtree: only WINDOW rows before each in key order are looked at, and all are noted."""
+        later[rows] = True
+        for a in range(0, len(rows), 512):
             i = rows[a : a + 512]
-            j = rows[max(0, a - WINDOW) if n > dense else 0 : a + len(i)]
+            j = rows[max(0, a - WINDOW) : a + len(i)]
             x, y, ham = self.match(i, j, True)
-            if not len(x):
-                continue
             many = np.bincount(x, minlength=len(i)) > FEW
             if many.any():
                 left = many[x]
-                later[i[x[left]]] = later[j[y[left]]] = True
                 least = np.full(ham.shape, 255, np.uint8)
                 least[x[left], y[left]] = ham[x[left], y[left]]
                 at = np.flatnonzero(many)
                 near = least[at].argmin(axis=1)
-                nearer = least[at, near] < best[i[at]]
-                best[i[at[nearer]]] = least[at, near][nearer]
-                who[i[at[nearer]]] = j[near[nearer]]
+                self.keep(i[at], least[at, near], j[near], best, who)
                 x, y = x[~left], y[~left]
             yield i[x], j[y]
 
@@ -443,14 +496,14 @@ class Group:
         for bits in tries:
             key = _key(self.s, bits)
             order = np.argsort(key, kind="stable")
-            for p, q in subtrees(key[order], self.form.depth, self.form.leaf, min(CLIMB, self.form.depth)):
-                for i, j in self.nearest(order[p:q], later, best, who, dense) if first else self.across(order[p:q]):
-                    if len(i):
-                        held.append((i, j))
-                        n += len(i)
-                        if n > BATCH_PAIRS:
-                            yield flush()
-                            held, n = [], 0
+            ranges = subtrees(key[order], self.form.depth, self.form.leaf, min(CLIMB, self.form.depth))
+            for i, j in self.nearest(order, ranges, later, best, who, dense) if first else (x for p, q in ranges for x in self.across(order[p:q])):
+                if len(i):
+                    held.append((i, j))
+                    n += len(i)
+                    if n > BATCH_PAIRS:
+                        yield flush()
+                        held, n = [], 0
         if (best < 255).any():
             held.append((np.flatnonzero(best < 255), who[best < 255]))
         if held:
