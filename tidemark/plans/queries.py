@@ -84,10 +84,10 @@ def _ingest(spark, d, store, topic, order=("event_id",), **options):
 
 
 def _thirds(**retain):
-    """Settings by which a segment holds 300 rows, in chunks of 100."""
+    """Settings by which a segment holds 300 rows, in chunks of 100; nothing is dropped unless ``retain`` says so."""
     from tidemark.sources.store import Retention, Rolling
 
-    return {"roll": Rolling(max_rows=300), "retain": Retention(**{"max_bytes": 1 << 50, **retain})}
+    return {"roll": Rolling(max_rows=300), "retain": Retention(**{"max_segments": EVERY, "max_bytes": 1 << 50, **retain})}
 
 
 EVERY = 1 << 40

@@ -11,6 +11,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 join = posixpath.join
+#: bytes that pass between Python and the JVM at once
+PIECE = 4 << 20
 
 
 def encode(name: str) -> str:
@@ -54,7 +56,11 @@ class Files:
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+            left, parts = fs.getFileStatus(p).getLen(), []
+            while left:  # in pieces, as each passes through the JVM as text
+                parts.append(bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(left, PIECE))))
+                left -= len(parts[-1])
+            return b"".join(parts).decode()
         finally:
             stream.close()
 
@@ -62,10 +68,16 @@ class Files:
         fs, p = self._at(path)
         stream = fs.create(p, True)
         try:
-            stream.write(bytearray(text.encode()))
+            self._put(stream, text)
         finally:
             stream.close()
 
+    @staticmethod
+    def _put(stream, text: str) -> None:
+        data = text.encode()
+        for at in range(0, len(data), PIECE):
+            stream.write(bytearray(data[at : at + PIECE]))
+
     def publish(self, path: str, text: str) -> bool:
         """Write a new file so that it appears whole or not at all; False if it is already there.
 
@@ -95,7 +107,7 @@ class Files:
     def _create(self, fs, p, text: str) -> bool:
         try:
             stream = fs.createFile(p).overwrite(False).recursive().opt("fs.option.create.conditional.overwrite", True).build()
-            stream.write(bytearray(text.encode()))
+            self._put(stream, text)
             stream.close()
         except Py4JJavaError as e:
             if fs.exists(p):

@@ -1,7 +1,9 @@
 """The log store: append, scan, retain, compact and recover topics.
 
 Layout: ``root/topics/<topic>/_log`` is the manifest; data files lie in
-``root/topics/<topic>/<fingerprint>/<commit>/<partition hash>/<segment>/``. Each
+``root/topics/<topic>/<fingerprint>/<commit>/<partition hash>/<segment>/``, or
+``<first>-<last>/`` where a bulk append puts small segments together
+(``file_rows``); a partition's newest segment always has files of its own. Each
 file holds ``_partition``, ``_segment``, ``_index``, ``_chunk`` and ``_bytes``
 (of the row) besides the user's columns, so that scans and their budgets never need to count rows or
 measure values again. A commit becomes visible with its manifest entry only;
@@ -84,6 +86,8 @@ class Config:
     chunk_bytes: int = 1 << 20
     #: chunks of one append that stand in the manifest; those of a larger one stay in files
     inline_chunks: int = 256
+    #: rows up to which neighbouring segments of a bulk append share their files
+    file_rows: int = 100_000
     #: seconds for which a look at the free room holds
     check_disk_seconds: float = 1.0
     #: whether a topic's newest segments are checked when this store first uses it
@@ -111,6 +115,16 @@ class RequestTooLong(StoreError):
         self.size, self.limit = size, limit
 
 
+def _among(col: Column, values: Iterable[int]) -> Column:
+    """Whether a number is one of these: by their runs, or a hashed set where there are many."""
+    own = sorted(values)
+    starts = [x for k, x in enumerate(own) if not k or own[k - 1] != x - 1]
+    if len(starts) > 16:
+        return col.isin(own)
+    ends = [x for k, x in enumerate(own) if k + 1 == len(own) or own[k + 1] != x + 1]
+    return reduce(lambda a, b: a | b, [col.between(lo, hi) for lo, hi in zip(starts, ends)])
+
+
 Data = DataFrame | pa.Table | pa.RecordBatch | pd.DataFrame | Sequence[Mapping]
 
 
@@ -262,8 +276,10 @@ class LogStore:
         return start, start + n
 
     @staticmethod
-    def _write(rows: DataFrame, out: str) -> None:
-        rows.withColumn("_p", F.substring(F.sha2("_partition", 256), 1, 16)).withColumn("_s", F.col("_segment")).write.partitionBy("_p", "_s").parquet(out)
+    def _write(rows: DataFrame, out: str, folder: Column | None = None) -> None:
+        """Write rows in the order of their indices, by partition and segment (or ``folder``)."""
+        rows = rows.withColumn("_p", F.substring(F.sha2("_partition", 256), 1, 16)).withColumn("_s", F.col("_segment").cast("string") if folder is None else folder)
+        rows.sortWithinPartitions("_p", "_s", "_index").write.partitionBy("_p", "_s").parquet(out)
 
     def _place(self, state: mf.State, mark: str, p: str) -> tuple[int, int, int]:
         """Where the next rows of a partition go: their index, segment and chunk."""
@@ -286,11 +302,11 @@ class LogStore:
             segs, new_segments, new_schemas = [], 0, 0
             for key in sorted(chunks.keys() | stored.keys()):
                 old = new.segments.get(key)
-                files, own, kept = tuple(written.get(key, ())), tuple(chunks.get(key, ())), tuple(stored.get(key, ()))
+                files, own, kept = written.get(key, ()), tuple(chunks.get(key, ())), tuple(stored.get(key, ()))
                 new_segments += old is None
                 segs.append(mf.with_files(old, files, own, kept) if old else mf.Segment(key[0], key[1], mark, files, own, time.time(), stored=kept))
             new_schemas = mark not in new.schemas
-            return {"schemas": {mark: text}, "segments": [mf.dump(s) for s in segs]}
+            return {"schemas": {mark: text}, **mf.pack(segs)}
 
         self.manifest(topic).commit(make)
         self.last_commit = time.time()
@@ -381,16 +397,17 @@ class LogStore:
         state = self.manifest(topic).refresh()
         places = {p: self._place(state, mark, p) for p in totals}
         start = {p: at for p, (at, *_) in places.items()}
-        rule = self.spark.createDataFrame([(p, *places[p]) for p in totals], "_partition string, _from long, _segment long, _chunk0 long")
+        rule = self.spark.createDataFrame([(p, *places[p], n) for p, n in totals.items()], "_partition string, _from long, _segment0 long, _chunk0 long, _total long")
         chunk = F.col("_chunk0") + (F.expr(f"_local div {chunk_rows}") if chunk_rows else F.lit(0))
         # a bulk append fills whole segments: chunk by chunk, max_rows each
         per = max(1, self.config.roll.max_rows // chunk_rows) if chunk_rows else None
-        segment = F.col("_segment") + (F.expr(f"(_local div {chunk_rows}) div {per}") if per else F.lit(0))
+        segment = F.col("_segment0") + (F.expr(f"(_local div {chunk_rows}) div {per}") if per else F.lit(0))
+        folder = self._folder(per * chunk_rows) if per else F.col("_segment0").cast("string")
         rows = placed.join(F.broadcast(rule), "_partition").select(
-            "_partition", segment.cast("long").alias("_segment"), (F.col("_from") + F.col("_local")).cast("long").alias("_index"), chunk.cast("long").alias("_chunk"), "_bytes", *[focusing.ref(c) for c in cols]
+            "_partition", segment.cast("long").alias("_segment"), (F.col("_from") + F.col("_local")).cast("long").alias("_index"), chunk.cast("long").alias("_chunk"), "_bytes", *[focusing.ref(c) for c in cols], folder.alias("_s")
         )
         out = join(self._topic(topic), mark, commit)
-        self._write(rows.sortWithinPartitions("_partition", "_segment", "_index"), out)
+        self._write(rows, out, F.col("_s"))
         written = self._written(out, totals)
         again = self.spark.read.schema("_partition string, _segment long, _index long, _chunk long, _bytes long, time long").option("recursiveFileLookup", "true").parquet(out)
         stats = again.groupBy(F.col("_partition").alias("partition"), F.col("_segment").alias("segment"), F.col("_chunk").alias("chunk")).agg(
@@ -407,11 +424,21 @@ class LogStore:
             sums = self._chunk_rows([path]).groupBy("partition", "segment").agg(
                 F.max("chunk").alias("chunk"), F.min("index_start").alias("index_start"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"), F.min("time_min").alias("time_min"), F.max("time_max").alias("time_max"), F.count(F.lit(1)).alias("n")
             )
-            for r in sums.toLocalIterator():
-                stored[r["partition"], r["segment"]] = [mf.Stored(path, *(r[c] for c in CHUNK), r["n"])]
+            for batch in sums.toArrow().to_batches():
+                for r in batch.to_pylist():
+                    stored[r["partition"], r["segment"]] = [mf.Stored(path, *(r[c] for c in CHUNK), r["n"])]
         self._publish(topic, mark, text, chunks, written, start, state.version, stored)
         return {p: (start[p], start[p] + n) for p, n in totals.items()}
 
+    def _folder(self, rows: int) -> Column:
+        """The folder of a bulk append's row: as many whole segments of ``rows`` rows as ``file_rows`` allows, the partition's last one by itself."""
+        many = max(1, self.config.file_rows // rows)
+        own, last = F.expr(f"_local div {rows}"), F.expr(f"(_total - 1) div {rows}")
+        first = F.when(own == last, last).otherwise(F.expr(f"_local div {rows * many} * {many}"))
+        end = F.when(own == last, last).otherwise(F.least(first + many - 1, last - 1))
+        name = lambda k: (F.col("_segment0") + k).cast("string")
+        return F.when(first == end, name(first)).otherwise(F.concat(name(first), F.lit("-"), name(end)))
+
     def _chunk_rows(self, paths: Iterable[str]) -> DataFrame:
         return self.spark.read.schema("partition string, segment long, " + ", ".join(f"{c} long" for c in CHUNK)).parquet(*paths)
 
@@ -441,15 +468,14 @@ class LogStore:
                 self._known.popitem(last=False)
         return out
 
-    def _written(self, out: str, partitions: Iterable[str]) -> dict[tuple[str, int], list[str]]:
-        """The data files of a commit by (partition, segment); folders are named by a hash of the partition."""
+    def _written(self, out: str, partitions: Iterable[str]) -> dict[tuple[str, int], tuple[str, ...]]:
+        """The data files of a commit by (partition, segment); folders are named by a hash of the partition and the segments in them."""
         names = {hashlib.sha256(p.encode()).hexdigest()[:16]: p for p in partitions}
-        found: dict[tuple[str, int], list[str]] = {}
+        folders: dict[tuple[str, int, int], list[str]] = {}
         for path, _ in self.files.walk(out):
-            parts = path.split("/")
-            if parts[-1].endswith(".parquet"):
-                found.setdefault((names[parts[-3].partition("=")[2]], int(parts[-2].partition("=")[2])), []).append(path)
-        return found
+            if path.endswith(".parquet"):
+                folders.setdefault((names[path.split("/")[-3].partition("=")[2]], *mf.held(path)), []).append(path)
+        return {(p, n): files for (p, a, b), found in folders.items() for files in [tuple(found)] for n in range(a, b + 1)}
 
     def _rolls(self, s: mf.Segment, mark: str) -> bool:
         r = self.config.roll
@@ -458,14 +484,40 @@ class LogStore:
     # -- read --------------------------------------------------------------
 
     def _read(self, topic: str, segments: Iterable[mf.Segment], state: mf.State) -> DataFrame | None:
-        """Rows of segments of one schema, with _partition and _segment; their files only."""
+        """Rows of segments of one schema, with _partition and _segment; their files only.
+
+        Files that hold other segments as well, or rows that a segment no
+        longer has there, are read by themselves and filtered.
+        """
         segments = list(segments)
         if not segments:
             return None
         schema, _ = schemas.parse(state.schemas[segments[0].fingerprint])
-        paths = [f for s in segments for f in s.files]
         full = T.StructType([*PHYSICAL, *schema.fields])
-        return self.spark.read.schema(full).option("recursiveFileLookup", "true").parquet(*paths)
+        read = lambda paths: self.spark.read.schema(full).option("recursiveFileLookup", "true").parquet(*paths)
+        wanted: dict[str, tuple[str, set[int]]] = {}
+        for s in segments:
+            for f in s.files:
+                wanted.setdefault(f, (s.partition, set()))[1].add(s.segment)
+        held = {f: mf.held(f) for f in wanted}
+        whole = [f for f, (a, b) in held.items() if len(wanted[f][1]) == b - a + 1]
+        # of the others, those whose segments overlap are kept apart: a segment may have moved from one to another
+        layers: list[dict[str, tuple[str, set[int]]]] = []
+        ends: list[dict[str, tuple[int, str]]] = []
+        for f in sorted(held.keys() - set(whole), key=lambda f: (*held[f], f)):
+            p, own = wanted[f]
+            at = next((k for k, e in enumerate(ends) if p not in e or e[p][0] < held[f][0] or e[p][1] == posixpath.dirname(f)), len(layers))
+            if at == len(layers):
+                layers.append({})
+                ends.append({})
+            layers[at][f], ends[at][p] = (p, own), (held[f][1], posixpath.dirname(f))
+        parts = [read(whole)] if whole else []
+        for layer in layers:
+            by: dict[str, set[int]] = {}
+            for p, own in layer.values():
+                by.setdefault(p, set()).update(own)
+            parts.append(read(list(layer)).where(reduce(lambda a, b: a | b, [(F.col("_partition") == p) & _among(F.col("_segment"), own) for p, own in sorted(by.items())])))
+        return reduce(DataFrame.unionAll, parts)
 
     def table(self, topic: str, fingerprint: str | None = None, partitions: Sequence[str] | None = None) -> DataFrame:
         """A topic as an ordinary DataFrame: all rows of one schema (the newest by default), in no order."""
@@ -651,11 +703,10 @@ class LogStore:
         self.manifest(topic).commit(lambda _: {"removed": [(s.partition, s.segment) for s in gone]})
         self.counters[topic, "segments_destroyed"] += len(gone)
         self.counters[topic, "bytes_destroyed"] += sum(s.size for s in gone)
-        for s in gone:
-            for f in s.files:
-                self.files.delete(f)
-        kept = {c.path for s in self.manifest(topic).refresh().segments.values() for c in s.stored}
-        for path in {c.path for s in gone for c in s.stored} - kept:
+        left = self.manifest(topic).refresh().segments.values()
+        for f in {f for s in gone for f in s.files} - {f for s in left for f in s.files}:
+            self.files.delete(f)
+        for path in {c.path for s in gone for c in s.stored} - {c.path for s in left for c in s.stored}:
             self.files.delete(path)
 
     def _retain_partitions(self, topic: str, partitions: Iterable[str]) -> None:
@@ -702,6 +753,7 @@ class LogStore:
     def compact(self, topic: str, partition: str) -> None:
         """Merge small chunks and files of each segment by the greedy rule, in one commit a segment."""
         state = self.manifest(topic).refresh()
+        users = Counter(f for s in state.segments.values() for f in s.files)
         for s in state.of(partition):
             had = self._chunks_of(topic, [s])[s.segment]
             number = list(compaction([(c.rows, c.bytes) for c in had], self.config.chunk_rows, self.config.chunk_bytes))
@@ -718,26 +770,28 @@ class LogStore:
             firsts = F.lit([c.index_start for c in new])
             rows = self._read(topic, [s], state).withColumn("_chunk", (F.size(F.filter(firsts, lambda x: x <= F.col("_index"))) - 1).cast("long"))
             out = join(self._topic(topic), s.fingerprint, uuid.uuid4().hex)
-            self._write(rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index").sortWithinPartitions("_index"), out)
-            files = tuple(self._written(out, [s.partition])[s.partition, s.segment])
+            self._write(rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index"), out)
+            files = self._written(out, [s.partition])[s.partition, s.segment]
 
             def make(new_state: mf.State, s=s, files=files, new=new) -> dict:
                 if new_state.segments.get((s.partition, s.segment)) != s:
                     raise StoreError("the segment changed while it was compacted")
-                return {"segments": [mf.dump(replace(s, files=files, chunks=tuple(new), stored=(), version=s.version + 1))]}
+                return mf.pack([replace(s, files=files, chunks=tuple(new), stored=(), version=s.version + 1)])
 
             self.manifest(topic).commit(make)
+            users.subtract(s.files)
             for f in s.files:
-                self.files.delete(f)
+                if not users[f]:  # no other segment has rows there
+                    self.files.delete(f)
 
     def recover(self, topic: str) -> dict[str, int]:
         """Remove files no manifest row names, and rewind past newest segments that can't be read."""
         self._manifests.setdefault(topic, mf.Manifest(self.spark, self._topic(topic)))
         gone = self.rewind(topic, read=True)
-        for f in (f for s in gone for f in s.files):
-            self.files.delete(f)
         state = self.manifest(topic).refresh()
         files = {f for s in state.segments.values() for f in s.files}
+        for f in {f for s in gone for f in s.files} - files:
+            self.files.delete(f)
         # chunk files lie in a folder of their commit's name
         commits = {posixpath.basename(c.path) for s in state.segments.values() for c in s.stored}
         orphans = [f for f, _ in self.files.walk(self._topic(topic)) if f.endswith(".parquet") and f not in files and posixpath.basename(posixpath.dirname(f)) not in commits]

@@ -98,7 +98,11 @@ class TailReader(DataSourceStreamReader):
                     break
                 if self.mark and s.fingerprint != self.mark:
                     raise ValueError(f"partition {p!r} changes its schema at row {s.record_start}")
-                out.append(Range(p, s.files, max(first, s.record_start), min(stop, s.record_end)))
+                a, b = max(first, s.record_start), min(stop, s.record_end)
+                if out and (out[-1].partition, out[-1].files, out[-1].end) == (p, s.files, a):
+                    out[-1].end = b  # segments that share their files are read together
+                else:
+                    out.append(Range(p, s.files, a, b))
         self.at = dict(end)
         return out
 
