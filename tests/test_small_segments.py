@@ -105,3 +105,18 @@ def test_tailed_segments_that_share_files_are_one_read(make):
     assert sum(p.end - p.first for p in parts) == 245 and len(parts) == 3
     got = [v for p in parts if p.partition == "1" for b in reader.read(p) for v in b.to_pydict()["v"]]
     assert sorted(got) == [2 * i + 1 for i in range(45)]
+
+
+def test_compaction_looks_a_row_up_once(make, monkeypatch):
+    """A row's chunk is found by a join on its old one, not by going through all chunks of its segment."""
+    store = make(roll=Rolling(max_rows=1 << 40), chunk_rows=20)
+    plans = []
+    write = LogStore._write
+    monkeypatch.setattr(store, "_write", lambda rows, out: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, out)))
+    store.compact("t", "0")
+    (plan,) = plans
+    assert "filter(" not in plan and "Join Inner" in plan
+    rows = store.table("t", partitions=["0"]).collect()
+    assert sorted((r["_index"], r["_chunk"], r["v"]) for r in rows) == [(i, i // 20, 2 * i) for i in range(200)]
+    (s,) = store.manifest("t").refresh().of("0")
+    assert [(c.chunk, c.index_start, c.rows) for c in s.chunks] == [(k, 20 * k, 20) for k in range(10)]

@@ -766,9 +766,11 @@ class LogStore:
                     new[-1] = mf.Chunk(k, o.index_start, o.rows + c.rows, o.bytes + c.bytes, min(o.time_min, c.time_min), max(o.time_max, c.time_max))
                 else:
                     new.append(mf.Chunk(k, c.index_start, c.rows, c.bytes, c.time_min, c.time_max))
-            # the chunk of a row: how many chunks begin at or before it, less one
-            firsts = F.lit([c.index_start for c in new])
-            rows = self._read(topic, [s], state).withColumn("_chunk", (F.size(F.filter(firsts, lambda x: x <= F.col("_index"))) - 1).cast("long"))
+            # chunks are merged whole: a row's new one follows from its old one, by one look-up however many there are
+            moved = self.spark.createDataFrame(pa.table({"_old": pa.array([c.chunk for c in had], pa.int64()), "_new": pa.array(number, pa.int64())}))
+            rows = self._read(topic, [s], state)
+            columns = [F.col("_new").alias("_chunk") if c == "_chunk" else focusing.ref(c) for c in rows.columns]
+            rows = rows.join(F.broadcast(moved), F.col("_chunk") == F.col("_old")).select(*columns)
             out = join(self._topic(topic), s.fingerprint, uuid.uuid4().hex)
             self._write(rows.repartitionByRange(max(1, s.size // (64 << 20)), "_index"), out)
             files = self._written(out, [s.partition])[s.partition, s.segment]
