@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.operators.cursor import Limit
+from tidemark.operators.focus import DataFocus
 from tidemark.sources.store import Config, LogStore, Retention, Rolling
 
 CONFIG = dict(roll=Rolling(max_rows=10), inline_chunks=4)
@@ -81,7 +82,7 @@ def test_compacted_segments_leave_shared_files(make):
     shared = before[5].files
     store.config = Config(**CONFIG | {"chunk_rows": 10})
     store.compact("t", "1")
-    assert all(s.n_chunks == 1 for s in store.manifest("t").refresh().of("1"))
+    assert all(s.n_chunks == s.rows // 10 for s in store.manifest("t").refresh().of("1"))
     assert values(store, "1") == [(i, 2 * i + 1) for i in range(400)] and values(store, "0") == [(i, 2 * i) for i in range(400)]
     assert files(store) == {f for s in store.manifest("t").refresh().segments.values() for f in s.files} and shared
 
@@ -120,3 +121,30 @@ def test_compaction_looks_a_row_up_once(make, monkeypatch):
     assert sorted((r["_index"], r["_chunk"], r["v"]) for r in rows) == [(i, i // 20, 2 * i) for i in range(200)]
     (s,) = store.manifest("t").refresh().of("0")
     assert [(c.chunk, c.index_start, c.rows) for c in s.chunks] == [(k, 20 * k, 20) for k in range(10)]
+
+
+def test_stacked_pages_are_one_read(make):
+    """All pages together aren't gathered in one task, and are the pages' rows in their order."""
+    store = make()
+    store.append_all("t", rows(90, 400), partition="k", order_by=["v"], chunk_rows=7)
+    for query in ({"limit": Limit(33, 1 << 40)}, {"limit": Limit(33, 1 << 40), "order": "desc"}, {"page_size": 31, "time_start": 50, "time_end": 433}, {"page_size": 1000, "page_bytes": 500}, {"page_size": 45, "page_bytes": 1200, "focus": DataFocus(("v",), max_bytes=40)}):
+        want = [tuple(r) for p in store.pages("t", **query) for r in p.df.collect()]
+        got = store.stack("t", **query)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "SinglePartition" not in plan
+        assert [tuple(r) for r in got.collect()] == want and len(want) > 300
+    assert store.stack("t", cursor={"0": 245, "1": 245}) is None
+
+
+def test_a_cursor_inside_a_chunk_takes_no_job(make, monkeypatch):
+    store = make()
+    store.append_all("t", rows(90, 400), partition="k", order_by=["v"], chunk_rows=7)
+    measured = []
+    stats = LogStore._stats
+    monkeypatch.setattr(LogStore, "_stats", lambda self, *a: measured.append(a) or stats(self, *a))
+    page = store.records("t", "0", 13, limit=Limit(20, 1 << 40))
+    assert (page.next, page.span) == ({"0": 33}, (13, 33)) and not measured
+    page = store.records("t", "0", 38, order="desc", limit=Limit(20, 1 << 40))
+    assert (page.next, page.span) == ({"0": 18}, (18, 38)) and not measured
+    # where the bytes may end the page, they are measured
+    assert store.records("t", "0", 13, limit=Limit(1000, 120)).rows == 7 and measured

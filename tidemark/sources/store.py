@@ -39,7 +39,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from tidemark.functions.sizing import row_size
 from tidemark.functions.timing import to_millis
 from tidemark.operators import focus as focusing
-from tidemark.operators.budget import ChunkStat, compaction, fold
+from tidemark.operators.budget import ChunkStat, Fold, Piece, compaction, fold
 from tidemark.operators.cursor import MAX_PAGE_BYTES, MAX_PAGE_ROWS, Cursor, InvalidQuery, Limit, Order, Page, Status
 from tidemark.operators.selectors import select_names
 
@@ -128,6 +128,45 @@ def _among(col: Column, values: Iterable[int]) -> Column:
 Data = DataFrame | pa.Table | pa.RecordBatch | pd.DataFrame | Sequence[Mapping]
 
 
+@dataclass
+class _Kept:
+    """What the fold kept for a page."""
+
+    topic: str
+    state: mf.State
+    starts: list[tuple[int, str]]
+    order: Order
+    span: tuple[int, int] | None
+    got: Fold
+
+    @property
+    def rows(self) -> int:
+        return sum(p.take for p in self.got.pieces)
+
+    def keys(self) -> list[Column]:
+        return [F.col("_rank"), F.col("_index").desc() if self.order is Order.REVERSE else F.col("_index")]
+
+    def pieces(self) -> Iterator[tuple[Piece, int, int]]:
+        """Each piece with its first and last index; a cut one ends where the next page begins."""
+        for p in self.got.pieces:
+            lo, hi = p.stat.first, p.stat.last
+            if p is self.got.cut:
+                at = self.got.next[p.stat.partition]
+                lo, hi = (lo, at - 1) if self.order is Order.FORWARD else (at, hi)
+            yield p, lo, hi
+
+    def ranges(self) -> dict[str, tuple[int, int]]:
+        out: dict[str, tuple[int, int]] = {}
+        for p in self.got.pieces:
+            lo, hi = out.get(p.stat.partition, (p.stat.first, p.stat.last))
+            out[p.stat.partition] = min(lo, p.stat.first), max(hi, p.stat.last)
+        if self.span is None and self.got.cut is not None and self.got.cut.take:
+            name = self.got.cut.stat.partition
+            (lo, hi), at = out[name], self.got.next[name]
+            out[name] = (lo, at - 1) if self.order is Order.FORWARD else (at, hi)
+        return out
+
+
 class LogStore:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
@@ -549,8 +588,11 @@ class LogStore:
                 out[r["_segment"], r["_chunk"]] = ChunkStat(r["_partition"], r["_segment"], r["_chunk"], mark, r["n"], r["b"], r["i"], r["j"])
         return out
 
-    def _chunks(self, topic: str, state: mf.State, partition: str, start: int, order: Order, span: tuple[int, int] | None) -> Iterator[ChunkStat]:
-        """Statistics of a partition's matching chunks in scan order, computed as far as they are asked for."""
+    def _chunks(self, topic: str, state: mf.State, partition: str, start: int, order: Order, span: tuple[int, int] | None, exact: bool = True) -> Iterator[ChunkStat]:
+        """Statistics of a partition's matching chunks in scan order, computed as far as they are asked for.
+
+        Unless ``exact``, a chunk that the cursor is in counts all its bytes.
+        """
         reverse = order is Order.REVERSE
         own = state.of(partition)
         step = 8
@@ -574,7 +616,10 @@ class LogStore:
                     first, end = c.index_start, c.index_start + c.rows
                     if (end <= start) if not reverse else (first >= start):
                         continue
-                    if first < start < end:  # the cursor is inside: only that chunk is measured
+                    if first < start < end and not exact:
+                        a, b = (start, end) if not reverse else (first, start)
+                        yield ChunkStat(partition, s.segment, c.chunk, s.fingerprint, b - a, c.bytes, a, b - 1)
+                    elif first < start < end:  # the cursor is inside: only that chunk is measured
                         inside = F.col("_index").between(start, end - 1) if not reverse else F.col("_index").between(first, start - 1)
                         yield self._stats(topic, state, [s], inside)[s.segment, c.chunk]
                     else:
@@ -595,13 +640,16 @@ class LogStore:
         limit: Limit | None = None,
     ) -> Page:
         """The next page of a topic after ``cursor``."""
+        state = self.manifest(topic).refresh()
+        return self._page(self._next(topic, state, cursor, page_size=page_size, page_bytes=page_bytes, order=order, time_start=time_start, time_end=time_end, partitions=partitions, limit=limit), focus)
+
+    def _next(self, topic: str, state: mf.State, cursor: Mapping[str, int] | None, *, page_size=None, page_bytes=None, order=None, time_start=None, time_end=None, partitions=None, limit=None) -> _Kept:
         order = Order.parse(order)
         cursor = dict(cursor or {})
         limit = limit or Limit.page(page_size, self.config.max_page)
         if page_bytes is not None:
             limit = limit.capped(Limit(limit.max_records, page_bytes))
         span = self._span(time_start, time_end, order)
-        state = self.manifest(topic).refresh()
         if order is Order.REVERSE and cursor:
             starts = [(at, p) for p, at in cursor.items()]
         else:
@@ -610,14 +658,14 @@ class LogStore:
                 first, end = state.span(p)
                 starts.append((cursor.setdefault(p, end if order is Order.REVERSE else first), p))
         starts.sort(reverse=order is Order.REVERSE)
-        return self._page(topic, state, starts, cursor, limit, order, span, focus)
+        return self._keep(topic, state, starts, cursor, limit, order, span)
 
     def records(self, topic: str, partition: str, start: int, *, page_size: int | None = None, order: Order | str | None = None, time_start=None, time_end=None, focus: focusing.DataFocus | None = None, limit: Limit | None = None) -> Page:
         """A page of one partition from ``start`` (reverse: before it)."""
         order = Order.parse(order)
         span = self._span(time_start, time_end, order)
         state = self.manifest(topic).refresh()
-        return self._page(topic, state, [(start, partition)], {partition: start}, limit or Limit.page(page_size, self.config.max_page), order, span, focus)
+        return self._page(self._keep(topic, state, [(start, partition)], {partition: start}, limit or Limit.page(page_size, self.config.max_page), order, span), focus)
 
     @staticmethod
     def _span(time_start, time_end, order: Order) -> tuple[int, int] | None:
@@ -629,46 +677,56 @@ class LogStore:
             raise InvalidQuery("a time range can't be read in reverse")
         return to_millis(time_start), to_millis(time_end)
 
-    def _page(self, topic, state, starts, cursor, limit, order, span, focus) -> Page:
-        got = fold(starts, lambda p, at: self._chunks(topic, state, p, at, order, span), limit, order, cursor)
-        position = {p: at for at, p in starts}
-        rank = {p: k for k, (_, p) in enumerate(starts)}
-        reverse = order is Order.REVERSE
-        if got.fingerprint is None or not got.pieces:
-            empty = self.spark.createDataFrame([], T.StructType([]))
-            return Page(empty, got.status, got.next, 0, None, got.fingerprint)
-        schema, meta = schemas.parse(state.schemas[got.fingerprint])
-        wanted: dict[tuple[str, int], set[int]] = {}
-        for p in got.pieces:
-            wanted.setdefault((p.stat.partition, p.stat.segment), set()).add(p.stat.chunk)
-        rows = self._read(topic, [state.segments[k] for k in wanted], state)
+    def _keep(self, topic, state, starts, cursor, limit, order, span) -> _Kept:
+        """The chunks of a page and where the next one begins; no job but for statistics that the manifest lacks."""
+        got = fold(starts, lambda p, at: self._chunks(topic, state, p, at, order, span, False), limit, order, cursor)
+        if span is None and sum(p.stat.bytes for p in got.pieces) >= limit.max_bytes:  # whether the bytes are used up takes a measure
+            got = fold(starts, lambda p, at: self._chunks(topic, state, p, at, order, span), limit, order, cursor)
+        kept = _Kept(topic, state, starts, order, span, got)
+        if got.cut is not None and got.cut.take:  # the page ends inside a chunk: its last row says where
+            c = got.cut.stat
+            if span is None:
+                got.next[c.partition] = c.first + got.cut.take if order is Order.FORWARD else c.last + 1 - got.cut.take
+            else:
+                edge = self._kept_rows(kept).where(F.col("_partition") == c.partition).agg((F.max("_index") + 1).alias("x")).first()["x"]
+                if edge is not None:
+                    got.next[c.partition] = edge
+        return kept
+
+    def _kept_rows(self, kept: _Kept) -> DataFrame:
+        """The rows of a page, in no order, with their partition's rank."""
+        got, span = kept.got, kept.span
+        segs = dict.fromkeys((p.stat.partition, p.stat.segment) for p in got.pieces)
+        rows = self._read(kept.topic, [kept.state.segments[k] for k in segs], kept.state)
         # the kept ranges: at most one (first, last) a partition, as a scan drains it in order
-        ranges: dict[str, tuple[int, int]] = {}
-        for p in got.pieces:
-            lo, hi = ranges.get(p.stat.partition, (p.stat.first, p.stat.last))
-            ranges[p.stat.partition] = min(lo, p.stat.first), max(hi, p.stat.last)
+        ranges = kept.ranges()
         keep = reduce(lambda a, b: a | b, [(F.col("_partition") == p) & F.col("_index").between(lo, hi) for p, (lo, hi) in sorted(ranges.items())])
+        rank = {p: k for k, (_, p) in enumerate(kept.starts)}
         at = F.create_map(*[F.lit(x) for p in ranges for x in (p, rank[p])])
         rows = rows.where(keep).withColumn("_rank", at[F.col("_partition")])
         if span is not None:
+            position = {p: at for at, p in kept.starts}
             rows = rows.where(F.col("time").between(*span) & (F.col("_index") >= F.create_map(*[F.lit(x) for p in ranges for x in (p, position[p])])[F.col("_partition")].cast("long")))
-        n = sum(p.take for p in got.pieces)
-        keys = [F.col("_rank"), F.col("_index").desc() if reverse else F.col("_index")]
-        rows = rows.orderBy(*keys).limit(n)
-        nxt = got.next
-        if got.cut is not None:  # the page ends inside a chunk: its last row says where
-            name = got.cut.stat.partition
-            edge = rows.where(F.col("_partition") == name).agg((F.min("_index") if reverse else F.max("_index") + 1).alias("x")).first()["x"]
-            if edge is not None:
-                nxt[name] = edge
+        return rows.orderBy(*kept.keys()).limit(kept.rows)
+
+    def _page(self, kept: _Kept, focus: focusing.DataFocus | None) -> Page:
+        got = kept.got
+        if not kept.rows:
+            empty = self.spark.createDataFrame([], T.StructType([]))
+            return Page(empty, got.status, got.next, 0, None, got.fingerprint)
+        _, meta = schemas.parse(kept.state.schemas[got.fingerprint])
+        rows = self._kept_rows(kept)
         page_span = None
-        if len(starts) == 1:
+        if len(kept.starts) == 1 and kept.span is None:
+            ((lo, hi),) = kept.ranges().values()
+            page_span = lo, hi + 1
+        elif len(kept.starts) == 1:
             edges = rows.agg(F.min("_index").alias("a"), (F.max("_index") + 1).alias("b")).first()
             page_span = (edges["a"], edges["b"])
         if focus is not None and focus.active:
             rows = focusing.apply(rows, focus)
-        out = rows.orderBy(*keys).drop(*[c for c in focusing.LOG_COLUMNS if c in rows.columns])
-        return Page(out, got.status, nxt, n, page_span, got.fingerprint, meta)
+        out = rows.orderBy(*kept.keys()).drop(*[c for c in focusing.LOG_COLUMNS if c in rows.columns])
+        return Page(out, got.status, got.next, kept.rows, page_span, got.fingerprint, meta)
 
     def pages(self, topic: str, **query) -> Iterator[Page]:
         """Pages until the end of the data or a schema change that stops the scan."""
@@ -681,12 +739,50 @@ class LogStore:
                 return
             cursor = page.next
 
-    def stack(self, topic: str, **query) -> DataFrame | None:
-        """The rows of all pages up to the end or a schema change as one DataFrame, in page order; None without rows."""
-        parts = [p.df.withColumn("_page", F.lit(i)).withColumn("_row", F.monotonically_increasing_id()) for i, p in enumerate(self.pages(topic, **query))]
+    def stack(self, topic: str, *, cursor: Mapping[str, int] | None = None, focus: focusing.DataFocus | None = None, **query) -> DataFrame | None:
+        """The rows of all pages up to the end or a schema change as one DataFrame, in page order; None without rows.
+
+        The pages are of the topic as it is now, and are read together: each
+        chunk's rows meet the pages that it is in. (A union of pages, each a
+        top-k in one task, would be one task in all.)
+        """
+        state = self.manifest(topic).refresh()
+        state = replace(state, segments=dict(state.segments), schemas=dict(state.schemas), ends=dict(state.ends))
+        runs: list[list[_Kept]] = []  # neighbouring pages of one schema
+        while True:
+            kept = self._next(topic, state, cursor, **query)
+            if kept.rows:
+                if not runs or runs[-1][-1].got.fingerprint != kept.got.fingerprint:
+                    runs.append([])
+                runs[-1].append(kept)
+            if not kept.rows or kept.got.status in (Status.ALL, Status.SCHEMA_CHANGE):
+                break
+            cursor = kept.got.next
+        parts, rank = [], 0
+        for run in runs:
+            pieces = []
+            for kept in run:
+                pieces += [(c.partition, c.segment, c.chunk, lo, hi, rank + p.rank) for p, lo, hi in kept.pieces() for c in [p.stat]]
+                rank += len(kept.starts)
+            parts.append(self._stacked(run[-1], pieces, focus))
         if not parts:
             return None
-        return reduce(DataFrame.unionAll, parts).orderBy("_page", "_row").drop("_page", "_row")
+        rows = reduce(DataFrame.unionAll, parts)
+        return rows.orderBy(*run[-1].keys()).drop("_rank", "_index")
+
+    def _stacked(self, kept: _Kept, pieces: list[tuple], focus: focusing.DataFocus | None) -> DataFrame:
+        """The rows of pieces (partition, segment, chunk, first, last, rank), focused page by page, with _rank and _index."""
+        names = ["_partition", "_segment", "_chunk", "_lo", "_hi", "_rank"]
+        table = self.spark.createDataFrame(pa.table({n: pa.array(x, pa.string() if n == "_partition" else pa.int64()) for n, x in zip(names, zip(*pieces))}))
+        segs = dict.fromkeys((p, n) for p, n, *_ in pieces)
+        rows = self._read(kept.topic, [kept.state.segments[k] for k in segs], kept.state)
+        if kept.span is not None:
+            rows = rows.where(F.col("time").between(*kept.span))
+        mine = rows.columns
+        rows = rows.join(F.broadcast(table), names[:3]).where(F.col("_index").between(F.col("_lo"), F.col("_hi"))).select("_rank", *[focusing.ref(c) for c in mine])
+        if focus is not None and focus.active:
+            rows = focusing.apply(rows, focus, ("_partition", "_segment", "_chunk", "_rank"))
+        return rows.select("_rank", "_index", *[focusing.ref(c) for c in rows.columns if c not in focusing.LOG_COLUMNS])
 
     def by_index(self, topic: str, partition: str, index: int) -> DataFrame:
         state = self.manifest(topic).refresh()
